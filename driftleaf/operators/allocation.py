@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class CandidateModel:
+    name: str
+    prune: float
+    cost_per_query: float
+    memory: float
+
+
 def filter_gains(
-    leaf: DataFrame, prune: DataFrame, models: DataFrame, cost_per_series: float
+    leaf: DataFrame, prune: DataFrame, models: Sequence[CandidateModel], cost_per_series: float
 ) -> DataFrame:
     """(leaf_id, n, model, gain, memory): the most useful model of every leaf. ``prune``:
-    (leaf_id, lb_prune); ``models``: (model, model_prune, cost_per_query, memory), a handful of
-    rows. gain = n (1 - lb_prune) model_prune (cost_per_series - cost_per_query / n)."""
-    candidates = models.agg(
-        F.collect_list(F.struct("model", "model_prune", "cost_per_query", "memory")).alias("ms")
-    ).withColumn("one", F.lit(1))
-    gain = (
-        F.col("n")
-        * ((1.0 - F.col("lb_prune")) * F.col("m.model_prune"))
-        * (F.lit(cost_per_series) - F.col("m.cost_per_query") / F.col("n"))
-    )
+    (leaf_id, lb_prune). gain = n (1 - lb_prune) prune (cost_per_series - cost_per_query / n),
+    at least 0."""
+
+    def option(m: CandidateModel):
+        gain = (
+            F.col("n")
+            * ((1.0 - F.col("lb_prune")) * F.lit(m.prune))
+            * (F.lit(cost_per_series) - F.lit(m.cost_per_query) / F.col("n"))
+        )
+        return F.struct(
+            F.greatest(gain, F.lit(0.0)).alias("gain"),
+            F.lit(m.name).alias("model"),
+            F.lit(m.memory).alias("memory"),
+        )
+
+    best = F.array_max(F.array(*[option(m) for m in models]))
     return (
         leaf.select("leaf_id", "n")
         .join(prune, "leaf_id")
-        .withColumn("one", F.lit(1))
-        .join(candidates, "one")
-        .withColumn("m", F.explode("ms"))
-        .select("leaf_id", "n", "m.model", F.greatest(gain, F.lit(0.0)).alias("gain"), "m.memory")
-        .groupBy("leaf_id", "n")
-        .agg(F.max_by(F.struct("model", "gain", "memory"), F.struct("gain", "model")).alias("b"))
-        .select("leaf_id", "n", "b.*")
+        .withColumn("b", best)
+        .select("leaf_id", "n", "b.model", "b.gain", "b.memory")
     )
 
 

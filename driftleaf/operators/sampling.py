@@ -48,7 +48,7 @@ def global_queries(
     members: DataFrame, n: int, low: float = 0.1, high: float = 0.4, seed: str = "global"
 ) -> DataFrame:
     """(query_id, source_id, [leaf_id as source_leaf], values): ``n`` noisy copies of drawn
-    members. A draw that cannot be normalised is replaced by the next one."""
+    members; constant members cannot be normalised and are never drawn."""
     leaf = [F.col("leaf_id").alias("source_leaf")] if "leaf_id" in members.columns else []
     usable = members.where(znormalize(F.col("values")).isNotNull())
     drawn = draw_members(usable, n, seed)

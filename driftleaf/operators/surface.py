@@ -298,14 +298,23 @@ def polynomial_terms(recall: Column, coverage: Column) -> list[Column]:
 
 
 def fit_quadratic(triples: DataFrame) -> DataFrame:
-    """(filter_id, n, terms, coefficients): least squares on up to six polynomial terms, at most
-    n - 1 of them. The moments are summed by the engine; only the small solve is Python."""
+    """(filter_id, n, mid_r, mid_c, coefficients): least squares on up to six polynomial terms, at
+    most n - 1 of them, about the mean point. The moments are summed by the engine; only the
+    solve of six equations per filter is Python."""
     ship_package(triples.sparkSession)
-    terms = polynomial_terms(F.col("recall"), F.col("coverage"))
+    middle = triples.groupBy(*KEY).agg(
+        F.avg("recall").alias("mid_r"), F.avg("coverage").alias("mid_c")
+    )
+    terms = polynomial_terms(F.col("recall") - F.col("mid_r"), F.col("coverage") - F.col("mid_c"))
     products = [F.sum(a * b) for i, a in enumerate(terms) for b in terms[: i + 1]]
-    right = [F.sum(a * F.col("error")) for a in terms]
-    moments = triples.groupBy(*KEY).agg(
-        F.count("*").alias("n"), F.array(*products).alias("gram"), F.array(*right).alias("rhs")
+    moments = (
+        triples.join(middle, KEY)
+        .groupBy(*KEY, "mid_r", "mid_c")
+        .agg(
+            F.count("*").alias("n"),
+            F.array(*products).alias("gram"),
+            F.array(*[F.sum(a * F.col("error")) for a in terms]).alias("rhs"),
+        )
     )
 
     @F.pandas_udf("array<double>")
@@ -316,23 +325,26 @@ def fit_quadratic(triples: DataFrame) -> DataFrame:
             full = np.zeros((6, 6))
             full[low] = np.asarray(g)
             full = full + np.tril(full, -1).T
-            k = int(max(1, min(6, count - 1)))
-            scale = np.sqrt(np.where(np.diag(full)[:k] > 0, np.diag(full)[:k], 1.0))
-            w = np.linalg.lstsq(
-                full[:k, :k] / np.outer(scale, scale), np.asarray(b)[:k] / scale, rcond=1e-13
-            )[0]
-            out.append(list(w / scale))
+            k = min(6, count - 1) if count > 2 else 1
+            diagonal = np.diag(full)[:k]
+            scale = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+            unit = full[:k, :k] / np.outer(scale, scale)
+            out.append(list(np.linalg.lstsq(unit, np.asarray(b)[:k] / scale, rcond=1e-13)[0] / scale))
         return pd.Series(out)
 
-    return moments.select(*KEY, "n", solve("n", "gram", "rhs").alias("coefficients"))
+    return moments.select(
+        *KEY, "n", "mid_r", "mid_c", solve("n", "gram", "rhs").alias("coefficients")
+    )
 
 
 def predict_quadratic(models: DataFrame, targets: Sequence[tuple[float, float]]) -> DataFrame:
-    terms = F.array(*polynomial_terms(F.col("target_r"), F.col("target_c")))
+    terms = F.array(
+        *polynomial_terms(F.col("target_r") - F.col("mid_r"), F.col("target_c") - F.col("mid_c"))
+    )
     used = F.slice(terms, 1, F.size("coefficients"))
     return (
         models.withColumn("t", F.explode(target_array(targets)))
-        .select(*KEY, "coefficients", "t.*")
+        .select(*KEY, "mid_r", "mid_c", "coefficients", "t.*")
         .select(
             *KEY,
             "target_r",
