@@ -23,7 +23,7 @@ SEGMENTS = 4
 K = 5
 TRAIN_QUERIES = 600
 SEARCH_QUERIES = 100
-NOISE = (0.1, 0.4)
+NOISE = (0.1, 2.0)
 BATCHES, BATCH_SIZE = 20, 30
 CONFIDENCE = 0.9
 OPTIONS = IndexOptions(leaf_size=50)
@@ -134,7 +134,7 @@ def raw_triples(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").alias("col_group"),
         (0.9 + F.col("l_discount")).alias("recall"),
         (0.92 + F.col("l_tax")).alias("coverage"),
-        (F.col("l_quantity") / 10.0 + F.col("l_extendedprice") / 100000.0).alias("error"),
+        (F.col("l_quantity") / 10.0 + F.col("l_extendedprice") / 130000.0).alias("error"),
     )
 
 

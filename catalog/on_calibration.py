@@ -295,7 +295,7 @@ def max_alpha_by_position(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(C.max_alpha_by_position(_batch_alphas(spark, sf)), "alpha")
 
 
-def _recalls(spark: SparkSession, sf: str) -> DataFrame:
+def recalls(spark: SparkSession, sf: str) -> DataFrame:
     rows = feeds.calibration_rows(spark, sf)
     return R.recall_by_position(
         R.target_gaps(rows), feeds.alphas(spark, sf), feeds.batches(spark, sf)
@@ -307,7 +307,7 @@ def _recalls(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {RECALL_CHAIN} SELECT batch_id, pos, round(recall, 4) AS recall FROM recalls",
 )
 def batch_recall_by_pos(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_recalls(spark, sf), "recall")
+    return _rounded(recalls(spark, sf), "recall")
 
 
 @register(
@@ -368,11 +368,11 @@ def batch_margin_recall(spark: SparkSession, sf: str) -> DataFrame:
     SELECT batch_id, pos, round(recall, 4) AS recall, round(coverage, 4) AS coverage FROM covered""",
 )
 def coverage_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.with_coverage(_recalls(spark, sf)), "recall", "coverage")
+    return _rounded(R.with_coverage(recalls(spark, sf)), "recall", "coverage")
 
 
 def _triples(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = R.unique_pairs(R.with_coverage(_recalls(spark, sf)))
+    pairs = R.unique_pairs(R.with_coverage(recalls(spark, sf)))
     return R.triples(pairs, feeds.alphas(spark, sf))
 
 
@@ -395,7 +395,7 @@ def unique_triples(spark: SparkSession, sf: str) -> DataFrame:
            round(a.alpha, 4) AS error FROM covered c JOIN alphas a ON a.pos = c.pos""",
 )
 def ranked_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.wide_rows(R.with_coverage(_recalls(spark, sf)), feeds.alphas(spark, sf))
+    rows = R.wide_rows(R.with_coverage(recalls(spark, sf)), feeds.alphas(spark, sf))
     return _rounded(rows, "recall", "coverage", "error")
 
 
@@ -410,7 +410,7 @@ CURVE = """
 
 
 def _curve(spark: SparkSession, sf: str) -> DataFrame:
-    mean = _recalls(spark, sf).groupBy("pos").agg(F.avg("recall").alias("recall"))
+    mean = recalls(spark, sf).groupBy("pos").agg(F.avg("recall").alias("recall"))
     return R.rising_recall_curve(mean)
 
 

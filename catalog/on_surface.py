@@ -1 +1,455 @@
-"""."""
+"""Error surfaces: cleaning, grid, repair, evaluation, augmentation and features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog import feeds
+from catalog.registry import register
+from catalog.sql_parts import COMPACT, RAW, TRIPLES
+from driftleaf.models import surfaces as M
+from driftleaf.operators import augment as A
+from driftleaf.operators import surface as S
+from driftleaf.operators.batches import test_flag
+from driftleaf.operators.lookup import (
+    TARGET_COVERAGES,
+    TARGET_RECALLS,
+    TARGETS,
+    actual_errors,
+    with_targets,
+)
+
+POINT = "filter_id, round(recall, 6) AS recall, round(coverage, 6) AS coverage, round(error, 6) AS error"
+
+
+def _point(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select(
+        "filter_id",
+        F.round("recall", 6).alias("recall"),
+        F.round("coverage", 6).alias("coverage"),
+        F.round("error", 6).alias("error"),
+        *extra,
+    )
+
+
+@register(
+    "raw_compaction",
+    f"WITH {COMPACT} SELECT {POINT} FROM compact",
+)
+def raw_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(feeds.compact_triples(spark, sf))
+
+
+QUARTILE = """
+    ranked AS (
+      SELECT filter_id, error, row_number() OVER (PARTITION BY filter_id ORDER BY error) - 1 AS p,
+             count(*) OVER (PARTITION BY filter_id) AS n FROM triples),
+    quartile AS (SELECT filter_id, error AS q FROM ranked WHERE p = n // 4)"""
+
+
+@register(
+    "index_quartiles",
+    f"""WITH {TRIPLES}, {QUARTILE},
+    upper_q AS (SELECT filter_id, error AS q3 FROM ranked WHERE p = n * 3 // 4)
+    SELECT filter_id, round(q, 4) AS q1, round(q3, 4) AS q3 FROM quartile JOIN upper_q USING (filter_id)""",
+)
+def index_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feeds.triples(spark, sf)
+    low = S.index_quartile(rows, 1).select("filter_id", F.round("q", 4).alias("q1"))
+    high = S.index_quartile(rows, 3).select("filter_id", F.round("q", 4).alias("q3"))
+    return low.join(high, "filter_id")
+
+
+DOMINATED = f"""{TRIPLES}, {QUARTILE},
+    flagged AS (
+      SELECT t.*, t.error < q.q AND EXISTS (
+        SELECT 1 FROM triples o WHERE o.filter_id = t.filter_id AND o.recall >= t.recall
+        AND o.coverage >= t.coverage AND (o.recall > t.recall OR o.coverage > t.coverage)
+        AND o.error <= t.error) AS dominated
+      FROM triples t JOIN quartile q USING (filter_id))"""
+
+
+@register("dominated_points", f"WITH {DOMINATED} SELECT {POINT}, dominated FROM flagged")
+def dominated_points(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(S.with_dominated_flag(feeds.triples(spark, sf)), "dominated")
+
+
+CLEAN = f"""{DOMINATED},
+    kept AS (SELECT filter_id, recall, coverage, error FROM flagged WHERE NOT dominated),
+    pass1 AS (
+      SELECT filter_id, recall, coverage,
+             CASE WHEN error <= lag(error) OVER w THEN lag(error) OVER w * 1.01::DOUBLE ELSE error END
+             AS error FROM kept WINDOW w AS (PARTITION BY filter_id, recall ORDER BY coverage)),
+    pass2 AS (
+      SELECT filter_id, recall, coverage,
+             CASE WHEN error <= lag(error) OVER w THEN lag(error) OVER w * 1.01::DOUBLE ELSE error END
+             AS error FROM pass1 WINDOW w AS (PARTITION BY filter_id, coverage ORDER BY recall)),
+    below AS (
+      SELECT a.filter_id, a.recall, a.coverage, max(b.error) AS m FROM pass2 a JOIN pass2 b
+      ON b.filter_id = a.filter_id AND b.recall < a.recall AND b.coverage < a.coverage
+      GROUP BY 1, 2, 3),
+    clean AS (
+      SELECT a.filter_id, a.recall, a.coverage,
+             CASE WHEN a.error <= m THEN m * 1.01::DOUBLE ELSE a.error END AS error
+      FROM pass2 a LEFT JOIN below b USING (filter_id, recall, coverage))"""
+
+
+@register("monotone_bump", f"WITH {CLEAN} SELECT {POINT} FROM clean")
+def monotone_bump(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(S.clean_triples(feeds.triples(spark, sf)))
+
+
+GRID = f"""{CLEAN},
+    bounds AS (
+      SELECT filter_id, min(recall) AS lo_r, max(recall) AS hi_r, min(coverage) AS lo_c,
+             max(coverage) AS hi_c,
+             least(20, CAST(floor(sqrt(count(*))) AS BIGINT) + 5) AS g FROM clean GROUP BY 1),
+    axis AS (SELECT filter_id, g, lo_r, hi_r, lo_c, hi_c, unnest(range(g)) AS i FROM bounds),
+    nodes AS (
+      SELECT a.filter_id, a.i AS gi, b.i AS gj,
+             a.lo_r + (a.hi_r - a.lo_r) * a.i / (a.g - 1) AS u,
+             a.lo_c + (a.hi_c - a.lo_c) * b.i / (a.g - 1) AS v
+      FROM axis a JOIN axis b USING (filter_id)),
+    near AS (
+      SELECT n.filter_id, gi, gj, u, v, c.error,
+             row_number() OVER (PARTITION BY n.filter_id, gi, gj ORDER BY
+               (u - c.recall) * (u - c.recall) + (v - c.coverage) * (v - c.coverage),
+               c.recall, c.coverage) AS r
+      FROM nodes n JOIN clean c USING (filter_id)),
+    grid AS (
+      SELECT filter_id, u AS recall, v AS coverage, max(error) AS error FROM near WHERE r <= 5
+      GROUP BY filter_id, u, v)"""
+
+
+@register("surface_grid", f"WITH {GRID} SELECT {POINT} FROM grid")
+def surface_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(S.fit_grid(S.clean_triples(feeds.triples(spark, sf))))
+
+
+RISING = f"""{GRID},
+    rise1 AS (
+      SELECT filter_id, recall, coverage, max(error) OVER (
+        PARTITION BY filter_id, recall ORDER BY coverage) AS error FROM grid),
+    rising AS (
+      SELECT filter_id, recall, coverage, max(error) OVER (
+        PARTITION BY filter_id, coverage ORDER BY recall) AS error FROM rise1)"""
+
+
+@register("surface_running_max", f"WITH {RISING} SELECT {POINT} FROM rising")
+def surface_running_max(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(S.running_maximum(S.fit_grid(S.clean_triples(feeds.triples(spark, sf)))))
+
+
+_PREDICT_TARGETS = [(0.9, 0.9), (0.95, 0.95), (0.99, 0.95), (0.985, 0.999), (1.0, 1.0)]
+
+
+@register(
+    "surface_predict",
+    f"""WITH {RISING},
+    targets(target_r, target_c) AS (
+      VALUES {", ".join(f"({r}::DOUBLE, {c}::DOUBLE)" for r, c in _PREDICT_TARGETS)}),
+    asked AS (
+      SELECT b.filter_id, target_r, target_c, greatest(lo_r, least(hi_r, target_r)) AS r,
+             greatest(lo_c, least(hi_c, target_c)) AS c FROM bounds b CROSS JOIN targets),
+    met AS (
+      SELECT a.*, s.error, (s.recall - r) * (s.recall - r) + (s.coverage - c) * (s.coverage - c) AS d
+      FROM asked a JOIN rising s USING (filter_id)),
+    mixed AS (
+      SELECT filter_id, target_r, target_c, r, c, max(CASE WHEN d < 1e-10 THEN error END) AS hit,
+             sum(CASE WHEN d >= 1e-10 THEN error / (d * d) END)
+             / sum(CASE WHEN d >= 1e-10 THEN 1.0::DOUBLE / (d * d) END) AS p,
+             CASE WHEN r >= 0.97::DOUBLE THEN (r - 0.97::DOUBLE) * 10 ELSE 0 END
+             + CASE WHEN c >= 0.97::DOUBLE THEN (c - 0.97::DOUBLE) * 5 ELSE 0 END AS lift
+      FROM met GROUP BY filter_id, target_r, target_c, r, c)
+    SELECT filter_id, target_r, target_c,
+           round(greatest(0.1::DOUBLE, CASE WHEN hit IS NOT NULL THEN hit + lift
+                          ELSE 0.2::DOUBLE + 1.4::DOUBLE * p + lift END), 4) AS error FROM mixed""",
+)
+def surface_predict(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.surface_at(feeds.triples(spark, sf), _PREDICT_TARGETS)
+    return out.withColumn("error", F.round("error", 4))
+
+
+@register("surface_quadratic")
+def surface_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+    models = S.fit_quadratic(feeds.triples(spark, sf))
+    return S.predict_quadratic(models, _PREDICT_TARGETS).withColumn("error", F.round("error", 4))
+
+
+@register("surface_thin_plate")
+def surface_thin_plate(spark: SparkSession, sf: str) -> DataFrame:
+    out = M.thin_plate_at(feeds.triples(spark, sf), _PREDICT_TARGETS)
+    return out.withColumn("error", F.round("error", 4))
+
+
+@register(
+    "surface_quantile",
+    f"""WITH {RAW},
+    cells AS (
+      SELECT filter_id, round(recall, 6) AS recall, round(coverage, 6) AS coverage,
+             quantile_cont(error, 0.85) AS error FROM raw GROUP BY 1, 2, 3),
+    rise1 AS (
+      SELECT filter_id, recall, coverage, max(error) OVER (
+        PARTITION BY filter_id, recall ORDER BY coverage) AS error FROM cells),
+    rising AS (
+      SELECT filter_id, recall, coverage, max(error) OVER (
+        PARTITION BY filter_id, coverage ORDER BY recall) AS error FROM rise1)
+    SELECT filter_id, recall, coverage, round(error, 9) AS error FROM rising""",
+)
+def surface_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    out = M.quantile_surface(feeds.raw_triples(spark, sf), 0.85)
+    return out.withColumn("error", F.round("error", 9))
+
+
+def _boosted(spark: SparkSession, sf: str):
+    rows = test_flag(
+        feeds.triples(spark, sf), ["recall", "coverage"], ["filter_id"], 0.2, "boosted"
+    )
+    return M.BoostedSurface.fit(rows.where(F.col("is_test") == 0)), rows
+
+
+@register("surface_boosted")
+def surface_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees over all filters, evaluated on the target grid and repaired."""
+    model, rows = _boosted(spark, sf)
+    return _point(model.at_targets(rows.select("filter_id").distinct(), TARGETS))
+
+
+@register("surface_boosted_metrics")
+def surface_boosted_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    model, rows = _boosted(spark, sf)
+    out = M.evaluate(model, rows)
+    return out.withColumns({c: F.round(c, 4) for c in ("mse", "rmse", "mae", "safe_ratio")})
+
+
+@register("surface_feature_importance")
+def surface_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    model = M.BoostedSurface.fit(feeds.triples(spark, sf), enhanced=True)
+    return model.importances(spark).withColumn("importance", F.round("importance", 4))
+
+
+@register("surface_dense_grid")
+def surface_dense_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Quadratic surfaces on a 50 by 50 grid: range per filter."""
+    models = S.fit_quadratic(feeds.triples(spark, sf))
+    out = S.predict_quadratic(models, S.DenseGrid((0.9, 1.0), (0.92, 1.0)))
+    return out.groupBy("filter_id").agg(
+        F.count("*").alias("n"),
+        F.round(F.min("error"), 3).alias("low"),
+        F.round(F.max("error"), 3).alias("high"),
+    )
+
+
+@register(
+    "target_grid",
+    f"""WITH ids AS (SELECT DISTINCT l_suppkey AS filter_id FROM lineitem)
+    SELECT filter_id, recall, coverage FROM ids CROSS JOIN
+      (SELECT unnest([{", ".join(f"{r}::DOUBLE" for r in TARGET_RECALLS)}]) AS recall) r CROSS JOIN
+      (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in TARGET_COVERAGES)}]) AS coverage) c""",
+)
+def target_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return with_targets(feeds.raw_triples(spark, sf).select("filter_id").distinct())
+
+
+BAND = f"""{TRIPLES},
+    targets AS (
+      SELECT recall, coverage FROM
+      (SELECT unnest([{", ".join(f"{r}::DOUBLE" for r in TARGET_RECALLS)}]) AS recall) r CROSS JOIN
+      (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in TARGET_COVERAGES)}]) AS coverage) c),
+    met AS (
+      SELECT s.filter_id, t.recall, t.coverage, s.error, abs(s.recall - t.recall) AS dr,
+             abs(s.coverage - t.coverage) AS dc FROM triples s CROSS JOIN targets t),
+    inside AS (
+      SELECT filter_id, recall, coverage, avg(error) AS error FROM met
+      WHERE dr <= 0.001::DOUBLE AND dc <= 0.001::DOUBLE GROUP BY 1, 2, 3),
+    placed AS (
+      SELECT filter_id, recall, coverage, error, rank() OVER (
+        PARTITION BY filter_id, recall, coverage
+        ORDER BY round(sqrt(dr * dr + dc * dc), 12), round(dr, 12)) AS r FROM met),
+    nearest AS (
+      SELECT filter_id, recall, coverage, avg(error) AS error FROM placed WHERE r = 1
+      GROUP BY 1, 2, 3),
+    found AS (
+      SELECT n.filter_id, n.recall, n.coverage, coalesce(i.error, n.error) AS actual_error,
+             CASE WHEN i.error IS NULL THEN 'nearest' ELSE 'exact' END AS match
+      FROM nearest n LEFT JOIN inside i USING (filter_id, recall, coverage))"""
+
+
+@register(
+    "band_lookup",
+    f"""WITH {BAND} SELECT filter_id, recall, coverage, round(actual_error, 4) AS actual_error, match
+    FROM found""",
+)
+def band_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    out = actual_errors(feeds.triples(spark, sf))
+    return out.withColumn("actual_error", F.round("actual_error", 4))
+
+
+SENTINELS = f"""{TRIPLES},
+    pulled AS (
+      SELECT filter_id, recall, CASE WHEN coverage >= 1.0 THEN 0.9995::DOUBLE ELSE coverage END
+             AS coverage, error FROM triples),
+    tops AS (
+      SELECT filter_id, recall, coverage AS c0, error AS e0 FROM (
+        SELECT *, row_number() OVER (PARTITION BY filter_id, recall
+                                     ORDER BY coverage DESC, error DESC) AS r FROM pulled) t
+      WHERE r = 1),
+    percents AS (
+      SELECT *, unnest(list_append(
+               CASE WHEN ceil((c0 + 0.01::DOUBLE) / 0.01::DOUBLE) <= 99
+                    THEN range(CAST(ceil((c0 + 0.01::DOUBLE) / 0.01::DOUBLE) AS BIGINT), 100)
+                    ELSE [] END, 100)) AS p FROM tops),
+    added AS (
+      SELECT filter_id, recall, p / 100.0::DOUBLE AS coverage,
+             CASE WHEN p = 100 THEN 3 * e0
+                  ELSE e0 + (3 * e0 - e0) * (p / 100.0::DOUBLE - c0) / (1.0::DOUBLE - c0) END
+             AS error FROM percents)"""
+
+
+@register(
+    "coverage_sentinels",
+    f"""WITH {SENTINELS}
+    SELECT {POINT}, false AS is_new FROM pulled UNION ALL SELECT {POINT}, true FROM added""",
+)
+def coverage_sentinels(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(A.coverage_sentinels(feeds.triples(spark, sf)), "is_new")
+
+
+@register(
+    "extreme_sentinels",
+    f"""WITH {TRIPLES}, tops AS (
+      SELECT filter_id, recall, max(error) AS e FROM triples GROUP BY 1, 2)
+    SELECT {POINT} FROM (
+      SELECT filter_id, recall, coverage, error FROM triples
+      UNION ALL SELECT filter_id, recall, 0.999::DOUBLE, e * 3 FROM tops
+      UNION ALL SELECT filter_id, recall, 0.9999::DOUBLE, e * 5 FROM tops) t""",
+)
+def extreme_sentinels(spark: SparkSession, sf: str) -> DataFrame:
+    return _point(A.extreme_sentinels(feeds.triples(spark, sf)))
+
+
+@register(
+    "added_rows",
+    f"""WITH {SENTINELS}
+    SELECT {POINT} FROM (
+      SELECT filter_id, recall, coverage, round(error, 6) AS error FROM pulled
+      UNION ALL SELECT filter_id, recall, coverage, round(error, 6) FROM added
+      EXCEPT ALL SELECT filter_id, recall, coverage, round(error, 6) FROM triples) t""",
+)
+def added_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feeds.triples(spark, sf)
+    return _point(
+        A.added_rows(A.coverage_sentinels(rows), rows.withColumn("error", F.round("error", 6)))
+    )
+
+
+@register(
+    "sentinel_growth",
+    """SELECT l_linenumber::BIGINT AS l_linenumber, round(sum(l_quantity * 2), 4) AS linear,
+              round(sum(l_quantity * exp(1.0)), 2) AS exponential,
+              round(sum(l_quantity * 4), 4) AS quadratic FROM lineitem GROUP BY 1""",
+)
+def sentinel_growth(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return (
+        feeds.table(spark, sf, "lineitem")
+        .groupBy("l_linenumber")
+        .agg(
+            F.round(F.sum(A.sentinel_error(q, "linear", 2.0)), 4).alias("linear"),
+            F.round(F.sum(A.sentinel_error(q, "exponential", 2.0)), 2).alias("exponential"),
+            F.round(F.sum(A.sentinel_error(q, "quadratic", 2.0)), 4).alias("quadratic"),
+        )
+    )
+
+
+_INTS = {
+    "high_recall", "high_coverage", "both_high", "very_high_recall", "very_high_coverage",
+    "medium_recall", "medium_coverage",
+}
+
+_FEATURE_SQL = {
+    "recall_coverage_product": "r * c",
+    "recall_coverage_ratio": "r / (c + 1e-10)",
+    "coverage_recall_ratio": "c / (r + 1e-10)",
+    "recall_squared": "r * r",
+    "coverage_squared": "c * c",
+    "recall_cubed": "r * r * r",
+    "coverage_cubed": "c * c * c",
+    "log_recall": "ln(r + 1e-10)",
+    "log_coverage": "ln(c + 1e-10)",
+    "log_product": "ln(r + 1e-10) + ln(c + 1e-10)",
+    "distance_to_perfect": "sqrt((1 - r) * (1 - r) + (1 - c) * (1 - c))",
+    "distance_to_origin": "sqrt(r * r + c * c)",
+    "manhattan_distance_to_perfect": "(1 - r) + (1 - c)",
+    "harmony_score": "1 - abs(r - c)",
+    "balance_score": "least(r, c) / greatest(r, c)",
+    "recall_rank": "rr",
+    "coverage_rank": "cr",
+    "rank_correlation": "rr * cr",
+    "rank_difference": "abs(rr - cr)",
+    "exp_recall": "exp(-r)",
+    "exp_coverage": "exp(-c)",
+    "high_recall": "CAST(r > 0.95::DOUBLE AS BIGINT)",
+    "high_coverage": "CAST(c > 0.95::DOUBLE AS BIGINT)",
+    "both_high": "CAST(r > 0.95::DOUBLE AND c > 0.95::DOUBLE AS BIGINT)",
+    "very_high_recall": "CAST(r > 0.98::DOUBLE AS BIGINT)",
+    "very_high_coverage": "CAST(c > 0.98::DOUBLE AS BIGINT)",
+    "medium_recall": "CAST(r > 0.9::DOUBLE AND r <= 0.95::DOUBLE AS BIGINT)",
+    "medium_coverage": "CAST(c > 0.9::DOUBLE AND c <= 0.95::DOUBLE AS BIGINT)",
+    "recall_coverage_diff": "r - c",
+    "abs_recall_coverage_diff": "abs(r - c)",
+    "harmonic_mean": "2 * r * c / (r + c + 1e-10)",
+    "geometric_mean": "sqrt(r * c)",
+    "f1_score": "2 * r * c / (r + c + 1e-10)",
+    "f2_score": "5 * r * c / (4 * r + c + 1e-10)",
+    "f0_5_score": "1.25::DOUBLE * r * c / (0.25::DOUBLE * r + c + 1e-10)",
+    "recall_high_region": "greatest(0.0, r - 0.9::DOUBLE)",
+    "coverage_high_region": "greatest(0.0, c - 0.9::DOUBLE)",
+    "recall_extreme_high": "greatest(0.0, r - 0.95::DOUBLE)",
+    "coverage_extreme_high": "greatest(0.0, c - 0.95::DOUBLE)",
+}
+
+
+@register(
+    "enhanced_features",
+    f"""WITH {TRIPLES},
+    placed AS (
+      SELECT filter_id, recall AS r, coverage AS c,
+             (rank() OVER (PARTITION BY filter_id ORDER BY recall)
+              + (count(*) OVER (PARTITION BY filter_id, recall) - 1) / 2.0::DOUBLE)
+             / count(*) OVER (PARTITION BY filter_id) AS rr,
+             (rank() OVER (PARTITION BY filter_id ORDER BY coverage)
+              + (count(*) OVER (PARTITION BY filter_id, coverage) - 1) / 2.0::DOUBLE)
+             / count(*) OVER (PARTITION BY filter_id) AS cr FROM triples)
+    SELECT filter_id, r AS recall, c AS coverage, {", ".join(
+        f"{e} AS {n}" if n in _INTS else f"round({e}, 7) + 0.0 AS {n}"
+        for n, e in _FEATURE_SQL.items())} FROM placed""",
+)
+def enhanced_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.surface_features(feeds.triples(spark, sf))
+    return rows.select(
+        "filter_id",
+        "recall",
+        "coverage",
+        *[
+            F.col(n) if n in _INTS else (F.round(n, 7) + 0.0).alias(n)
+            for n in A.FEATURES
+            if n not in ("recall", "coverage")
+        ],
+    )
+
+
+@register(
+    "test_flags",
+    f"""WITH {TRIPLES},
+    sizes AS (SELECT filter_id, count(*) AS n FROM triples GROUP BY 1)
+    SELECT filter_id, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS n_test,
+           n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS n_train FROM sizes""",
+)
+def test_flags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = test_flag(feeds.triples(spark, sf), ["recall", "coverage"], ["filter_id"], 0.2, "flags")
+    return rows.groupBy("filter_id").agg(
+        F.count_if(F.col("is_test") == 1).alias("n_test"),
+        F.count_if(F.col("is_test") == 0).alias("n_train"),
+    )

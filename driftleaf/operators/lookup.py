@@ -28,17 +28,6 @@ def with_targets(filters: DataFrame, targets: Sequence[tuple[float, float]] = TA
     )
 
 
-def dense_grid(
-    r_range: tuple[float, float], c_range: tuple[float, float], size: int = 50
-) -> list[tuple[float, float]]:
-    """Evenly spaced evaluation points."""
-
-    def axis(low: float, high: float) -> list[float]:
-        return [low + (high - low) * i / (size - 1) for i in range(size)]
-
-    return [(r, c) for r in axis(*r_range) for c in axis(*c_range)]
-
-
 def actual_errors(
     triples: DataFrame,
     targets: Sequence[tuple[float, float]] = TARGETS,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -234,10 +235,37 @@ def running_maximum(surface: DataFrame, value: str = "error") -> DataFrame:
     return step.withColumn(value, F.max(value).over(up("coverage", "recall")))
 
 
-def target_array(targets: Sequence[tuple[float, float]]) -> Column:
-    return F.array(
+@dataclass(frozen=True)
+class DenseGrid:
+    """Evenly spaced evaluation points, ``size`` on each axis."""
+
+    recalls: tuple[float, float]
+    coverages: tuple[float, float]
+    size: int = 50
+
+
+Targets = Sequence[tuple[float, float]] | DenseGrid
+
+
+def with_targets(df: DataFrame, targets: Targets) -> DataFrame:
+    """Every row with every target point, as ``target_r`` and ``target_c``."""
+    if isinstance(targets, DenseGrid):
+        steps = F.sequence(F.lit(0), F.lit(targets.size - 1))
+
+        def on(axis: tuple[float, float], step: str) -> Column:
+            return F.lit(axis[0]) + F.col(step) * ((axis[1] - axis[0]) / (targets.size - 1))
+
+        return (
+            df.withColumn("_i", F.explode(steps))
+            .withColumn("_j", F.explode(steps))
+            .withColumn("target_r", on(targets.recalls, "_i"))
+            .withColumn("target_c", on(targets.coverages, "_j"))
+            .drop("_i", "_j")
+        )
+    points = F.array(
         *[F.struct(F.lit(r).alias("target_r"), F.lit(c).alias("target_c")) for r, c in targets]
     )
+    return df.withColumn("_t", F.explode(points)).select(*df.columns, "_t.*")
 
 
 def boost(recall: Column, coverage: Column) -> Column:
@@ -247,7 +275,7 @@ def boost(recall: Column, coverage: Column) -> Column:
 
 
 def predict_surface(
-    surface: DataFrame, bounds: DataFrame, targets: Sequence[tuple[float, float]]
+    surface: DataFrame, bounds: DataFrame, targets: Targets
 ) -> DataFrame:
     """(filter_id, target_r, target_c, error) from a repaired grid, by inverse fourth power of
     the distance; targets are pulled into the data bounds first."""
@@ -256,12 +284,13 @@ def predict_surface(
         F.col("coverage") - c
     )
     rows = (
-        surface.join(bounds.select(*KEY, "lo_r", "hi_r", "lo_c", "hi_c"), KEY)
-        .withColumn("t", F.explode(target_array(targets)))
+        with_targets(
+            surface.join(bounds.select(*KEY, "lo_r", "hi_r", "lo_c", "hi_c"), KEY), targets
+        )
         .select(
-            *KEY, "recall", "coverage", "error", "t.*",
-            F.greatest("lo_r", F.least("hi_r", "t.target_r")).alias("bound_r"),
-            F.greatest("lo_c", F.least("hi_c", "t.target_c")).alias("bound_c"),
+            *KEY, "recall", "coverage", "error", "target_r", "target_c",
+            F.greatest("lo_r", F.least("hi_r", "target_r")).alias("bound_r"),
+            F.greatest("lo_c", F.least("hi_c", "target_c")).alias("bound_c"),
         )
         .withColumn("d", d)
     )
@@ -285,7 +314,7 @@ def predict_surface(
     )
 
 
-def surface_at(triples: DataFrame, targets: Sequence[tuple[float, float]]) -> DataFrame:
+def surface_at(triples: DataFrame, targets: Targets) -> DataFrame:
     """Clean, grid, repair, evaluate."""
     clean = clean_triples(triples)
     return predict_surface(running_maximum(fit_grid(clean)), surface_bounds(clean), targets)
@@ -337,24 +366,12 @@ def fit_quadratic(triples: DataFrame) -> DataFrame:
     )
 
 
-def predict_quadratic(models: DataFrame, targets: Sequence[tuple[float, float]]) -> DataFrame:
-    terms = F.array(
-        *polynomial_terms(F.col("target_r") - F.col("mid_r"), F.col("target_c") - F.col("mid_c"))
-    )
-    used = F.slice(terms, 1, F.size("coefficients"))
-    return (
-        models.withColumn("t", F.explode(target_array(targets)))
-        .select(*KEY, "mid_r", "mid_c", "coefficients", "t.*")
-        .select(
-            *KEY,
-            "target_r",
-            "target_c",
-            F.aggregate(
-                F.zip_with("coefficients", used, lambda w, x: w * x),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            ).alias("error"),
-        )
+def predict_quadratic(models: DataFrame, targets: Targets) -> DataFrame:
+    terms = polynomial_terms(F.col("target_r") - F.col("mid_r"), F.col("target_c") - F.col("mid_c"))
+    weights = [F.coalesce(F.get("coefficients", F.lit(i)), F.lit(0.0)) for i in range(6)]
+    value = sum((w * t for w, t in zip(weights[1:], terms[1:])), weights[0])
+    return with_targets(models, targets).select(
+        *KEY, "target_r", "target_c", value.alias("error")
     )
 
 
