@@ -53,13 +53,17 @@ def with_dominated_flag(triples: DataFrame) -> DataFrame:
         .orderBy(F.desc("coverage"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    whole = Window.partitionBy(*KEY)
+    place = F.row_number().over(whole.orderBy("error")) - 1
+    quartile = F.max(F.when(F.col("place") == F.floor(F.col("n") / 4), F.col("error")))
+    smallest = F.coalesce(F.least("m1", "m2"), F.lit(float("inf")))
     return (
         right.withColumn("m2", F.min("error").over(above))
-        .join(index_quartile(triples), KEY)
+        .withColumn("place", place)
+        .withColumn("n", F.count("*").over(whole))
+        .withColumn("q", quartile.over(whole))
         .withColumn(
-            "dominated",
-            (F.col("error") < F.col("q"))
-            & (F.coalesce(F.least("m1", "m2"), F.lit(float("inf"))) <= F.col("error")),
+            "dominated", (F.col("error") < F.col("q")) & (smallest <= F.col("error"))
         )
         .select(*KEY, "recall", "coverage", "error", "dominated")
     )
