@@ -266,7 +266,7 @@ BAND = f"""{TRIPLES},
     placed AS (
       SELECT filter_id, recall, coverage, error, rank() OVER (
         PARTITION BY filter_id, recall, coverage
-        ORDER BY round(sqrt(dr * dr + dc * dc), 12), round(dr, 12)) AS r FROM met),
+        ORDER BY round(sqrt(dr * dr + dc * dc) * 1e9), round(dr * 1e9)) AS r FROM met),
     nearest AS (
       SELECT filter_id, recall, coverage, avg(error) AS error FROM placed WHERE r = 1
       GROUP BY 1, 2, 3),

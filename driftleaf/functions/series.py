@@ -26,7 +26,7 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def mean(values: Column) -> Column:
+def _mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
@@ -35,16 +35,24 @@ def _std_about(values: Column, centre: Column) -> Column:
     return F.sqrt(squares / F.size(values))
 
 
+def _mean_std(values: Column) -> Column:
+    return let(
+        _mean(values),
+        lambda m: F.struct(m.alias("mean"), _std_about(values, m).alias("std")),
+    )
+
+
+def mean(values: Column) -> Column:
+    return let(values, _mean)
+
+
 def std(values: Column) -> Column:
     """Population standard deviation, in two passes."""
-    return let(mean(values), lambda m: _std_about(values, m))
+    return let(values, lambda v: let(_mean(v), lambda m: _std_about(v, m)))
 
 
 def mean_std(values: Column) -> Column:
-    return let(
-        mean(values),
-        lambda m: F.struct(m.alias("mean"), _std_about(values, m).alias("std")),
-    )
+    return let(values, _mean_std)
 
 
 def segment(values: Column, offset: Column | int, length: Column | int) -> Column:
@@ -53,14 +61,11 @@ def segment(values: Column, offset: Column | int, length: Column | int) -> Colum
 
 def znormalize(values: Column) -> Column:
     """Zero mean and unit deviation; NULL for a series with no spread."""
-    doubles = as_doubles(values)
 
-    def scaled(ms: Column) -> Column:
-        return F.when(
-            ms["std"] > EPSILON, F.transform(doubles, lambda x: (x - ms["mean"]) / ms["std"])
-        )
+    def scaled(v: Column, ms: Column) -> Column:
+        return F.when(ms["std"] > EPSILON, F.transform(v, lambda x: (x - ms["mean"]) / ms["std"]))
 
-    return let(mean_std(doubles), scaled)
+    return let(as_doubles(values), lambda v: let(_mean_std(v), lambda ms: scaled(v, ms)))
 
 
 def l2_squared(left: Column, right: Column) -> Column:

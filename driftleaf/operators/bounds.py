@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ class _Leaves:
 
     def __init__(self, table: pa.Table) -> None:
         self.leaf_ids = table.column("leaf_id").to_numpy().astype(np.int64)
+        if not len(self.leaf_ids):
+            return
         seg = table.column("seg").combine_chunks()
         if isinstance(seg, pa.ChunkedArray):
             seg = seg.combine_chunks()
@@ -59,32 +62,39 @@ class _Leaves:
 
 def _fits(leaf: DataFrame) -> pa.Table | None:
     """The envelopes, if they fit the broadcast budget."""
-    spark = leaf.sparkSession
-    size = leaf.agg(F.sum(F.size("seg") * 48 + 16)).first()[0] or 0
-    if size > broadcast_budget(spark):
-        return None
-    return leaf.select("leaf_id", "seg").toArrow()
+    budget = broadcast_budget(leaf.sparkSession)
+    # Each leaf has at least one segment of 48 bytes and its id.
+    table = leaf.select("leaf_id", "seg").limit(budget // 64 + 1).toArrow()
+    return table if table.num_rows <= budget // 64 and table.nbytes <= budget else None
 
 
-def leaf_bounds(queries: DataFrame, leaf: DataFrame, limit_column: str | None = None) -> DataFrame:
+def ship_leaves(leaf: DataFrame) -> Broadcast | None:
+    """The envelopes in the tasks' memory, if they fit the broadcast budget."""
+    table = _fits(leaf)
+    return None if table is None else share(leaf.sparkSession, _Leaves(table.combine_chunks()))
+
+
+def leaf_bounds(
+    queries: DataFrame,
+    leaf: DataFrame,
+    limit_column: str | None = None,
+    shipped: Broadcast | None = None,
+) -> DataFrame:
     """(query_id, leaf_id, lb) for every query and leaf; with ``limit_column``, only leaves whose
     bound does not exceed that column of the query (NULL means no limit).
 
     Envelopes that fit the budget are shipped and the queries are mapped in place. Otherwise
     blocks of queries meet the leaves in an equi-join on the block number, so that the larger
     side is neither collected nor paired in one task."""
-    table = _fits(leaf)
     columns = ["query_id", "values"] + ([limit_column] if limit_column else [])
-    if table is None:
+    shared = shipped or ship_leaves(leaf)
+    if shared is None:
         return _joined_bounds(queries.select(*columns), leaf, limit_column)
-    if not table.num_rows:
-        return queries.sparkSession.createDataFrame([], BOUND_SCHEMA)
-    shared = share(queries.sparkSession, _Leaves(table.combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = shared.value
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(leaves.leaf_ids):
                 continue
             ids = batch.column("query_id").to_numpy(zero_copy_only=False)
             x = to_matrix(batch.column("values"))

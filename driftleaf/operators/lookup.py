@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftleaf.session import spread
+
 # The target grid and the match tolerance.
 TARGET_RECALLS = (0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0)
 TARGET_COVERAGES = (0.85, 0.9, 0.95, 0.99, 1.0)
@@ -37,33 +39,39 @@ def actual_errors(
     the tolerance of a target on both axes; without any, that of the nearest triples, ties going
     to the smaller recall difference.
 
-    Every triple meets the fixed list of targets and is aggregated where it lies; what is
-    shuffled is one row per filter and target from each task."""
-    t = F.col("t")
-    dr, dc = F.abs(F.col("recall") - t["recall"]), F.abs(F.col("coverage") - t["coverage"])
-    met = triples.withColumn("t", F.explode(targets_column(targets))).select(
-        "filter_id",
-        t["recall"].alias("recall"),
-        t["coverage"].alias("coverage"),
-        "error",
-        ((dr <= tolerance) & (dc <= tolerance)).alias("inside"),
-        F.round(F.sqrt(dr * dr + dc * dc), 12).alias("d"),
-        F.round(dr, 12).alias("dr"),
-    )
-    key = ["filter_id", "recall", "coverage"]
-    best = met.groupBy(*key).agg(
-        F.avg(F.when(F.col("inside"), F.col("error"))).alias("inside_error"),
-        F.min(F.struct("d", "dr")).alias("best"),
+    Every triple meets the fixed list of targets and is reduced where it lies to the best
+    distance code per filter and target; a second look at the triples then picks those that reach
+    it. Distances that differ by less than a billionth count as equal."""
+    t, key = F.col("t"), ["filter_id", "recall", "coverage"]
+    rows = spread(triples, "filter_id", "recall", "coverage")
+    met = rows.withColumn("t", F.explode(targets_column(targets)))
+    inside = (F.abs(F.col("recall") - t["recall"]) <= tolerance) & (
+        F.abs(F.col("coverage") - t["coverage"]) <= tolerance
     )
-    nearest = (
-        met.groupBy(*key, "d", "dr")
-        .agg(F.avg("error").alias("near_error"))
-        .withColumn("best", F.struct("d", "dr"))
-        .join(best, [*key, "best"])
+    best = met.groupBy(
+        "filter_id", t["recall"].alias("target_r"), t["coverage"].alias("target_c")
+    ).agg(
+        F.avg(F.when(inside, F.col("error"))).alias("inside_error"),
+        F.min(_distance_code(t["recall"], t["coverage"])).alias("code"),
     )
-    exact = F.col("inside_error").isNotNull()
-    return nearest.select(
-        *key,
-        F.coalesce("inside_error", "near_error").alias("actual_error"),
-        F.when(exact, "exact").otherwise("nearest").alias("match"),
+    reached = _distance_code(F.col("target_r"), F.col("target_c")) == F.col("code")
+    return (
+        rows.join(best, "filter_id")
+        .where(reached)
+        .groupBy(
+            "filter_id", F.col("target_r").alias("recall"), F.col("target_c").alias("coverage")
+        )
+        .agg(F.avg("error").alias("near"), F.max("inside_error").alias("inside"))
+        .select(
+            *key,
+            F.coalesce("inside", "near").alias("actual_error"),
+            F.when(F.col("inside").isNotNull(), "exact").otherwise("nearest").alias("match"),
+        )
     )
+
+
+def _distance_code(target_r: Column, target_c: Column) -> Column:
+    """Distance and then recall difference, in billionths, in one ordered integer."""
+    dr, dc = F.abs(F.col("recall") - target_r), F.abs(F.col("coverage") - target_c)
+    distance = F.sqrt(dr * dr + dc * dc)
+    return (distance * 1e9 + 0.5).cast("long") * F.lit(1 << 31) + (dr * 1e9 + 0.5).cast("long")

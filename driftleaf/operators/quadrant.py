@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftleaf.session import spread
+
 
 def quadrant_extreme(
     points: DataFrame,
@@ -29,7 +31,7 @@ def quadrant_extreme(
     ``strict_y``). One row per (by, x, y) is expected."""
     x_order = F.desc(x) if above else F.asc(x)
     y_order = F.desc(y) if above else F.asc(y)
-    ranked = points.withColumn(
+    ranked = spread(points, *by).withColumn(
         "_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(x_order)) - 1
     ).withColumn("_levels", F.length(F.bin(F.max("_rank").over(Window.partitionBy(*by)))))
     levels = F.sequence(F.lit(0), F.col("_levels") - 1)

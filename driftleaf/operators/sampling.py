@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.functions.draws import normal_draw, unit_draw
-from driftleaf.functions.series import as_doubles, znormalize
+from driftleaf.functions.series import as_doubles, let, znormalize
 
 
 def draw_members(members: DataFrame, n: int, seed: str) -> DataFrame:
@@ -38,8 +38,11 @@ def draw_members(members: DataFrame, n: int, seed: str) -> DataFrame:
 def add_noise(values: Column, low: float, high: float, seed: str, *keys: Column) -> Column:
     """Gaussian noise whose deviation is uniform in [low, high], then z-normalised."""
     level = F.lit(low) + unit_draw(f"{seed}/level", *keys) * F.lit(high - low)
-    noisy = F.transform(
-        as_doubles(values), lambda x, i: x + level * normal_draw(f"{seed}/noise", *keys, i)
+    noisy = let(
+        level,
+        lambda sigma: F.transform(
+            as_doubles(values), lambda x, i: x + sigma * normal_draw(f"{seed}/noise", *keys, i)
+        ),
     )
     return znormalize(noisy)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftleaf.session import share, ship_package
+from driftleaf.session import materialise, share, ship_package
 from driftleaf.settings import BLOCK_ROWS, QUERY_BLOCK_ROWS, broadcast_budget
 
 SCAN_SCHEMA = "query_id long, leaf_id long, series_id long, dist2 double"
@@ -214,6 +214,8 @@ def _block_join(
 ) -> DataFrame:
     spark = members.sparkSession
     ship_package(spark)
+    if pairs is not None:
+        pairs = materialise(pairs.select("query_id", "leaf_id"), "pairs")
     # A block row can hold megabytes, so few of them go into one Arrow batch.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(128 << 20))
     sizes = members.groupBy("leaf_id").agg(
@@ -277,15 +279,25 @@ def _with_query_blocks_for_all(q: DataFrame, leaves: DataFrame) -> DataFrame:
     return asked.join(packed, "chunk")
 
 
+# A first fetch assumes series of at most this many values; longer or more queries need another.
+_USUAL_LENGTH = 256
+
+
 def bounded_queries(queries: DataFrame, spark: SparkSession) -> pa.Table | None:
     """The query rows, when they fit the broadcast budget; None when they do not. Reads at most
     one row above the bound."""
-    head = queries.select("values").limit(1).collect()
-    if not head:
-        return queries.select("query_id", "values").limit(0).toArrow()
-    cap = max(1, broadcast_budget(spark) // (8 * max(1, len(head[0][0]))))
+    budget = broadcast_budget(spark)
+    cap = max(1, budget // (8 * _USUAL_LENGTH))
     table = queries.select("query_id", "values").limit(cap + 1).toArrow()
-    return table if table.num_rows <= cap else None
+    if not table.num_rows:
+        return table
+    width = 8 * max(1, len(table.column("values")[0]))
+    if table.num_rows <= cap:
+        return table if table.num_rows * width <= budget else None
+    if budget // width <= cap:
+        return None
+    table = queries.select("query_id", "values").limit(budget // width + 1).toArrow()
+    return table if table.num_rows <= budget // width else None
 
 
 def _query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.quadrant import quadrant_extreme
-from driftleaf.session import ship_package
+from driftleaf.session import ship_package, spread
 
 # Fixed values of the surface.
 BUMP = 1.01
@@ -23,6 +23,9 @@ HIT_DISTANCE2 = 1e-10
 BASE, FACTOR, FLOOR = 0.2, 1.4, 0.1
 BOOST_FROM, RECALL_BOOST, COVERAGE_BOOST = 0.97, 10.0, 5.0
 
+# A filter with more triples than this is spread over several tasks.
+ROWS_PER_TASK = 20_000
+
 KEY = ["filter_id"]
 
 
@@ -183,9 +186,12 @@ def nearest_to_grid(triples: DataFrame) -> DataFrame:
     every node of the filter's grid. Each task keeps five per node, so a filter that holds most
     of the triples is spread over all tasks."""
     ship_package(triples.sparkSession)
-    rows = triples.join(surface_bounds(triples), KEY).select(
-        *KEY, "recall", "coverage", "error", "lo_r", "hi_r", "lo_c", "hi_c", "grid"
+    salt = F.pmod(
+        F.xxhash64("recall", "coverage"), F.ceil(F.col("n") / F.lit(ROWS_PER_TASK)).cast("int")
     )
+    rows = spread(
+        triples.join(surface_bounds(triples), KEY).withColumn("salt", salt), *KEY, "salt"
+    ).select(*KEY, "recall", "coverage", "error", "lo_r", "hi_r", "lo_c", "hi_c", "grid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, _GridNearest] = {}

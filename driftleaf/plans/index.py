@@ -5,15 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftleaf.functions.draws import unit_draw
 from driftleaf.functions.series import segmentation
+from driftleaf.operators.bounds import ship_leaves
 from driftleaf.operators.leaves import key_envelopes
 from driftleaf.operators.scan import to_matrix
 from driftleaf.operators.tree import (
@@ -25,7 +28,7 @@ from driftleaf.operators.tree import (
     pack_envelopes,
     route,
 )
-from driftleaf.session import new_work_path, share
+from driftleaf.session import new_work_path, share, spread
 from driftleaf.settings import BLOCK_ROWS, IndexOptions
 
 
@@ -42,6 +45,11 @@ class Index:
     path: str | None = None
     route_column: str = "values"
 
+    @cached_property
+    def shipped_leaves(self) -> Broadcast | None:
+        """Envelopes broadcast once for all searches on this index; None if they are too large."""
+        return ship_leaves(self.leaf)
+
     @property
     def exact_bounds(self) -> bool:
         return self.route_column == "values"
@@ -76,12 +84,13 @@ def build_index(
     data = series.select("series_id", F.col(route_column).alias("values"))
     total = series.count()
     tree = Tree.root(_series_length(series, route_column), options)
-    if total > options.sample_rows:
-        share = options.sample_rows / total
-        sample = data.where(unit_draw("tree", F.col("series_id")) < share).persist()
-        grow(sample, tree, max(2.0, options.leaf_size * share), options)
-        sample.unpersist()
-    grow(data, tree, options.leaf_size, options)
+    part = min(1.0, options.sample_rows / max(1, total))
+    sample = data if part == 1.0 else data.where(unit_draw("tree", F.col("series_id")) < part)
+    sample = spread(sample).persist()
+    grow(sample, tree, max(2.0, options.leaf_size * part), options)
+    sample.unpersist()
+    if part < 1.0:
+        grow(data, tree, options.leaf_size, options)
 
     path = path or new_work_path(spark, "index")
     leaf = (

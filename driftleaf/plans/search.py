@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftleaf.operators.bounds import leaf_bounds
 from driftleaf.operators.scan import scan, top_k
 from driftleaf.plans.index import Index
-from driftleaf.session import materialise
+from driftleaf.session import pin
 
 ANSWER = ["query_id", "rank", "series_id", "leaf_id", "dist"]
 
@@ -24,14 +24,30 @@ def knn_resident(index: Index, queries: DataFrame, k: int, resident: DataFrame |
     return top_k(scan(index.members, queries, k, pairs=resident), k).select(*ANSWER)
 
 
+def _pinned(
+    index: Index, queries: DataFrame, resident: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and their resident leaves, evaluated once."""
+    columns = ["query_id", "values"]
+    if index.route_column != "values":
+        columns.append(index.route_column)
+    queries = pin(queries.select(*columns), "queries", row_bytes=4096)
+    resident = index.resident(queries) if resident is None else resident
+    return queries, pin(resident.select("query_id", "leaf_id"), "resident")
+
+
 def seed_limits(
     index: Index, queries: DataFrame, k: int, resident: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Answers from the resident leaf, and the queries with ``kth``: the distance to beat, NULL
     while fewer than k members were seen."""
-    first = materialise(scan(index.members, queries, k, pairs=resident), "seed")
+    best = top_k(scan(index.members, queries, k, pairs=resident), k)
+    first = pin(best.select("query_id", "leaf_id", "series_id", "dist2"), "seed")
     kth = (
-        top_k(first, k).where(F.col("rank") == k).select("query_id", F.col("dist").alias("kth"))
+        first.groupBy("query_id")
+        .agg(F.count("*").alias("n"), F.sqrt(F.max("dist2")).alias("kth"))
+        .where(F.col("n") == k)
+        .drop("n")
     )
     return first, queries.join(kth, "query_id", "left")
 
@@ -44,6 +60,7 @@ def candidates(
         limited.select("query_id", F.col(index.route_column).alias("values"), "kth"),
         index.leaf,
         "kth",
+        index.shipped_leaves,
     )
     return bounds.join(resident.select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_anti")
 
@@ -58,13 +75,11 @@ def knn_pruned(
     """Nearest neighbours with bound pruning: the resident leaf gives a first k-th distance, and
     only leaves whose bound does not exceed it are read. Exact when the index has exact bounds.
     ``keep`` (query_id, leaf_id) drops further candidates; see ``knn_filtered``."""
-    resident = index.resident(queries) if resident is None else resident
-    resident = materialise(resident.select("query_id", "leaf_id"), "resident")
+    queries, resident = _pinned(index, queries, resident)
     first, limited = seed_limits(index, queries, k, resident)
     left = candidates(index, limited, resident)
     if keep is not None:
         left = left.join(keep.select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_semi")
-    left = materialise(left, "candidates")
     rest = scan(index.members, queries, k, pairs=left)
     return top_k(first.unionByName(rest), k).select(*ANSWER)
 
@@ -87,11 +102,10 @@ def knn_filtered(
 ) -> DataFrame:
     """Bound pruning plus learned pruning. ``predictions``: (query_id, leaf_id, pred, alpha) for
     leaves with an active filter; a leaf without one is never pruned by it."""
-    resident = index.resident(queries) if resident is None else resident
-    resident = materialise(resident.select("query_id", "leaf_id"), "resident")
+    queries, resident = _pinned(index, queries, resident)
     first, limited = seed_limits(index, queries, k, resident)
     left = candidates(index, limited, resident)
-    kept = materialise(_learned_keep(left, limited, predictions), "candidates")
+    kept = _learned_keep(left, limited, predictions)
     rest = scan(index.members, queries, k, pairs=kept)
     return top_k(first.unionByName(rest), k).select(*ANSWER)
 
@@ -143,8 +157,7 @@ def knn_budgeted(
 ) -> DataFrame:
     """Approximate search with a visiting budget. The resident leaf comes first, then leaves by
     ``scores`` (query_id, leaf_id, score), best first, or by bound when none are given."""
-    resident = index.resident(queries) if resident is None else resident
-    resident = materialise(resident.select("query_id", "leaf_id"), "resident")
+    queries, resident = _pinned(index, queries, resident)
     first, limited = seed_limits(index, queries, k, resident)
     left = candidates(index, limited, resident).join(index.leaf.select("leaf_id", "n"), "leaf_id")
     if scores is None:
@@ -152,6 +165,6 @@ def knn_budgeted(
     else:
         left = left.join(scores, ["query_id", "leaf_id"])
         order = [F.desc("score"), F.asc("leaf_id")]
-    allowed = materialise(within_budget(left, order, max_leaves, max_series), "budget")
+    allowed = within_budget(left, order, max_leaves, max_series)
     rest = scan(index.members, queries, k, pairs=allowed)
     return top_k(first.unionByName(rest), k).select(*ANSWER)

@@ -19,7 +19,9 @@ def collect_facts(index: Index, queries: DataFrame, resident: DataFrame | None =
     are read once; tasks reduce them to one minimum per query and leaf."""
     resident = index.resident(queries) if resident is None else resident
     bounds = leaf_bounds(
-        queries.select("query_id", F.col(index.route_column).alias("values")), index.leaf
+        queries.select("query_id", F.col(index.route_column).alias("values")),
+        index.leaf,
+        shipped=index.shipped_leaves,
     )
     home = resident.select("query_id", F.col("leaf_id").alias("home"))
     facts = (

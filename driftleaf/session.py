@@ -11,6 +11,8 @@ from typing import Any
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from driftleaf.settings import broadcast_budget
+
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -50,6 +52,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin(df: DataFrame, label: str, row_bytes: int = 64) -> DataFrame:
+    """Evaluate ``df`` once. A result within the broadcast budget becomes a local relation; a
+    larger one is written to the shared folder."""
+    spark = df.sparkSession
+    cap = max(1, broadcast_budget(spark) // row_bytes)
+    table = df.limit(cap + 1).toArrow()
+    if table.num_rows > cap:
+        return materialise(df, label)
+    return spark.createDataFrame(table, df.schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before work that is heavy per row; adaptive
+    execution would otherwise merge small inputs into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _shipped: set[str] = set()
 
 
