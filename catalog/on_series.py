@@ -164,15 +164,13 @@ _SPLIT = f"""
 
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments and their halves of the leaves given by the label."""
-    rows = feeds.series(spark, sf)
-    whole = region_stats(rows, CUTS).withColumn("ord", F.col("ord") * 3)
-    half = region_stats(rows, S.segmentation(LENGTH, 2 * SEGMENTS)).withColumn(
-        "ord", F.floor(F.col("ord") / 2).cast("int") * 3 + 1 + F.col("ord") % 2
-    )
+    """Segments, each followed by its halves, of the leaves given by the label."""
+    regions = []
+    for off, n in CUTS:
+        regions += [(off, n)] + [(off + o, m) for o, m in S.segmentation(n, 2)]
     return (
-        whole.withColumn("vertical", F.lit(False))
-        .unionByName(half.withColumn("vertical", F.lit(True)))
+        region_stats(feeds.series(spark, sf), regions)
+        .withColumn("vertical", F.col("ord") % 3 > 0)
         .withColumnRenamed("leaf_id", "node_id")
     )
 

@@ -243,5 +243,5 @@ POOL = (
     + """,
     pool AS (
       SELECT filter_id, round(recall, 6) AS recall, round(coverage, 6) AS coverage,
-             avg(error) AS pred, quantile_cont(error, 0.6) AS actual FROM raw GROUP BY 1, 2, 3)"""
+             avg(error) AS pred, (min(error) + max(error)) / 2.0::DOUBLE AS actual FROM raw GROUP BY 1, 2, 3)"""
 )

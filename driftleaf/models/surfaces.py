@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from driftleaf.operators.augment import FEATURES, surface_features
 from driftleaf.operators.lookup import with_targets
 from driftleaf.operators.metrics import regression_metrics
-from driftleaf.operators.surface import running_maximum
+from driftleaf.operators.quantile import exact_quantile
+from driftleaf.operators.surface import clean_triples, fit_grid, running_maximum
 from driftleaf.session import ship_package
 
 PLAIN = ["recall", "coverage"]
@@ -83,20 +84,18 @@ def evaluate(model: BoostedSurface, rows: DataFrame) -> DataFrame:
 
 def quantile_surface(raw: DataFrame, quantile: float) -> DataFrame:
     """The quantile of the errors of each (filter, recall, coverage) cell, rising on both axes."""
-    cells = raw.groupBy(
-        "filter_id",
-        F.round("recall", 6).alias("recall"),
-        F.round("coverage", 6).alias("coverage"),
-    ).agg(F.percentile("error", quantile).alias("error"))
-    return running_maximum(cells)
+    rounded = raw.withColumn("recall", F.round("recall", 6)).withColumn(
+        "coverage", F.round("coverage", 6)
+    )
+    key = ["filter_id", "recall", "coverage"]
+    return running_maximum(exact_quantile(rounded, key, "error", quantile, "error"))
 
 
 def thin_plate_at(
     triples: DataFrame, targets: Sequence[tuple[float, float]], smoothing: float = 1e-3
 ) -> DataFrame:
-    """(filter_id, target_r, target_c, error) from a smoothed thin-plate spline per filter. The
-    solve is dense in the distinct (recall, coverage) pairs of one filter, a number set by the
-    calibration parameters (positions times batches), not by the data."""
+    """(filter_id, target_r, target_c, error) from a smoothed thin-plate spline per filter through
+    the nodes of its cleaned grid: at most 400 points, whatever the number of triples."""
     ship_package(triples.sparkSession)
     points = np.array(targets)
 
@@ -105,6 +104,7 @@ def thin_plate_at(
         return np.where(d2 > 0, 0.5 * d2 * np.log(np.where(d2 > 0, d2, 1.0)), 0.0)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["recall", "coverage"])
         xy = pdf[["recall", "coverage"]].to_numpy()
         low, span = xy.min(0), np.ptp(xy, axis=0)
         span = np.where(span > 0, span, 1.0)
@@ -125,7 +125,8 @@ def thin_plate_at(
              "target_c": points[:, 1], "error": value}
         )
 
-    return triples.select("filter_id", "recall", "coverage", "error").groupBy(
-        "filter_id"
-    ).applyInPandas(fit, "filter_id long, target_r double, target_c double, error double")
+    nodes = fit_grid(clean_triples(triples))
+    return nodes.groupBy("filter_id").applyInPandas(
+        fit, "filter_id long, target_r double, target_c double, error double"
+    )
 

@@ -28,32 +28,51 @@ def role_by_ratio(position: Column, n: int, ratio: float = 0.9) -> Column:
     return F.when(position < int(n * ratio), "train").otherwise("valid")
 
 
-def _hash_order(seed: str, *keys: str) -> list[Column]:
-    return [unit_draw(seed, *[F.col(k) for k in keys]), *[F.col(k) for k in keys]]
+# Rows that one task numbers.
+RANK_ROWS = 50_000
+
+
+def hash_place(df: DataFrame, seed: str, *keys: str) -> DataFrame:
+    """Add ``place``: the position of each row in the hash order of ``keys``, from 0.
+
+    Draws are uniform, so equal slices of [0, 1) hold about equally many rows: each slice is
+    numbered on its own and shifted by the row counts of the slices before it."""
+    slices = max(1, df.count() // RANK_ROWS)
+    drawn = df.withColumn("_draw", unit_draw(seed, *[F.col(k) for k in keys])).withColumn(
+        "_slice", F.floor(F.col("_draw") * slices).cast("int")
+    )
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        drawn.groupBy("_slice")
+        .agg(F.count("*").alias("_n"))
+        .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy("_slice").orderBy("_draw", *keys)
+    return (
+        drawn.withColumn("_row", F.row_number().over(inside) - 1)
+        .join(starts, "_slice")
+        .withColumn("place", F.col("_start") + F.col("_row"))
+        .drop("_draw", "_slice", "_row", "_start")
+    )
 
 
 def balanced_batches(
     queries: DataFrame, n_batches: int, batch_size: int, seed: str = "balanced"
 ) -> DataFrame:
     """(batch_id, slot, query_id): every query is used either the floor or the ceiling of the
-    average number of times, in hash order. The windows run over calibration query ids, a set
-    fixed by parameters."""
+    average number of times, in hash order."""
     n = queries.count()
-    total = n_batches * batch_size
-    base, extra = divmod(total, max(1, n))
-    order = Window.orderBy(*_hash_order(f"{seed}/quota", "query_id"))
-    quota = F.lit(base) + F.when(F.col("place") <= extra, 1).otherwise(0)
-    pool = (
-        queries.select("query_id", F.row_number().over(order).alias("place"))
-        .withColumn("quota", quota)
+    base, extra = divmod(n_batches * batch_size, max(1, n))
+    placed = hash_place(queries.select("query_id"), f"{seed}/quota", "query_id")
+    quota = F.lit(base) + F.when(F.col("place") < extra, 1).otherwise(0)
+    uses = (
+        placed.withColumn("quota", quota)
         .where(F.col("quota") > 0)
         .select("query_id", F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("use"))
     )
-    shuffled = Window.orderBy(*_hash_order(f"{seed}/pool", "query_id", "use"))
-    place = F.row_number().over(shuffled) - 1
-    return pool.select(
-        F.floor(place / batch_size).cast("int").alias("batch_id"),
-        (place % batch_size).cast("int").alias("slot"),
+    return hash_place(uses, f"{seed}/pool", "query_id", "use").select(
+        F.floor(F.col("place") / batch_size).cast("int").alias("batch_id"),
+        (F.col("place") % batch_size).cast("int").alias("slot"),
         "query_id",
     )
 
@@ -64,12 +83,10 @@ def uniform_batches(queries: DataFrame, n_batches: int, seed: str = "uniform") -
     n = queries.count()
     n_batches = max(1, min(n_batches, n // 3))
     size = max(1, n // n_batches)
-    order = Window.orderBy(*_hash_order(seed, "query_id"))
-    place = F.row_number().over(order) - 1
-    batch = F.least(F.floor(place / size), F.lit(n_batches - 1))
-    return queries.select(
+    batch = F.least(F.floor(F.col("place") / size), F.lit(n_batches - 1))
+    return hash_place(queries.select("query_id"), seed, "query_id").select(
         batch.cast("int").alias("batch_id"),
-        (place - batch * size).cast("int").alias("slot"),
+        (F.col("place") - batch * size).cast("int").alias("slot"),
         "query_id",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftleaf.operators.facts import valid_predictions
@@ -25,28 +25,26 @@ def residual_stats(res: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _ranked(res: DataFrame, by: list[str], top: F.Column) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("residual", "query_id")
-    body = res.select(
-        *by, F.row_number().over(order).alias("pos"), F.col("residual").alias("alpha")
+def _curve(residual_rows: DataFrame, by: list[str], gap: float) -> DataFrame:
+    """(by..., curve): 0, the sorted residuals and the sentinel above them. A group holds one row
+    per calibration query."""
+    sentinel = (
+        F.greatest(
+            F.max("residual"), F.avg("residual") + 3.0 * F.stddev_pop("residual")
+        )
+        + gap
     )
-    ends = residual_stats(res, by).select(
-        *by,
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("alpha")),
-                F.struct((F.col("n") + 1).cast("int").alias("pos"), top.alias("alpha")),
-            )
-        ).alias("e"),
+    return residual_rows.groupBy(*by).agg(
+        F.concat(
+            F.array(F.lit(0.0)), F.sort_array(F.collect_list("residual")), F.array(sentinel)
+        ).alias("curve")
     )
-    return body.unionByName(ends.select(*by, "e.pos", "e.alpha"))
 
 
 def conformal_alphas(res: DataFrame) -> DataFrame:
     """(leaf_id, pos, alpha): 0, the sorted residuals, and a top sentinel
     max(largest, mean + 3 deviations)."""
-    top = F.greatest(F.col("max_residual"), F.col("mean_residual") + 3.0 * F.col("std_residual"))
-    return _ranked(res, ["leaf_id"], top)
+    return _curve(res, ["leaf_id"], 0.0).select("leaf_id", F.posexplode("curve").alias("pos", "alpha"))
 
 
 def batch_alphas(res: DataFrame, batches: DataFrame) -> DataFrame:
@@ -54,31 +52,13 @@ def batch_alphas(res: DataFrame, batches: DataFrame) -> DataFrame:
     largest; a batch without valid residuals gets (0, 0.1)."""
     by = ["leaf_id", "batch_id"]
     joined = res.join(batches.select("batch_id", "slot", "query_id"), "query_id")
-    top = (
-        F.greatest(F.col("max_residual"), F.col("mean_residual") + 3.0 * F.col("std_residual"))
-        + EPSILON_GAP
+    every = res.select("leaf_id").distinct().withColumn(
+        "batch_id", F.explode(F.sequence(F.lit(0), F.lit(_batch_count(batches) - 1)))
     )
-    fitted = _ranked(joined, by, top)
-    empty = (
-        res.select("leaf_id")
-        .distinct()
-        .withColumn(
-            "batch_id",
-            F.explode(F.sequence(F.lit(0), F.lit(_batch_count(batches) - 1))),
-        )
-        .join(fitted.select(*by).distinct(), by, "left_anti")
-        .select(
-            *by,
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("alpha")),
-                    F.struct(F.lit(1).alias("pos"), F.lit(0.1).alias("alpha")),
-                )
-            ).alias("e"),
-        )
-        .select(*by, "e.pos", "e.alpha")
+    curve = F.coalesce("curve", F.array(F.lit(0.0), F.lit(0.1)))
+    return every.join(_curve(joined, by, EPSILON_GAP), by, "left").select(
+        *by, F.posexplode(curve).alias("pos", "alpha")
     )
-    return fitted.unionByName(empty)
 
 
 def _batch_count(batches: DataFrame) -> int:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.scan import scan, top_k
+from driftleaf.session import ship_package
 from driftleaf.settings import MAX_VALID, MIN_VALID
 
 
@@ -27,42 +30,29 @@ def with_bsf_before_visit(facts: DataFrame) -> DataFrame:
 
 def with_kth_before_visit(facts: DataFrame, leaf_top: DataFrame, k: int) -> DataFrame:
     """The same for k > 1: the k-th best distance over all series of the leaves visited before.
-    ``leaf_top``: (query_id, leaf_id, dist), the k nearest members of every leaf. A query keeps at
-    most k distances while it walks its leaves."""
-    tops = leaf_top.groupBy("query_id", "leaf_id").agg(F.collect_list("dist").alias("ds"))
-    walk = (
-        facts.join(tops, ["query_id", "leaf_id"], "left")
-        .groupBy("query_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        (~F.col("is_resident")).alias("later"),
-                        "lb",
-                        "leaf_id",
-                        F.coalesce("ds", F.expr("cast(array() as array<double>)")).alias("ds"),
-                    )
-                )
-            ).alias("steps")
-        )
-    )
-    start = F.struct(
-        F.expr("cast(array() as array<double>)").alias("best"),
-        F.expr("cast(array() as array<struct<leaf_id: bigint, bsf: double>>)").alias("out"),
+    ``leaf_top``: (query_id, leaf_id, dist), the k nearest members of every leaf. A group is one
+    query's leaves with k distances each; the walk keeps k distances."""
+    ship_package(facts.sparkSession)
+    tops = leaf_top.groupBy("query_id", "leaf_id").agg(F.sort_array(F.collect_list("dist")).alias("ds"))
+    steps = facts.select("query_id", "leaf_id", "is_resident", "lb").join(
+        tops, ["query_id", "leaf_id"], "left"
     )
 
-    def step(acc, leaf):
-        kth = F.when(F.size(acc["best"]) >= k, F.element_at(acc["best"], k))
-        return F.struct(
-            F.slice(F.array_sort(F.concat(acc["best"], leaf["ds"])), 1, k).alias("best"),
-            F.concat(
-                acc["out"], F.array(F.struct(leaf["leaf_id"].alias("leaf_id"), kth.alias("bsf")))
-            ).alias("out"),
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["is_resident", "lb", "leaf_id"], ascending=[False, True, True])
+        best, kth = np.empty(0), np.full(len(pdf), np.nan)
+        for i, ds in enumerate(pdf["ds"]):
+            if len(best) >= k:
+                kth[i] = best[k - 1]
+            if ds is not None and len(ds) and (len(best) < k or ds[0] < best[k - 1]):
+                best = np.sort(np.concatenate([best, ds]))[:k]
+        return pd.DataFrame(
+            {"query_id": pdf["query_id"], "leaf_id": pdf["leaf_id"], "bsf": kth}
         )
 
-    bsf = walk.select(
-        "query_id", F.explode(F.aggregate("steps", start, step, lambda acc: acc["out"])).alias("o")
-    ).select("query_id", "o.leaf_id", "o.bsf")
+    bsf = steps.groupBy("query_id").applyInPandas(
+        walk, "query_id long, leaf_id long, bsf double"
+    ).withColumn("bsf", F.nanvl("bsf", F.lit(None).cast("double")))
     return facts.join(bsf, ["query_id", "leaf_id"])
 
 

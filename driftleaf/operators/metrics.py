@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftleaf.operators.quantile import exact_quantile
+
 
 def _err(pred: str, actual: str) -> Column:
     return F.col(pred) - F.col(actual)
@@ -71,8 +73,7 @@ def average_metrics(per_filter: DataFrame) -> DataFrame:
 
 def prediction_statistics(df: DataFrame) -> DataFrame:
     """Per (recall, coverage), over filters: counts and distribution of predicted and actual
-    errors and how they differ. Rows without an actual error count only on the predicted side.
-    A group has one row per filter, a number bounded by the tree size."""
+    errors and how they differ. Rows without an actual error count only on the predicted side."""
     e = _err("pred", "actual")
 
     def spread(column: str) -> list[Column]:
@@ -82,10 +83,10 @@ def prediction_statistics(df: DataFrame) -> DataFrame:
             F.var_pop(column).alias(f"var_{column}"),
             F.min(column).alias(f"min_{column}"),
             F.max(column).alias(f"max_{column}"),
-            F.median(column).alias(f"median_{column}"),
         ]
 
-    return df.groupBy("recall", "coverage").agg(
+    key = ["recall", "coverage"]
+    stats = df.groupBy(*key).agg(
         F.count("pred").alias("n"),
         F.count("actual").alias("n_actual"),
         *spread("pred"),
@@ -94,6 +95,10 @@ def prediction_statistics(df: DataFrame) -> DataFrame:
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg((e >= 0).cast("double")).alias("safe_ratio"),
     )
+    for column in ("pred", "actual"):
+        middle = exact_quantile(df, key, column, 0.5, f"median_{column}")
+        stats = stats.join(middle, key, "left")
+    return stats
 
 
 def pivot_statistic(stats: DataFrame, column: str, coverages: list[float]) -> DataFrame:

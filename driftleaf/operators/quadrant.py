@@ -9,7 +9,7 @@ join of all pairs never arises.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.session import spread
@@ -36,40 +36,40 @@ def quadrant_extreme(
     ).withColumn("_levels", F.length(F.bin(F.max("_rank").over(Window.partitionBy(*by)))))
     levels = F.sequence(F.lit(0), F.col("_levels") - 1)
 
-    def shifted(level):
+    def shifted(level: Column) -> Column:
         return F.call_function("shiftright", F.col("_rank"), level)
 
-    tells = F.transform(
-        levels, lambda v: F.struct(v.alias("level"), shifted(v).alias("block"))
-    )
-    asks = F.concat(
-        F.array(F.struct(F.lit(-1).alias("level"), F.col("_rank").alias("block"))),
+    # Rows at the same y: an inclusive question sees them, a strict one does not.
+    tell_turn = 1 if strict_y else 0
+
+    def entry(level: Column, block: Column, asks: bool) -> Column:
+        return F.struct(
+            level.alias("level"),
+            block.alias("block"),
+            F.lit(1 - tell_turn if asks else tell_turn).alias("turn"),
+            F.lit(asks).alias("asks"),
+        )
+
+    entries = F.concat(
+        F.array(entry(F.lit(-1), F.col("_rank"), True)),
+        F.transform(levels, lambda v: entry(v, shifted(v), False)),
         F.transform(
             F.filter(levels, lambda v: shifted(v).bitwiseAND(F.lit(1)) == 1),
-            lambda v: F.struct(v.alias("level"), (shifted(v) - 1).alias("block")),
+            lambda v: entry(v, shifted(v) - 1, True),
         ),
     )
     columns = points.columns
-    # Rows at the same y: an inclusive question sees them, a strict one does not.
-    tell_first = 1 if strict_y else 0
-    rows = ranked.select(
-        *columns, F.explode(tells).alias("b"), F.lit(tell_first).alias("turn"), F.lit(0).alias("q")
-    ).unionByName(
-        ranked.select(
-            *columns, F.explode(asks).alias("b"), F.lit(1 - tell_first).alias("turn"),
-            F.lit(1).alias("q"),
-        )
-    )
+    rows = ranked.select(*columns, F.explode(entries).alias("b"))
     running = (
         Window.partitionBy(*by, "b.level", "b.block")
-        .orderBy(y_order, "turn")
+        .orderBy(y_order, "b.turn")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    told = F.when(F.col("q") == 0, F.col(value))
+    told = F.when(~F.col("b.asks"), F.col(value))
     extreme = (F.max if largest else F.min)
     return (
         rows.withColumn("_seen", extreme(told).over(running))
-        .where(F.col("q") == 1)
+        .where("b.asks")
         .groupBy(*columns)
         .agg(extreme("_seen").alias(name))
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from driftleaf.functions.draws import normal_draw, unit_draw
 from driftleaf.functions.series import as_doubles, let, znormalize
+from driftleaf.operators.scan import scan
+from driftleaf.session import broadcast_if_small, pin
 
 
 def draw_members(members: DataFrame, n: int, seed: str) -> DataFrame:
@@ -78,20 +80,20 @@ def leaf_queries(
     seed: str = "leaf",
 ) -> DataFrame:
     """(leaf_id, attempt, source_id, values): noisy copies of ``per_leaf`` members of every leaf
-    above the size. The smallest hash draws win; only the winners are shuffled."""
-    large = leaf.where(F.col("n") > min_leaf_size).select("leaf_id")
-    draw = unit_draw(seed, F.col("series_id"))
-    keyed = members.select("series_id", "leaf_id", draw.alias("draw"))
+    above the size: those with the smallest hash draws."""
+    # The share kept of a leaf leaves room for chance, so that enough rows remain in every leaf and
+    # only about as many rows as are asked for reach the shuffle, with their values.
+    room = per_leaf + 12.0 * math.sqrt(per_leaf) + 60.0
+    shares = leaf.where(F.col("n") > min_leaf_size).select(
+        "leaf_id", (F.lit(room) / F.col("n")).alias("share")
+    )
     order = Window.partitionBy("leaf_id").orderBy("draw", "series_id")
-    picked = (
-        keyed.join(large, "leaf_id", "left_semi")
+    return (
+        members.join(broadcast_if_small(shares, "shares"), "leaf_id")
+        .withColumn("draw", unit_draw(seed, F.col("series_id")))
+        .where(F.col("draw") < F.col("share"))
         .withColumn("attempt", F.row_number().over(order))
         .where(F.col("attempt") <= per_leaf)
-        .drop("draw")
-    )
-    return (
-        members.select("series_id", "values")
-        .join(picked, "series_id")
         .select(
             "leaf_id",
             "attempt",
@@ -116,8 +118,6 @@ def local_queries(
     member of that leaf is at most mean - std of the leaf's earlier nearest distances.
     ``nn_stats``: (leaf_id, mean_lnn, std_lnn). Up to ``max_attempts`` draws per query asked for.
     Returns (leaf_id, query_no, values, lnn)."""
-    from driftleaf.operators.scan import scan
-
     limits = nn_stats.select(
         "leaf_id", (F.col("mean_lnn") - F.col("std_lnn")).alias("limit")
     ).where(F.col("limit") > 0)
@@ -125,6 +125,7 @@ def local_queries(
         members, leaf.join(limits, "leaf_id", "left_semi"), 0, per_leaf * max_attempts, low, high,
         seed,
     ).withColumn("query_id", F.xxhash64("leaf_id", "attempt"))
+    tries = pin(tries, "tries", row_bytes=4096)
     near = (
         scan(members, tries, 1, pairs=tries.select("query_id", "leaf_id"))
         .groupBy("query_id", "leaf_id")

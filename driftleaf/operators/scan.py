@@ -16,13 +16,14 @@ cancellation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftleaf.session import materialise, share, ship_package
+from driftleaf.session import broadcast_if_small, materialise, share, ship_package
 from driftleaf.settings import BLOCK_ROWS, QUERY_BLOCK_ROWS, broadcast_budget
 
 SCAN_SCHEMA = "query_id long, leaf_id long, series_id long, dist2 double"
@@ -221,6 +222,7 @@ def _block_join(
     sizes = members.groupBy("leaf_id").agg(
         F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts")
     )
+    sizes = broadcast_if_small(sizes, "sizes")
     member_blocks = (
         members.select("leaf_id", "series_id", "values")
         .join(sizes, "leaf_id")
@@ -314,6 +316,17 @@ def bounded_pairs(pairs: DataFrame, spark: SparkSession) -> pa.Table | None:
     return table if table.num_rows <= cap else None
 
 
+def leaf_ranges(leaves: list[int], most: int = 32) -> Column:
+    """A few ranges that cover the wanted leaves. Members are stored in leaf order, so the file
+    reader skips files and row groups outside them."""
+    if not leaves:
+        return F.lit(False)
+    gaps = sorted(range(1, len(leaves)), key=lambda i: leaves[i - 1] - leaves[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(leaves)]
+    ranges = [F.col("leaf_id").between(leaves[a], leaves[b - 1]) for a, b in zip(cuts, cuts[1:])]
+    return reduce(lambda a, b: a | b, ranges)
+
+
 def scan(
     members: DataFrame,
     queries: DataFrame,
@@ -345,7 +358,9 @@ def scan(
     ids, matrix = _query_arrays(table)
     if wanted is not None:
         leaves = spark.createDataFrame([(int(x),) for x in wanted], "leaf_id long")
-        members = members.join(F.broadcast(leaves), "leaf_id", "left_semi")
+        members = members.where(leaf_ranges(sorted(wanted))).join(
+            F.broadcast(leaves), "leaf_id", "left_semi"
+        )
     return _broadcast_scan(members, ids, matrix, wanted, k, per_leaf)
 
 

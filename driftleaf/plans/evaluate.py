@@ -2,63 +2,74 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftleaf.plans.search import calibrated
-
-_STEP = "array<struct<leaf_id: bigint, step: int, action: string, bsf: double>>"
+from driftleaf.session import ship_package
+
+ACTIONS = np.array(["resident", "bound", "filter", "visit"])
+
+
+def _walk(later: np.ndarray, lb: np.ndarray, lnn: np.ndarray, cal: np.ndarray):
+    """Actions and distances to beat along one query's leaves in visiting order. Between two
+    improvements of the best distance all decisions use the same value, so each run of leaves is
+    decided at once."""
+    n = len(lb)
+    action = np.empty(n, dtype=np.int8)
+    bsf = np.empty(n)
+    best, at = np.inf, 0
+    while at < n:
+        rest = slice(at, n)
+        decided = np.where(
+            ~later[rest], 0, np.where(lb[rest] >= best, 1, np.where(cal[rest] > best, 2, 3))
+        )
+        better = np.flatnonzero(np.isin(decided, (0, 3)) & (lnn[rest] < best))
+        end = n if not len(better) else at + int(better[0]) + 1
+        action[at:end], bsf[at:end] = decided[: end - at], best
+        if len(better):
+            best = lnn[end - 1]
+        at = end
+    return action, bsf
 
 
 def replay(facts: DataFrame) -> DataFrame:
     """(query_id, leaf_id, step, action, bsf) of a search for one neighbour that visits leaves one
     after the other: ``resident``, ``bound`` (pruned by the lower bound), ``filter`` (pruned by
     the calibrated prediction) or ``visit``; ``bsf`` is the distance to beat at that moment.
-    ``facts``: (query_id, leaf_id, is_resident, lb, lnn, cal), ``cal`` NULL without a filter. The
-    fold handles one query's leaves, at most as many as the tree has."""
-    walk = facts.groupBy("query_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct((~F.col("is_resident")).alias("later"), "lb", "leaf_id", "lnn", "cal")
-            )
-        ).alias("leaves")
-    )
-    start = F.struct(
-        F.expr("cast('Infinity' as double)").alias("bsf"),
-        F.lit(0).alias("step"),
-        F.expr(f"cast(array() as {_STEP})").alias("out"),
-    )
-
-    def visit(acc, leaf):
-        bsf = acc["bsf"]
-        action = (
-            F.when(~leaf["later"], "resident")
-            .when(leaf["lb"] >= bsf, "bound")
-            .when(F.coalesce(leaf["cal"] > bsf, F.lit(False)), "filter")
-            .otherwise("visit")
+    ``facts``: (query_id, leaf_id, is_resident, lb, lnn, cal), ``cal`` NULL without a filter. A
+    group is one query's leaves, at most as many as the tree has."""
+    ship_package(facts.sparkSession)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["is_resident", "lb", "leaf_id"], ascending=[False, True, True])
+        cal = pdf["cal"].to_numpy(dtype=float, na_value=np.nan)
+        action, bsf = _walk(
+            ~pdf["is_resident"].to_numpy(dtype=bool),
+            pdf["lb"].to_numpy(),
+            pdf["lnn"].to_numpy(),
+            np.where(np.isnan(cal), -np.inf, cal),
         )
-        seen = action.isin("resident", "visit")
-        return F.struct(
-            F.when(seen, F.least(bsf, leaf["lnn"])).otherwise(bsf).alias("bsf"),
-            (acc["step"] + 1).alias("step"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        leaf["leaf_id"].alias("leaf_id"),
-                        acc["step"].alias("step"),
-                        action.alias("action"),
-                        bsf.alias("bsf"),
-                    )
-                ),
-            ).alias("out"),
+        return pd.DataFrame(
+            {
+                "query_id": pdf["query_id"].to_numpy(),
+                "leaf_id": pdf["leaf_id"].to_numpy(),
+                "step": np.arange(len(pdf)),
+                "action": ACTIONS[action],
+                "bsf": np.where(np.isinf(bsf), np.nan, bsf),
+            }
         )
 
-    steps = F.aggregate("leaves", start, visit, lambda acc: acc["out"])
+    columns = ["query_id", "leaf_id", "is_resident", "lb", "lnn", "cal"]
     return (
-        walk.select("query_id", F.explode(steps).alias("s"))
-        .select("query_id", "s.*")
-        .withColumn("bsf", F.when(F.col("step") > 0, F.col("bsf")))
+        facts.select(*columns)
+        .groupBy("query_id")
+        .applyInPandas(
+            walk, "query_id long, leaf_id long, step int, action string, bsf double"
+        )
+        .withColumn("bsf", F.nanvl("bsf", F.lit(None).cast("double")))
     )
 
 

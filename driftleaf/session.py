@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftleaf.settings import broadcast_budget
 
@@ -63,6 +64,16 @@ def pin(df: DataFrame, label: str, row_bytes: int = 64) -> DataFrame:
     return spark.createDataFrame(table, df.schema)
 
 
+def broadcast_if_small(df: DataFrame, label: str, row_bytes: int = 64) -> DataFrame:
+    """Evaluate once; mark for broadcast only if it fits the budget."""
+    spark = df.sparkSession
+    cap = max(1, broadcast_budget(spark) // row_bytes)
+    table = df.limit(cap + 1).toArrow()
+    if table.num_rows > cap:
+        return materialise(df, label)
+    return F.broadcast(spark.createDataFrame(table, df.schema))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all shuffle partitions before work that is heavy per row; adaptive
     execution would otherwise merge small inputs into few tasks."""

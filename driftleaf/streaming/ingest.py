@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftleaf.operators.tree import leaf_envelopes, route
@@ -36,15 +35,11 @@ def with_ingested(index: Index, path: str) -> Index:
     """The index with everything that was ingested under ``path``."""
     spark = index.members.sparkSession
     fresh = spark.read.parquet(f"{path}/leaf").drop("batch")
-    merged = (
-        fresh.groupBy("leaf_id")
-        .agg(F.sum("n").alias("n"), F.flatten(F.collect_list("seg")).alias("seg"))
-    )
     members = spark.read.parquet(f"{path}/member").drop("batch")
     columns = [c for c in index.members.columns if c in members.columns]
     return Index(
         index.members.select(*columns).unionByName(members.select(*columns)),
-        widen_envelopes(index.leaf, merged),
+        widen_envelopes(index.leaf, fresh),
         index.tree,
         index.options,
         None,

@@ -215,3 +215,24 @@ def test_report_with_few_queries(spark):
     assert len(rows) == 1 and rows[0]["n_queries"] == 7
     out = R.search_report(df, 0.9, 1.0).first()
     assert out["recall_passed"] and out["coverage_passed"] and out["n_batches"] == 1
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.85, 1.0])
+def test_exact_quantile(spark, rng, rows, q):
+    from driftleaf.operators.quantile import exact_quantile
+
+    values = np.r_[rng.normal(size=rows), np.zeros(rows // 3)]
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "g long, v double")
+    got = {r["g"]: r["m"] for r in exact_quantile(df, ["g"], "v", q, "m").collect()}
+    for g in got:
+        assert abs(got[g] - np.quantile(values[g::2], q)) < 1e-12
+
+
+def test_hash_place_numbers_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANK_ROWS", 100)
+    rows = B.hash_place(spark.range(1000), "s", "id").toPandas()
+    assert sorted(rows["place"]) == list(range(1000))
+    monkeypatch.setattr(B, "RANK_ROWS", 10_000)
+    again = B.hash_place(spark.range(1000), "s", "id").toPandas()
+    assert rows.sort_values("id")["place"].tolist() == again.sort_values("id")["place"].tolist()
