@@ -442,6 +442,24 @@ def alpha_for_recall_spline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(steffen_at(rows, "leaf_id", "recall", "alpha", 0.9), "value")
 
 
+@register("alpha_for_recall_cubic")
+def alpha_for_recall_cubic(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a natural cubic spline."""
+    from driftleaf.operators.surface import natural_cubic_at
+
+    rows = feeds.alphas(spark, sf).join(_curve(spark, sf), "pos")
+    return _rounded(natural_cubic_at(rows, "leaf_id", "recall", "alpha", 0.9), "value")
+
+
+@register("position_for_target")
+def position_for_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Margin positions for recall 0.95 and coverage 0.9, mixed seven to three."""
+    from driftleaf.operators.surface import position_for_target as at_target
+
+    leaves = feeds.alphas(spark, sf).select("leaf_id", "pos").join(_curve(spark, sf), "pos")
+    return at_target(leaves, 0.95, 0.9, 0.7, 0.3)
+
+
 @register("alpha_for_target")
 def alpha_for_target(spark: SparkSession, sf: str) -> DataFrame:
     """Margins for recall 0.95 at coverage 0.9 from the surface of every filter."""

@@ -238,7 +238,7 @@ def knn_navigated_combined(spark: SparkSession, sf: str) -> DataFrame:
 def combined_leaf_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Min-max scaled mix, with the negative in-leaf distance in place of a learned score."""
     q, index = feeds.search_queries(spark, sf), feeds.keyed_index(spark, sf)
-    near = leaf_top_k(index.members, q, 1).select(
+    near = leaf_top_k(index.clustered_members(), q, 1).select(
         "query_id", "leaf_id", (-F.col("dist")).alias("score")
     )
     others = leaf_bounds(q, index.leaf).join(
@@ -364,5 +364,5 @@ def kth_before_visit(spark: SparkSession, sf: str) -> DataFrame:
     facts = leaf_bounds(q, index.leaf).join(home, "query_id").withColumn(
         "is_resident", F.col("leaf_id") == F.col("home")
     )
-    out = with_kth_before_visit(facts, leaf_top_k(index.members, q, 3), 3)
+    out = with_kth_before_visit(facts, leaf_top_k(index.clustered_members(), q, 3), 3)
     return out.select("query_id", "leaf_id", F.round("bsf", 4).alias("bsf"))

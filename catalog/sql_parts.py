@@ -216,7 +216,7 @@ RAW = """
     raw AS (
       SELECT l_suppkey AS filter_id, l_linenumber AS col_group, 0.9::DOUBLE + l_discount AS recall,
              0.92::DOUBLE + l_tax AS coverage,
-             l_quantity / 10.0::DOUBLE + l_extendedprice / 130000.0::DOUBLE AS error
+             l_quantity / 10.0::DOUBLE + l_extendedprice / 123457.0::DOUBLE AS error
       FROM lineitem)"""
 
 TRIPLES = (

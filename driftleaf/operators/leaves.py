@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftleaf.functions.series import segment_summary, segments_literal
 from driftleaf.operators.tree import pack_envelopes
+from driftleaf.session import broadcast_if_small
 
 
 def leaf_sizes(members: DataFrame) -> DataFrame:
@@ -39,3 +40,18 @@ def region_stats(members: DataFrame, segments: list[tuple[int, int]]) -> DataFra
 def key_envelopes(members: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
     """(leaf_id, n, seg) for leaves given by a key."""
     return pack_envelopes(region_stats(members, segments))
+
+
+def cluster_by_leaf(members: DataFrame, rows_per_task: int = 500_000) -> DataFrame:
+    """One shuffle that brings the rows of a leaf together; leaves above the size are spread over
+    several tasks."""
+    sizes = members.groupBy("leaf_id").agg(
+        F.ceil(F.count("*") / F.lit(rows_per_task)).cast("int").alias("_tasks")
+    )
+    return (
+        members.join(broadcast_if_small(sizes, "sizes"), "leaf_id")
+        .withColumn("_salt", F.pmod(F.xxhash64("series_id"), "_tasks"))
+        .repartition("leaf_id", "_salt")
+        .drop("_tasks", "_salt")
+        .sortWithinPartitions("leaf_id")
+    )

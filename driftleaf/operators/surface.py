@@ -423,6 +423,46 @@ def steffen_at(curve: DataFrame, key: str, x: str, y: str, at: float) -> DataFra
     )
 
 
+def natural_cubic_at(curve: DataFrame, key: str, x: str, y: str, at: float) -> DataFrame:
+    """(key, value): the natural cubic spline through the points of each curve, evaluated at
+    ``at``; outside the points the nearest end value. A curve has one point per margin position."""
+    ship_package(curve.sparkSession)
+
+    def value(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        xs, ys = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        where = float(np.clip(at, xs[0], xs[-1]))
+        out = ys[0]
+        if len(xs) > 1:
+            h = np.diff(xs)
+            rise = np.diff(ys) / h
+            bend = _natural_bends(h, rise)
+            i = int(np.clip(np.searchsorted(xs, where, side="right") - 1, 0, len(h) - 1))
+            a, b = xs[i + 1] - where, where - xs[i]
+            out = (
+                (bend[i] * a**3 + bend[i + 1] * b**3) / (6 * h[i])
+                + (ys[i] / h[i] - bend[i] * h[i] / 6) * a
+                + (ys[i + 1] / h[i] - bend[i + 1] * h[i] / 6) * b
+            )
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "value": [out]})
+
+    points = curve.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return points.groupBy(key).applyInPandas(value, f"{key} long, value double")
+
+
+def _natural_bends(h: np.ndarray, rise: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots, zero at both ends: one tridiagonal sweep."""
+    n = len(h) + 1
+    bend, factor, right = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * factor[i - 1]
+        factor[i] = h[i] / pivot
+        right[i] = (6 * (rise[i] - rise[i - 1]) - h[i - 1] * right[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        bend[i] = right[i] - factor[i] * bend[i + 1]
+    return bend
+
+
 def position_for_target(
     curve: DataFrame, recall: float, coverage: float, w_recall: float, w_coverage: float
 ) -> DataFrame:

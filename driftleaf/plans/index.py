@@ -10,14 +10,14 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftleaf.functions.draws import unit_draw
 from driftleaf.functions.series import segmentation
 from driftleaf.operators.bounds import ship_leaves
-from driftleaf.operators.leaves import key_envelopes
+from driftleaf.operators.leaves import cluster_by_leaf, key_envelopes
 from driftleaf.operators.scan import to_matrix
 from driftleaf.operators.tree import (
     ROOT,
@@ -44,6 +44,11 @@ class Index:
     options: IndexOptions
     path: str | None = None
     route_column: str = "values"
+    clustered: bool = True
+
+    def clustered_members(self) -> DataFrame:
+        """Members with the rows of a leaf next to each other, for scans that reduce by leaf."""
+        return self.members if self.clustered else cluster_by_leaf(self.members)
 
     @cached_property
     def shipped_leaves(self) -> Broadcast | None:
@@ -93,19 +98,28 @@ def build_index(
         grow(data, tree, options.leaf_size, options)
 
     path = path or new_work_path(spark, "index")
-    leaf = (
-        leaf_envelopes(series, tree, route_column)
-        .withColumn("depth", F.floor(F.log(float(tree.n_children), "leaf_id") + 1e-9).cast("int"))
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
-        .select("leaf_id", "depth", "n", "parts", "seg")
-    )
-    leaf.write.mode("overwrite").parquet(f"{path}/leaf")
     _write_tree(spark, tree, options, route_column, path)
-    sizes = spark.read.parquet(f"{path}/leaf").select("leaf_id", "n", "parts")
+    sizes = route(data, tree).groupBy("leaf_id").agg(F.count("*").alias("n"))
     write_members(series, tree, sizes, options, route_column, f"{path}/member", "overwrite")
+    # Members now lie in leaf order, so a batch holds few leaves and reduces to few rows.
+    leaf_table(spark.read.parquet(f"{path}/member"), tree, route_column).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/leaf")
     return load_index(spark, path)
 
 
+def leaf_table(members: DataFrame, tree: Tree, route_column: str) -> DataFrame:
+    """(leaf_id, depth, n, parts, seg)."""
+    depth = F.floor(F.log(float(tree.n_children), "leaf_id") + 1e-9).cast("int")
+    return leaf_envelopes(members, tree, route_column).select(
+        "leaf_id", depth.alias("depth"), "n", _parts(F.col("n")).alias("parts"), "seg"
+    )
+
+
+def _parts(n: Column) -> Column:
+    return F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+
+
 def _write_tree(
     spark: SparkSession, tree: Tree, options: IndexOptions, route_column: str, path: str
 ) -> None:
@@ -139,7 +153,8 @@ def write_members(
     """Route and write in leaf order. File numbers follow from the running leaf sizes, so rows go
     straight to their file without a range-sampling pass."""
     spark = series.sparkSession
-    table = sizes.orderBy("leaf_id").toArrow()  # metadata: at most one row per tree node
+    # Metadata: at most one row per tree node.
+    table = sizes.select("leaf_id", "n", _parts(F.col("n")).alias("parts")).orderBy("leaf_id").toArrow()
     leaf_ids = table.column("leaf_id").to_numpy()
     n = table.column("n").to_numpy()
     parts = table.column("parts").to_numpy()
@@ -234,11 +249,8 @@ def append_to_index(index: Index, series: DataFrame) -> Index:
     leaf_path = new_work_path(spark, "leaf")
     widen_envelopes(index.leaf, fresh).write.parquet(leaf_path)
     widened = spark.read.parquet(leaf_path)
-    own = fresh.select(
-        "leaf_id", "n", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int").alias("parts")
-    )
     write_members(
-        series, index.tree, own, index.options, index.route_column, f"{index.path}/member", "append"
+        series, index.tree, fresh, index.options, index.route_column, f"{index.path}/member", "append"
     )
     widened.write.mode("overwrite").parquet(f"{index.path}/leaf")
     spark.catalog.refreshByPath(f"{index.path}/member")
@@ -271,7 +283,7 @@ def widen_envelopes(leaf: DataFrame, fresh: DataFrame) -> DataFrame:
             "depth",
             F.coalesce("depth", F.floor(F.log2("leaf_id") / F.log2(n_children)).cast("int")),
         )
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
+        .withColumn("parts", _parts(F.col("n")))
         .select("leaf_id", "depth", "n", "parts", "seg")
     )
 
@@ -282,10 +294,10 @@ def index_by_key(members: DataFrame, length: int, n_segments: int = 4) -> Index:
     leaf = (
         key_envelopes(members, segmentation(length, n_segments))
         .withColumn("depth", F.lit(0))
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
+        .withColumn("parts", _parts(F.col("n")))
         .select("leaf_id", "depth", "n", "parts", "seg")
     )
-    return Index(members, leaf, None, IndexOptions(n_subsegments=n_segments))
+    return Index(members, leaf, None, IndexOptions(n_subsegments=n_segments), clustered=False)
 
 
 __all__ = ["ROOT", "Index", "append_to_index", "build_index", "index_by_key", "load_index"]

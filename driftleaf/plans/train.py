@@ -25,7 +25,7 @@ def collect_facts(index: Index, queries: DataFrame, resident: DataFrame | None =
     )
     home = resident.select("query_id", F.col("leaf_id").alias("home"))
     facts = (
-        bounds.join(leaf_nn_distance(index.members, queries), ["query_id", "leaf_id"])
+        bounds.join(leaf_nn_distance(index.clustered_members(), queries), ["query_id", "leaf_id"])
         .join(home, "query_id", "left")
         .withColumn("is_resident", F.coalesce(F.col("leaf_id") == F.col("home"), F.lit(False)))
         .drop("home")

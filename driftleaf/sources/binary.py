@@ -20,7 +20,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from driftleaf.session import broadcast_if_small, ship_package
+from driftleaf.operators.leaves import cluster_by_leaf
+from driftleaf.session import ship_package
 
 FORMAT = "float32_series"
 _ROWS_PER_BATCH = 4096
@@ -205,16 +206,6 @@ def write_series(series: DataFrame, path: str, length: int, partitions: int = 8)
 
 def write_leaves(members: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
     """One folder per leaf, as Parquet. Large leaves are spread over several files."""
-    files = members.groupBy("leaf_id").agg(
-        F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files")
-    )
-    salted = members.join(broadcast_if_small(files, "files"), "leaf_id").withColumn(
-        "_salt", F.pmod(F.xxhash64("series_id"), "_files")
-    )
-    (
-        salted.repartition("leaf_id", "_salt")
-        .drop("_files", "_salt")
-        .write.mode("overwrite")
-        .partitionBy("leaf_id")
-        .parquet(path)
+    cluster_by_leaf(members, rows_per_file).write.mode("overwrite").partitionBy("leaf_id").parquet(
+        path
     )

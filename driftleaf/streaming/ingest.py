@@ -44,4 +44,5 @@ def with_ingested(index: Index, path: str) -> Index:
         index.options,
         None,
         index.route_column,
+        clustered=False,
     )

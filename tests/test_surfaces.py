@@ -214,3 +214,13 @@ def test_unpivot(spark):
     )
     got = [tuple(r) for r in A.unpivot_wide(wide).orderBy("col_group").collect()]
     assert got == [(0, 0.9, 0.8, 1.0), (1, 0.7, 0.6, 2.0)]
+
+
+def test_natural_cubic(spark):
+    x = np.linspace(0, 3, 7)
+    df = spark.createDataFrame([(1, float(a), float(np.sin(a))) for a in x], "leaf_id long, r double, v double")
+    for at in (0.0, 0.5, 1.3, 2.9, 3.0):
+        got = S.natural_cubic_at(df, "leaf_id", "r", "v", at).first()["value"]
+        assert abs(got - np.sin(at)) < 0.02
+    assert abs(S.natural_cubic_at(df, "leaf_id", "r", "v", 1.5).first()["value"] - np.sin(1.5)) < 1e-12
+    assert abs(S.natural_cubic_at(df, "leaf_id", "r", "v", 9.0).first()["value"] - np.sin(3.0)) < 1e-12
