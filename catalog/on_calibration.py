@@ -371,7 +371,7 @@ def coverage_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.with_coverage(recalls(spark, sf)), "recall", "coverage")
 
 
-def _triples(spark: SparkSession, sf: str) -> DataFrame:
+def calibrated_triples(spark: SparkSession, sf: str) -> DataFrame:
     pairs = R.unique_pairs(R.with_coverage(recalls(spark, sf)))
     return R.triples(pairs, feeds.alphas(spark, sf))
 
@@ -383,7 +383,7 @@ def _triples(spark: SparkSession, sf: str) -> DataFrame:
     FROM pairs JOIN alphas USING (pos)""",
 )
 def unique_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_triples(spark, sf), "error")
+    return _rounded(calibrated_triples(spark, sf), "error")
 
 
 @register(
@@ -433,7 +433,37 @@ def first_position_for_recall(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(feeds.alphas(spark, sf).join(picked, "pos"), "alpha")
 
 
-@register("alpha_for_recall_spline")
+STEFFEN = """
+    steps AS (
+      SELECT k, x, y, lead(x) OVER w AS x1, lead(x) OVER w - x AS h,
+             (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s
+      FROM curve_points WINDOW w AS (PARTITION BY k ORDER BY x)),
+    beside AS (
+      SELECT *, lag(h) OVER w AS h0, lag(s) OVER w AS s0 FROM steps
+      WINDOW w AS (PARTITION BY k ORDER BY x)),
+    sloped AS (
+      SELECT *, CASE WHEN s0 IS NULL THEN s WHEN s IS NULL THEN s0 ELSE
+               (sign(s0) + sign(s)) * least(abs(s0), abs(s), 0.5 * abs((s0 * h + s * h0) / (h0 + h)))
+               END AS d0 FROM beside),
+    ready AS (
+      SELECT *, lead(d0) OVER (PARTITION BY k ORDER BY x) AS d1 FROM sloped),
+    inside AS (
+      SELECT k, (((d0 + d1 - 2 * s) / (h * h) * (goal - x) + (3 * s - 2 * d0 - d1) / h) * (goal - x) + d0)
+                * (goal - x) + y AS value
+      FROM ready, wish WHERE x <= goal AND goal < x1),
+    spline AS (
+      SELECT e.k, coalesce(i.value, CASE WHEN goal < lo THEN first_y ELSE last_y END) AS value
+      FROM (SELECT k, min(x) AS lo, arg_min(y, x) AS first_y, arg_max(y, x) AS last_y
+            FROM curve_points GROUP BY k) e CROSS JOIN wish LEFT JOIN inside i ON i.k = e.k)"""
+
+
+@register(
+    "alpha_for_recall_spline",
+    f"""WITH {RECALL_CHAIN}, {CURVE}, wish AS (SELECT 0.9::DOUBLE AS goal),
+    curve_points AS (
+      SELECT leaf_id AS k, recall AS x, alpha AS y FROM alphas JOIN rising USING (pos)), {STEFFEN}
+    SELECT k AS leaf_id, round(value, 4) AS value FROM spline""",
+)
 def alpha_for_recall_spline(spark: SparkSession, sf: str) -> DataFrame:
     """Margins at recall 0.9 from a monotone cubic over the recall curve."""
     from driftleaf.operators.surface import steffen_at
@@ -451,7 +481,15 @@ def alpha_for_recall_cubic(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(natural_cubic_at(rows, "leaf_id", "recall", "alpha", 0.9), "value")
 
 
-@register("position_for_target")
+@register(
+    "position_for_target",
+    f"""WITH {RECALL_CHAIN}, {CURVE}, wish AS (SELECT 0.7::DOUBLE * 0.95 + 0.3::DOUBLE * 0.9 AS goal),
+    curve_points AS (
+      SELECT leaf_id AS k, recall AS x, CAST(pos AS DOUBLE) AS y FROM alphas JOIN rising USING (pos)),
+    {STEFFEN}
+    SELECT k AS leaf_id, CAST(greatest(0, least(round(value),
+             (SELECT max(pos) FROM alphas a WHERE a.leaf_id = k))) AS BIGINT) AS pos FROM spline""",
+)
 def position_for_target(spark: SparkSession, sf: str) -> DataFrame:
     """Margin positions for recall 0.95 and coverage 0.9, mixed seven to three."""
     from driftleaf.operators.surface import position_for_target as at_target
@@ -460,14 +498,6 @@ def position_for_target(spark: SparkSession, sf: str) -> DataFrame:
     return at_target(leaves, 0.95, 0.9, 0.7, 0.3)
 
 
-@register("alpha_for_target")
-def alpha_for_target(spark: SparkSession, sf: str) -> DataFrame:
-    """Margins for recall 0.95 at coverage 0.9 from the surface of every filter."""
-    from driftleaf.plans.calibrate import alpha_for_target as at_target
-
-    return _rounded(at_target(_triples(spark, sf), 0.95, 0.9), "alpha")
-
-
 REPLAY_FACTS = """
     margin AS (SELECT leaf_id, alpha FROM alphas WHERE pos = 50),
     walk AS (

@@ -293,7 +293,7 @@ _REPORT = f"""{_RECALL},
              recall FROM per_query),
     report AS (
       SELECT batch_id, count(*) AS n_queries, avg(recall) AS recall,
-             round(avg(recall), 5) >= round(0.28::DOUBLE, 5) AS above_target FROM batched GROUP BY batch_id)"""
+             round(avg(recall), 5) >= round(0.251::DOUBLE, 5) AS above_target FROM batched GROUP BY batch_id)"""
 
 
 @register(
@@ -303,7 +303,7 @@ _REPORT = f"""{_RECALL},
     FROM report""",
 )
 def batch_recall_report(spark: SparkSession, sf: str) -> DataFrame:
-    return R.batch_report(_set_recall(spark, sf), 0.28).withColumn("recall", F.round("recall", 4))
+    return R.batch_report(_set_recall(spark, sf), 0.251).withColumn("recall", F.round("recall", 4))
 
 
 @register(
@@ -312,11 +312,11 @@ def batch_recall_report(spark: SparkSession, sf: str) -> DataFrame:
     SELECT (SELECT count(*) FROM per_query) AS n_queries, count(*) AS n_batches,
            round((SELECT avg(recall) FROM per_query), 4) AS recall,
            round(avg(above_target::INT), 4) AS coverage,
-           (SELECT avg(recall) FROM per_query) >= 0.28 AS recall_passed,
+           (SELECT avg(recall) FROM per_query) >= 0.251 AS recall_passed,
            avg(above_target::INT) >= 0.9 AS coverage_passed FROM report""",
 )
 def search_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.search_report(_set_recall(spark, sf), 0.28, 0.9)
+    out = R.search_report(_set_recall(spark, sf), 0.251, 0.9)
     return out.withColumn("recall", F.round("recall", 4)).withColumn(
         "coverage", F.round("coverage", 4)
     )

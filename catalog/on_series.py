@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from catalog import feeds
 from catalog.feeds import LENGTH, SEGMENTS
 from catalog.registry import register
-from catalog.sql_parts import ENVELOPE, SEARCH, SEGMENT_ROWS, SERIES, TRAIN, bounds, distances
+from catalog.sql_parts import (
+    ALL_FACTS,
+    ENVELOPE,
+    SEARCH,
+    SEGMENT_ROWS,
+    SERIES,
+    TRAIN,
+    bounds,
+    distances,
+    draw,
+    normal,
+    znorm,
+)
 from driftleaf.functions import series as S
 from driftleaf.functions.text import array_to_text, parse_model_setting
 from driftleaf.operators.bounds import leaf_bounds
@@ -265,14 +277,51 @@ def synthetic_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("leaf_synthetic_queries")
+@register(
+    "leaf_synthetic_queries",
+    f"""WITH {SERIES}, sizes AS (SELECT leaf_id, count(*) AS n FROM series GROUP BY 1),
+    placed AS (
+      SELECT leaf_id, series_id AS source_id, row_number() OVER (
+        PARTITION BY leaf_id ORDER BY {draw('leaf', 'series_id')}, series_id) AS r
+      FROM series JOIN sizes USING (leaf_id) WHERE n > 8)
+    SELECT leaf_id, source_id FROM placed WHERE r = 1""",
+)
 def leaf_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """One noisy member of every leaf above the size threshold."""
     index = feeds.keyed_index(spark, sf)
     return leaf_queries(index.members, index.leaf, 8).select("leaf_id", "source_id")
 
 
-@register("local_synthetic_queries")
+_LOCAL_NOISE = (
+    "list_transform(\"values\", lambda x, i: x + level * "
+    + normal("local/noise", "series_id", "i - 1")
+    + ")"
+)
+
+
+@register(
+    "local_synthetic_queries",
+    f"""WITH {ALL_FACTS},
+    limits AS (
+      SELECT leaf_id, avg(lnn) - stddev_pop(lnn) AS most FROM facts GROUP BY 1
+      HAVING avg(lnn) - stddev_pop(lnn) > 0),
+    tries AS (
+      SELECT * FROM (
+        SELECT series_id, leaf_id, "values",
+               {0.1} + {draw('local/level', 'series_id')} * {0.4 - 0.1!r} AS level,
+               row_number() OVER (PARTITION BY leaf_id
+                                  ORDER BY {draw('local', 'series_id')}, series_id) AS attempt
+        FROM series JOIN limits USING (leaf_id)) t WHERE attempt <= 30),
+    noised AS (SELECT leaf_id, attempt, {_LOCAL_NOISE} AS noisy FROM tries),
+    scaled AS ({znorm('noised', 'noisy', 'leaf_id, attempt')}),
+    near AS (
+      SELECT q.leaf_id, q.attempt, min(list_distance(q."values", s."values")) AS lnn
+      FROM scaled q JOIN series s ON s.leaf_id = q.leaf_id GROUP BY 1, 2),
+    kept AS (
+      SELECT n.leaf_id, n.lnn, row_number() OVER (PARTITION BY n.leaf_id ORDER BY attempt) AS query_no
+      FROM near n JOIN limits l ON l.leaf_id = n.leaf_id WHERE lnn <= most)
+    SELECT leaf_id, query_no, round(lnn, 4) AS lnn FROM kept WHERE query_no <= 10""",
+)
 def local_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     from driftleaf.operators.facts import nn_distance_stats
     from driftleaf.operators.sampling import local_queries

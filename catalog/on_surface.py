@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from catalog import feeds
 from catalog.registry import register
-from catalog.sql_parts import COMPACT, RAW, TRIPLES
+from catalog.on_calibration import calibrated_triples
+from catalog.sql_parts import COMPACT, RAW, RECALL_CHAIN, TRIPLES
 from driftleaf.models import surfaces as M
 from driftleaf.operators import augment as A
 from driftleaf.operators import surface as S
 from driftleaf.operators.batches import test_flag
+from driftleaf.plans.calibrate import alpha_for_target as at_target
 from driftleaf.operators.lookup import (
     TARGET_COVERAGES,
     TARGET_RECALLS,
@@ -144,11 +146,11 @@ def surface_running_max(spark: SparkSession, sf: str) -> DataFrame:
 _PREDICT_TARGETS = [(0.9, 0.9), (0.95, 0.95), (0.99, 0.95), (0.985, 0.999), (1.0, 1.0)]
 
 
-@register(
-    "surface_predict",
-    f"""WITH {RISING},
+def surface_sql(targets: list[tuple[float, float]], source: str = TRIPLES) -> str:
+    """The whole surface over ``source``, a fragment that defines ``triples``."""
+    return f"""WITH {RISING.replace(TRIPLES, source)},
     targets(target_r, target_c) AS (
-      VALUES {", ".join(f"({r}::DOUBLE, {c}::DOUBLE)" for r, c in _PREDICT_TARGETS)}),
+      VALUES {", ".join(f"({r}::DOUBLE, {c}::DOUBLE)" for r, c in targets)}),
     asked AS (
       SELECT b.filter_id, target_r, target_c, greatest(lo_r, least(hi_r, target_r)) AS r,
              greatest(lo_c, least(hi_c, target_c)) AS c FROM bounds b CROSS JOIN targets),
@@ -164,13 +166,31 @@ _PREDICT_TARGETS = [(0.9, 0.9), (0.95, 0.95), (0.99, 0.95), (0.985, 0.999), (1.0
       FROM met GROUP BY filter_id, target_r, target_c, r, c)
     SELECT filter_id, target_r, target_c,
            round(greatest(0.1::DOUBLE, CASE WHEN hit IS NOT NULL THEN hit + lift
-                          ELSE 0.2::DOUBLE + 1.4::DOUBLE * p + lift END), 4) AS error FROM mixed""",
-)
+                          ELSE 0.2::DOUBLE + 1.4::DOUBLE * p + lift END), 4) AS error FROM mixed"""
+
+
+@register("surface_predict", surface_sql(_PREDICT_TARGETS))
 def surface_predict(spark: SparkSession, sf: str) -> DataFrame:
     out = S.surface_at(feeds.triples(spark, sf), _PREDICT_TARGETS)
     return out.withColumn("error", F.round("error", 4))
 
 
+_CALIBRATED = f"""{RECALL_CHAIN},
+    triples AS (
+      SELECT leaf_id AS filter_id, recall, coverage, alpha AS error FROM pairs JOIN alphas USING (pos))"""
+
+
+@register(
+    "alpha_for_target",
+    f"SELECT filter_id AS leaf_id, error AS alpha FROM ({surface_sql([(0.95, 0.9)], _CALIBRATED)}) t",
+)
+def alpha_for_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Margins for recall 0.95 at coverage 0.9 from the surface of every filter."""
+    return at_target(calibrated_triples(spark, sf), 0.95, 0.9).withColumn(
+        "alpha", F.round("alpha", 4)
+    )
+
+
 @register("surface_quadratic")
 def surface_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     models = S.fit_quadratic(feeds.triples(spark, sf))
