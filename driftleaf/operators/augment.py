@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftleaf.session import materialise
+
 # Fixed values of the augmentation.
 PULLED_COVERAGE = 0.9995
 TOP_FACTOR = 3.0
@@ -41,27 +43,21 @@ def unpivot_wide(wide: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def compact(raw: DataFrame, precision: int = 6) -> DataFrame:
     """(filter_id, recall, coverage, error): one row per rounded pair; its error is the largest
     error anywhere in the column groups in which the pair occurs."""
-    largest = (
-        raw.where(F.col("error").isNotNull())
-        .groupBy("filter_id", "col_group")
-        .agg(F.max("error").alias("error"))
-    )
-    seen = (
-        raw.where(
-            F.col("recall").isNotNull() & F.col("coverage").isNotNull() & F.col("error").isNotNull()
-        )
-        .groupBy(
-            "filter_id",
-            "col_group",
-            F.round("recall", precision).alias("recall"),
-            F.round("coverage", precision).alias("coverage"),
-        )
-        .agg(F.lit(1).alias("one"))
+    cells = raw.groupBy(
+        "filter_id",
+        "col_group",
+        F.round("recall", precision).alias("recall"),
+        F.round("coverage", precision).alias("coverage"),
+    ).agg(F.max("error").alias("error"))
+    anywhere = F.max("error").over(Window.partitionBy("filter_id", "col_group"))
+    complete = (
+        F.col("recall").isNotNull() & F.col("coverage").isNotNull() & F.col("error").isNotNull()
     )
     return (
-        seen.join(largest, ["filter_id", "col_group"])
+        cells.withColumn("largest", anywhere)
+        .where(complete)
         .groupBy("filter_id", "recall", "coverage")
-        .agg(F.max("error").alias("error"))
+        .agg(F.max("largest").alias("error"))
     )
 
 
@@ -173,6 +169,7 @@ TINY = 1e-10
 
 def surface_features(triples: DataFrame) -> DataFrame:
     """Add the engineered features of (recall, coverage)."""
+    triples = materialise(triples, "triples")
     df = percent_rank_average(triples, ["filter_id"], "recall", "recall_rank")
     df = percent_rank_average(df, ["filter_id"], "coverage", "coverage_rank")
     r, c = F.col("recall"), F.col("coverage")

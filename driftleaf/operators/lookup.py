@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftleaf.session import spread
+from driftleaf.session import materialise, spread
 
 # The target grid and the match tolerance.
 TARGET_RECALLS = (0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0)
@@ -43,7 +43,7 @@ def actual_errors(
     distance code per filter and target; a second look at the triples then picks those that reach
     it. Distances that differ by less than a billionth count as equal."""
     t, key = F.col("t"), ["filter_id", "recall", "coverage"]
-    rows = spread(triples, "filter_id", "recall", "coverage")
+    rows = spread(materialise(triples, "triples"), "filter_id", "recall", "coverage")
     met = rows.withColumn("t", F.explode(targets_column(targets)))
     inside = (F.abs(F.col("recall") - t["recall"]) <= tolerance) & (
         F.abs(F.col("coverage") - t["coverage"]) <= tolerance

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftleaf.operators.quantile import exact_quantile
+from driftleaf.session import materialise
 
 
 def _err(pred: str, actual: str) -> Column:
@@ -86,6 +87,7 @@ def prediction_statistics(df: DataFrame) -> DataFrame:
         ]
 
     key = ["recall", "coverage"]
+    df = materialise(df.select(*key, "pred", "actual"), "errors")
     stats = df.groupBy(*key).agg(
         F.count("pred").alias("n"),
         F.count("actual").alias("n_actual"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftleaf.functions.draws import normal_draw, unit_draw
 from driftleaf.functions.series import as_doubles, let, znormalize
 from driftleaf.operators.scan import scan
-from driftleaf.session import broadcast_if_small, pin
+from driftleaf.session import broadcast_if_small, pin, series_bytes
 
 
 def draw_members(members: DataFrame, n: int, seed: str) -> DataFrame:
@@ -125,7 +125,7 @@ def local_queries(
         members, leaf.join(limits, "leaf_id", "left_semi"), 0, per_leaf * max_attempts, low, high,
         seed,
     ).withColumn("query_id", F.xxhash64("leaf_id", "attempt"))
-    tries = pin(tries, "tries", row_bytes=4096)
+    tries = pin(tries, "tries", series_bytes(members))
     near = (
         scan(members, tries, 1, pairs=tries.select("query_id", "leaf_id"))
         .groupBy("query_id", "leaf_id")

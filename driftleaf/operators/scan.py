@@ -23,8 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftleaf.session import broadcast_if_small, materialise, share, ship_package
-from driftleaf.settings import BLOCK_ROWS, QUERY_BLOCK_ROWS, broadcast_budget
+from driftleaf.session import (
+    broadcast_if_small,
+    materialise,
+    pinned_table,
+    series_bytes,
+    share,
+    ship_package,
+)
+from driftleaf.settings import BLOCK_ROWS, QUERY_BLOCK_ROWS
 
 SCAN_SCHEMA = "query_id long, leaf_id long, series_id long, dist2 double"
 _ARROW_SCHEMA = pa.schema(
@@ -281,25 +288,10 @@ def _with_query_blocks_for_all(q: DataFrame, leaves: DataFrame) -> DataFrame:
     return asked.join(packed, "chunk")
 
 
-# A first fetch assumes series of at most this many values; longer or more queries need another.
-_USUAL_LENGTH = 256
-
-
-def bounded_queries(queries: DataFrame, spark: SparkSession) -> pa.Table | None:
-    """The query rows, when they fit the broadcast budget; None when they do not. Reads at most
-    one row above the bound."""
-    budget = broadcast_budget(spark)
-    cap = max(1, budget // (8 * _USUAL_LENGTH))
-    table = queries.select("query_id", "values").limit(cap + 1).toArrow()
-    if not table.num_rows:
-        return table
-    width = 8 * max(1, len(table.column("values")[0]))
-    if table.num_rows <= cap:
-        return table if table.num_rows * width <= budget else None
-    if budget // width <= cap:
-        return None
-    table = queries.select("query_id", "values").limit(budget // width + 1).toArrow()
-    return table if table.num_rows <= budget // width else None
+def bounded_queries(queries: DataFrame) -> pa.Table | None:
+    """The query rows, when they fit the broadcast budget; None when they do not."""
+    width = 1 if hasattr(queries, "_held") else series_bytes(queries)
+    return pinned_table(queries, ["query_id", "values"], width)
 
 
 def _query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -310,12 +302,6 @@ def _query_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, to_matrix(table.column("values").combine_chunks())
 
 
-def bounded_pairs(pairs: DataFrame, spark: SparkSession) -> pa.Table | None:
-    cap = max(1, broadcast_budget(spark) // 16)
-    table = pairs.select("query_id", "leaf_id").limit(cap + 1).toArrow()
-    return table if table.num_rows <= cap else None
-
-
 def leaf_ranges(leaves: list[int], most: int = 32) -> Column:
     """A few ranges that cover the wanted leaves. Members are stored in leaf order, so the file
     reader skips files and row groups outside them."""
@@ -340,11 +326,11 @@ def scan(
     spark = members.sparkSession
     if "leaf_id" not in members.columns:
         members = members.withColumn("leaf_id", F.lit(0).cast("long"))
-    table = bounded_queries(queries, spark)
+    table = bounded_queries(queries)
     wanted = None
     small = table is not None
     if small and pairs is not None:
-        pair_table = bounded_pairs(pairs, spark)
+        pair_table = pinned_table(pairs, ["query_id", "leaf_id"], 16)
         small = pair_table is not None
         if small:
             ids, _ = _query_arrays(table)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.quadrant import quadrant_extreme
-from driftleaf.session import ship_package, spread
+from driftleaf.session import materialise, ship_package, spread
 
 # Fixed values of the surface.
 BUMP = 1.01
@@ -107,7 +107,9 @@ def bump_monotone(triples: DataFrame) -> DataFrame:
 
 
 def clean_triples(triples: DataFrame) -> DataFrame:
-    return bump_monotone(drop_dominated(triples))
+    """Dominated points dropped and the rest lifted; written once, since bounds and grid both
+    read it."""
+    return materialise(bump_monotone(drop_dominated(triples)), "clean")
 
 
 def surface_bounds(triples: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftleaf.operators.bounds import leaf_bounds
 from driftleaf.operators.scan import scan, top_k
 from driftleaf.plans.index import Index
-from driftleaf.session import pin
+from driftleaf.session import pin, series_bytes
 
 ANSWER = ["query_id", "rank", "series_id", "leaf_id", "dist"]
 
@@ -31,7 +31,10 @@ def _pinned(
     columns = ["query_id", "values"]
     if index.route_column != "values":
         columns.append(index.route_column)
-    queries = pin(queries.select(*columns), "queries", row_bytes=4096)
+    if not hasattr(queries, "_held"):
+        queries = pin(
+            queries.select(*columns), "queries", series_bytes(queries) * (len(columns) - 1)
+        )
     resident = index.resident(queries) if resident is None else resident
     return queries, pin(resident.select("query_id", "leaf_id"), "resident")
 

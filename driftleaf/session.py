@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from typing import Any
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,25 +54,42 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bounded(df: DataFrame, row_bytes: int) -> pa.Table | None:
+    """The rows, if they fit the broadcast budget; reads at most one row above the bound."""
+    cap = max(1, broadcast_budget(df.sparkSession) // row_bytes)
+    table = df.limit(cap + 1).toArrow()
+    return table if table.num_rows <= cap else None
+
+
+def series_bytes(df: DataFrame, column: str = "values") -> int:
+    """Bytes of one row with a series, from its first row; all have the same length."""
+    head = df.select(F.size(column)).first()
+    return 64 + 8 * max(1, head[0] if head else 1)
+
+
+def pinned_table(df: DataFrame, columns: list[str], row_bytes: int) -> pa.Table | None:
+    """The given columns of a bounded table, None for a larger one; free for pinned tables."""
+    held = getattr(df, "_held", None)
+    if held is not None:
+        return held.select(columns)
+    return _bounded(df.select(*columns), row_bytes)
+
+
 def pin(df: DataFrame, label: str, row_bytes: int = 64) -> DataFrame:
     """Evaluate ``df`` once. A result within the broadcast budget becomes a local relation; a
     larger one is written to the shared folder."""
-    spark = df.sparkSession
-    cap = max(1, broadcast_budget(spark) // row_bytes)
-    table = df.limit(cap + 1).toArrow()
-    if table.num_rows > cap:
+    table = _bounded(df, row_bytes)
+    if table is None:
         return materialise(df, label)
-    return spark.createDataFrame(table, df.schema)
+    out = df.sparkSession.createDataFrame(table, df.schema)
+    out._held = table
+    return out
 
 
 def broadcast_if_small(df: DataFrame, label: str, row_bytes: int = 64) -> DataFrame:
     """Evaluate once; mark for broadcast only if it fits the budget."""
-    spark = df.sparkSession
-    cap = max(1, broadcast_budget(spark) // row_bytes)
-    table = df.limit(cap + 1).toArrow()
-    if table.num_rows > cap:
-        return materialise(df, label)
-    return F.broadcast(spark.createDataFrame(table, df.schema))
+    out = pin(df, label, row_bytes)
+    return F.broadcast(out) if getattr(out, "_held", None) is not None else out
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
