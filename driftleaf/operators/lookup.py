@@ -43,7 +43,8 @@ def actual_errors(
     distance code per filter and target; a second look at the triples then picks those that reach
     it. Distances that differ by less than a billionth count as equal."""
     t, key = F.col("t"), ["filter_id", "recall", "coverage"]
-    rows = spread(materialise(triples, "triples"), "filter_id", "recall", "coverage")
+    stored = materialise(triples, "triples")
+    rows = spread(stored, "filter_id", "recall", "coverage", rows=stored.count())
     met = rows.withColumn("t", F.explode(targets_column(targets)))
     inside = (F.abs(F.col("recall") - t["recall"]) <= tolerance) & (
         F.abs(F.col("coverage") - t["coverage"]) <= tolerance

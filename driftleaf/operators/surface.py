@@ -192,7 +192,10 @@ def nearest_to_grid(triples: DataFrame) -> DataFrame:
         F.xxhash64("recall", "coverage"), F.ceil(F.col("n") / F.lit(ROWS_PER_TASK)).cast("int")
     )
     rows = spread(
-        triples.join(surface_bounds(triples), KEY).withColumn("salt", salt), *KEY, "salt"
+        triples.join(surface_bounds(triples), KEY).withColumn("salt", salt),
+        *KEY,
+        "salt",
+        rows=triples.count(),
     ).select(*KEY, "recall", "coverage", "error", "lo_r", "hi_r", "lo_c", "hi_c", "grid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

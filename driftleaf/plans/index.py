@@ -91,7 +91,7 @@ def build_index(
     tree = Tree.root(_series_length(series, route_column), options)
     part = min(1.0, options.sample_rows / max(1, total))
     sample = data if part == 1.0 else data.where(unit_draw("tree", F.col("series_id")) < part)
-    sample = spread(sample).persist()
+    sample = spread(sample, rows=min(total, options.sample_rows)).persist()
     grow(sample, tree, max(2.0, options.leaf_size * part), options)
     sample.unpersist()
     if part < 1.0:

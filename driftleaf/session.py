@@ -92,10 +92,13 @@ def broadcast_if_small(df: DataFrame, label: str, row_bytes: int = 64) -> DataFr
     return F.broadcast(out) if getattr(out, "_held", None) is not None else out
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions before work that is heavy per row; adaptive
-    execution would otherwise merge small inputs into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Hash rows over the shuffle partitions before work that is heavy per row; adaptive execution
+    would otherwise merge small inputs into few tasks. ``rows`` avoids tasks of few rows."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        tasks = max(1, min(tasks, -(-rows // 2000)))
+    return df.repartition(tasks, *keys)
 
 
 _shipped: set[str] = set()
