@@ -66,7 +66,7 @@ def tokenize(documents: DataFrame, vocabulary: str, pattern: str, capacity: int,
 
         encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             names = [[] for _ in range(5)]
             ids, offsets = [], [0]
             filled = 0
