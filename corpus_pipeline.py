@@ -41,12 +41,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    kept = docs.columns
-    plain = docs.select(F.struct(*kept).alias("_row"), *[c for c in ("doc_id", "text", "source")])
-    taken = mixing.mix(plain)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    copies = taken.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
-    return copies.select("_row.*")
+    return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

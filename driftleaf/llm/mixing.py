@@ -12,8 +12,8 @@ by weight until none is above. That is one level for all open sources, found fro
 
 Defined cases: null or blank text has no words and is never taken; a null source is a source of its
 own; rows with the same ``doc_id`` share a hash and are taken alike, so a threshold cannot part
-them; a null ``doc_id`` counts as an id of its own; an empty table gives no row; columns of the
-input are kept by ``mix`` and replaced where ``size``, ``source_size``, ``target`` or ``taken`` clash.
+them; a null ``doc_id`` counts as an id of its own; an empty table gives no row; ``mix`` ignores other
+columns and ``mixed_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from driftleaf.session import materialise
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BITS, HASH_BITS = 10, 60
-ADDED = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -126,28 +125,43 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -> DataFrame:
-    """``documents`` with size, source_size, target and taken. ``repeats`` is 2: two nested thresholds."""
+def plan_mix(documents: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -> tuple[DataFrame, DataFrame]:
+    """The written sizes (doc_id, key, source, size, hash) and thresholds of the mix; the texts are read
+    once. ``repeats`` is 2: two nested thresholds."""
     if repeats != 2:
         raise ValueError("two nested thresholds serve exactly two repeats")
+    size = word_count(F.col("text")).alias("size")
     sizes = materialise(
-        documents.select(source_key().alias("key"), "source", word_count(F.col("text")).alias("size"), doc_hash().alias("hash")),
-        "mix_sizes",
+        documents.select("doc_id", source_key().alias("key"), "source", size, doc_hash().alias("hash")), "mix_sizes"
     )
-    cuts = materialise(thresholds(sizes, targets(sizes, weights, share, repeats)), "mix_cuts")
-    kept = [c for c in documents.columns if c not in ADDED]
-    rows = documents.withColumn("_key", source_key()).withColumn("_size", word_count(F.col("text")))
-    times = (doc_hash() < F.col("once")).cast("long") + (doc_hash() < F.col("twice")).cast("long")
-    return rows.join(cuts, F.col("_key") == F.col("key"), "left").select(
-        *kept,
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("_size") * times).alias("taken"),
+    return sizes, materialise(thresholds(sizes, targets(sizes, weights, share, repeats)), "mix_cuts")
+
+
+def times_taken(hashed: Column) -> Column:
+    return (hashed < F.col("once")).cast("int") + (hashed < F.col("twice")).cast("int")
+
+
+def mix(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row a document."""
+    sizes, cuts = plan_mix(documents, **options)
+    return sizes.join(cuts, "key").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * times_taken(F.col("hash"))).alias("taken")
     )
 
 
-def op4_mixing(documents: DataFrame) -> DataFrame:
-    return mix(documents.select("doc_id", "text", "source")).select(
-        "doc_id", "size", "source_size", "target", "taken"
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, each as often as the mix takes it; those without words are not taken."""
+    _, cuts = plan_mix(documents, **options)
+    cuts = cuts.select(F.col("key").alias("_key"), "once", "twice")
+    row = F.struct(*[F.col(c) for c in documents.columns]).alias("_row")
+    plain = documents.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(
+        row, source_key().alias("_key"), doc_hash().alias("_hash")
     )
+    copies = plain.join(cuts, "_key").select(
+        "_row", F.explode(F.array_repeat(F.lit(1), times_taken(F.col("_hash"))))
+    )
+    return copies.select("_row.*")
+
+
+def op4_mixing(documents: DataFrame) -> DataFrame:
+    return mix(documents)

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from driftleaf.llm.mixing import mix, op4_mixing
+from driftleaf.llm.mixing import mix, mixed_documents, op4_mixing
 
 
 def words(text):
@@ -49,7 +49,10 @@ def test_table(documents):
 
 def test_odd_rows(spark, docs, no_docs):
     out = mix(docs)
-    assert set(docs.columns) | {"size", "source_size", "target", "taken"} == set(out.columns)
+    again = mixed_documents(docs)
+    assert again.columns == docs.columns
+    words_taken = sum(words(r["text"]) for r in again.collect())
+    assert words_taken == out.agg({"taken": "sum"}).first()[0]
     assert out.select("size").where("size < 0").count() == 0
     got = {r["doc_id"]: r["size"] for r in out.collect()}
     assert got == {r["doc_id"]: words(r["text"]) for r in docs.collect()}
