@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftleaf.llm import language, mixing, near_dedup, packing
-from driftleaf.session import materialise
+from driftleaf.session import broadcast_if_small, materialise
 
 LEAST_SCORE = 0.5
 
@@ -30,10 +30,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_repeated")
     )
-    ids = materialise(ids.where("_kept"), "kept_ids")
+    # Fewer documents go or are repeated than stay; their ids are shipped if they fit the budget.
+    others = materialise(ids.where(~F.col("_kept") | F.col("_repeated")), "other_ids")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    once = docs.join(ids.where(~F.col("_repeated")), same, "left_semi")
-    repeated = ids.where("_repeated")
+    once = docs.join(broadcast_if_small(others.select("_id"), "other_ids"), same, "left_anti")
+    repeated = others.where("_kept")
     if repeated.isEmpty():
         return once
     return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftleaf.llm.tasks import tidy
 from driftleaf.session import materialise, ship_package
 
 UNKNOWN = "und"
@@ -123,7 +124,7 @@ def document_frequencies(documents: DataFrame, bits: int) -> tuple[np.ndarray, i
             names=["feature", "n"],
         )
 
-    rows = documents.select("text").mapInArrow(work, "feature long, n long")
+    rows = documents.select("text").mapInArrow(tidy(work), "feature long, n long")
     table = rows.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits + 1 rows
     index, n = table.column(0).to_numpy(), table.column(1).to_numpy()
     counts = np.zeros(1 << bits, np.int64)
@@ -209,7 +210,7 @@ def fit(training: DataFrame, options: Options = Options()) -> Model:
     order = Window.partitionBy("lang").orderBy("draw")
     sampled = (
         drawn.select("lang", "draw", "text")
-        .mapInArrow(sample_features, "lang string, draw long, index array<int>, value array<float>")
+        .mapInArrow(tidy(sample_features), "lang string, draw long, index array<int>, value array<float>")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= options.per_label)
     )
@@ -226,7 +227,7 @@ def fit(training: DataFrame, options: Options = Options()) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([heat])], names=["weights", "heat"])
 
     ordered = sampled.select("lang", "place", "index", "value", "draw").repartition(1).sortWithinPartitions("draw", "lang", "place")
-    got = ordered.select("lang", "place", "index", "value").mapInArrow(train, "weights binary, heat double").first()
+    got = ordered.select("lang", "place", "index", "value").mapInArrow(tidy(train), "weights binary, heat double").first()
     weights = np.frombuffer(got["weights"], np.float32).reshape(len(names), -1)
     return Model(names, idf, weights, got["heat"], options.bits)
 
@@ -257,7 +258,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             yield batch.append_column("lang_pred", pa.array(said, pa.string())).append_column("score", pa.array(sure, pa.float64()))
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(tidy(work), schema)
 
 
 def op6_language(documents: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftleaf.llm.tasks import tidy
 from driftleaf.session import ship_package
 
 # Phrases that always count, and their labels.
@@ -89,7 +90,7 @@ def document_frequencies(documents: DataFrame, vocabulary: frozenset[bytes]) ->
             names=["word", "n"],
         )
 
-    rows = documents.select("text").mapInArrow(work, "word string, n long")
+    rows = documents.select("text").mapInArrow(tidy(work), "word string, n long")
     found = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # <= vocabulary
     return {k.encode(): n for k, n in found.items() if k}, found.get(None, 0)
 
@@ -176,7 +177,7 @@ def scan(documents: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, {OUT}")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), f"doc_id long, {OUT}")
 
 
 def op10_licences(documents: DataFrame) -> DataFrame:

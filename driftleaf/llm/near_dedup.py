@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.llm.shingles import digest, seeds, shingle_set, signature
+from driftleaf.llm.tasks import tidy
 from driftleaf.session import materialise, ship_package
 
 WORDS, PERCENT = 4, 80
@@ -59,7 +60,7 @@ def fingerprints(documents: DataFrame, words: int, coordinates: int) -> DataFram
             )
 
     schema = "doc_id long, class binary, n_shingles long, sig array<int>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), schema)
 
 
 def block_pairs(blocks: Column, *key: str) -> Column:
@@ -151,7 +152,7 @@ def candidate_links(classes: DataFrame, coordinates: int, matches: int, list_row
 
         return batches_of_links(found())
 
-    return lists.repartition("entry", "pair").sortWithinPartitions("entry", "pair").mapInArrow(work, LINK)
+    return lists.repartition("entry", "pair").sortWithinPartitions("entry", "pair").mapInArrow(tidy(work), LINK)
 
 
 def confirmed_links(
@@ -173,7 +174,7 @@ def confirmed_links(
 
     firsts = groups.select("first_id").distinct()
     texts = documents.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(make_sets, "class binary, shingles array<long>")
+    sets = texts.mapInArrow(tidy(make_sets), "class binary, shingles array<long>")
     sets = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
     blocks = groups.groupBy("root").agg(F.ceil(F.sum("n_shingles") * 8 / group_bytes).cast("int").alias("blocks"))
     members = (
@@ -213,7 +214,7 @@ def confirmed_links(
 
         return batches_of_links(found())
 
-    return members.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(work, LINK)
+    return members.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(tidy(work), LINK)
 
 
 def components(links: DataFrame) -> DataFrame:

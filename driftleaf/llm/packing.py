@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftleaf.llm.tasks import tidy
 from driftleaf.session import materialise, ship_package
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>, task int, place long"
 
 
+_encoders: dict = {}  # of a worker, by the vocabulary's path
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     lines = pathlib.Path(path).read_bytes().splitlines()
     return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
@@ -64,7 +68,10 @@ def tokenize(documents: DataFrame, vocabulary: str, pattern: str, capacity: int,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encoder = _encoders.get(vocabulary)
+        if encoder is None:
+            encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+            _encoders[vocabulary] = encoder
         task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             names = [[] for _ in range(5)]
@@ -91,7 +98,7 @@ def tokenize(documents: DataFrame, vocabulary: str, pattern: str, capacity: int,
                 names=["doc_id", "piece", "start", "length", "ids", "task", "place"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(work), PIECES)
 
 
 class Bins:
@@ -211,7 +218,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     kept = [c for c in pieces.columns if c not in ("task", "place")]
     numbered = pieces.join(bases, ["task", "length"]).select(*kept, (F.col("base") + F.col("place")).alias("number"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-    return numbered.mapInArrow(look_up, f"{fields}, sequence_id long, offset long").drop("number")
+    return numbered.mapInArrow(tidy(look_up), f"{fields}, sequence_id long, offset long").drop("number")
 
 
 def cut(
