@@ -72,7 +72,9 @@ def actual_errors(
 
 
 def _distance_code(target_r: Column, target_c: Column) -> Column:
-    """Distance and then recall difference, in billionths, in one ordered integer."""
+    """Distance and then recall difference, in billionths, as an ordered pair."""
     dr, dc = F.abs(F.col("recall") - target_r), F.abs(F.col("coverage") - target_c)
     distance = F.sqrt(dr * dr + dc * dc)
-    return (distance * 1e9 + 0.5).cast("long") * F.lit(1 << 31) + (dr * 1e9 + 0.5).cast("long")
+    return F.struct(
+        (distance * 1e9 + 0.5).cast("long").alias("distance"), (dr * 1e9 + 0.5).cast("long").alias("dr")
+    )

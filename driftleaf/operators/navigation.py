@@ -39,7 +39,8 @@ class Navigator:
         return Navigator(learner.fit(rows), leaves)
 
     def scores(self, features: DataFrame) -> DataFrame:
-        """(query_id, leaf_id, score) for every leaf; leaves never seen score 0."""
+        """(query_id, leaf_id, score). Leaves above the last one seen in fitting have no row; the
+        searches count them as 0."""
         x = features.select("query_id", array_to_vector("features").alias("x"))
         known = (
             self.model.transform(x)
@@ -60,8 +61,8 @@ def combined_scores(scores: DataFrame, bounds: DataFrame, weight: float = 0.2) -
 
     s = scores.withColumn("s", scaled("score"))
     b = bounds.withColumn("b", scaled("lb"))
-    return s.join(b, ["query_id", "leaf_id"]).select(
+    return b.join(s.select("query_id", "leaf_id", "s"), ["query_id", "leaf_id"], "left").select(
         "query_id",
         "leaf_id",
-        (weight * F.col("s") + (1.0 - weight) * (1.0 - F.col("b"))).alias("score"),
+        (weight * F.coalesce("s", F.lit(0.0)) + (1.0 - weight) * (1.0 - F.col("b"))).alias("score"),
     )

@@ -78,9 +78,11 @@ def leaf_queries(
     low: float = 0.4,
     high: float = 0.4,
     seed: str = "leaf",
+    repeats: bool = False,
 ) -> DataFrame:
     """(leaf_id, attempt, source_id, values): noisy copies of ``per_leaf`` members of every leaf
-    above the size: those with the smallest hash draws."""
+    above the size: those with the smallest hash draws. With ``repeats``, members of a leaf with
+    fewer than ``per_leaf`` are drawn again, each time with other noise."""
     # The share kept of a leaf leaves room for chance, so that enough rows remain in every leaf and
     # only about as many rows as are asked for reach the shuffle, with their values.
     room = per_leaf + 12.0 * math.sqrt(per_leaf) + 60.0
@@ -88,17 +90,24 @@ def leaf_queries(
         "leaf_id", (F.lit(room) / F.col("n")).alias("share")
     )
     order = Window.partitionBy("leaf_id").orderBy("draw", "series_id")
+    # A share above ``room / per_leaf`` belongs to a leaf of fewer than ``per_leaf`` members.
+    copies = F.ceil(F.col("share") * (per_leaf / room)).cast("int") if repeats else F.lit(1)
+    again = unit_draw(seed, F.col("series_id"), F.col("copy"))
+    first = add_noise(F.col("values"), low, high, seed, F.col("series_id"))
+    more = add_noise(F.col("values"), low, high, seed, F.col("series_id"), F.col("copy"))
     return (
         members.join(broadcast_if_small(shares, "shares"), "leaf_id")
         .withColumn("draw", unit_draw(seed, F.col("series_id")))
         .where(F.col("draw") < F.col("share"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        .withColumn("draw", F.when(F.col("copy") == 0, F.col("draw")).otherwise(again))
         .withColumn("attempt", F.row_number().over(order))
         .where(F.col("attempt") <= per_leaf)
         .select(
             "leaf_id",
             "attempt",
             F.col("series_id").alias("source_id"),
-            add_noise(F.col("values"), low, high, seed, F.col("series_id")).alias("values"),
+            F.when(F.col("copy") == 0, first).otherwise(more).alias("values"),
         )
         .where(F.col("values").isNotNull())
     )
@@ -123,7 +132,7 @@ def local_queries(
     ).where(F.col("limit") > 0)
     tries = leaf_queries(
         members, leaf.join(limits, "leaf_id", "left_semi"), 0, per_leaf * max_attempts, low, high,
-        seed,
+        seed, repeats=True,
     ).withColumn("query_id", F.xxhash64("leaf_id", "attempt"))
     tries = pin(tries, "tries", series_bytes(members))
     near = (

@@ -224,8 +224,6 @@ def _block_join(
     ship_package(spark)
     if pairs is not None:
         pairs = materialise(pairs.select("query_id", "leaf_id"), "pairs")
-    # A block row can hold megabytes, so few of them go into one Arrow batch.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(128 << 20))
     sizes = members.groupBy("leaf_id").agg(
         F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts")
     )

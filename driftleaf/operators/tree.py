@@ -1,6 +1,6 @@
 """The split tree: scoring of candidate splits, routing, envelopes and lower bounds.
 
-The tree itself is metadata (at most ``max_nodes`` rows) and is shipped to the tasks. Everything
+The tree itself is metadata (one row a node) and is shipped to the tasks. Everything
 that touches series runs in the tasks: a batch is summarised once per distinct segment, routed
 with array lookups, and reduced to per-node minima and maxima before anything is shuffled.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,7 +87,10 @@ class Tree:
         return int(62 / math.log2(self.n_children)) - 1
 
     def depth(self, node: int) -> int:
-        return int(math.log(node, self.n_children) + 1e-9)
+        level = 0
+        while node > ROOT:
+            node, level = node // self.n_children, level + 1
+        return level
 
     def leaves(self) -> list[int]:
         return [node for node in self.segments if node not in self.splits]
@@ -305,16 +308,22 @@ def child_of(value, breakpoints):
     return F.size(F.filter(breakpoints, lambda b: b <= value))
 
 
-def grow(
-    data: DataFrame, tree: Tree, leaf_size: float, options: IndexOptions, rounds: int = 64
-) -> bool:
+def depth_of(node: Column, n_children: int) -> Column:
+    """Level of a heap id, in whole numbers."""
+    powers, p = [], n_children
+    while p < 1 << 62:
+        powers.append(F.lit(p).cast("long"))
+        p *= n_children
+    return F.size(F.filter(F.array(*powers), lambda x: x <= node))
+
+
+def grow(data: DataFrame, tree: Tree, leaf_size: float, options: IndexOptions) -> bool:
     """Split leaves of ``tree`` above ``leaf_size`` on the statistics of ``data``, one job per
-    level. Leaves whose members cannot be told apart stay as they are. Returns whether any split
-    was made."""
+    level, until none is left. Leaves whose members cannot be told apart stay as they are. Returns
+    whether any split was made. Raises an error if ids would leave 64 bits."""
     open_nodes, grew = tree.leaves(), False
-    for _ in range(rounds):
-        open_nodes = [n for n in open_nodes if tree.depth(n) < tree.max_depth]
-        if not open_nodes or len(tree.segments) >= options.max_nodes:
+    while True:
+        if not open_nodes:
             return grew
         scores = split_scores(
             node_stats(data, tree, open_nodes), options.n_children, options.vertical_factor
@@ -322,14 +331,14 @@ def grow(
         found = (
             best_splits(scores.where(F.col("n") > leaf_size), options.n_children)
             .where(F.col("score") > 1e-12)
-            .orderBy(F.desc("n"), "node_id")
-            .limit(max(1, (options.max_nodes - len(tree.segments)) // options.n_children))
             .collect()
         )
         if not found:
             return grew
         grew, open_nodes = True, []
         for row in found:
+            if tree.depth(row["node_id"]) >= tree.max_depth:
+                raise ValueError(f"leaf {row['node_id']} is above the leaf size at the deepest level")
             tree.add_split(
                 row["node_id"],
                 Split(row["off"], row["len"], row["stat"], list(row["breakpoints"]), row["vertical"]),

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftleaf.functions.draws import unit_draw
 from driftleaf.functions.series import segmentation
 from driftleaf.operators.bounds import ship_leaves
 from driftleaf.operators.leaves import cluster_by_leaf, key_envelopes
@@ -23,6 +22,7 @@ from driftleaf.operators.tree import (
     ROOT,
     Split,
     Tree,
+    depth_of,
     grow,
     leaf_envelopes,
     pack_envelopes,
@@ -81,21 +81,16 @@ def build_index(
 ) -> Index:
     """Build over (series_id, values, [sketch]).
 
-    The tree grows on a bounded hash sample, with the leaf size scaled to the sample; leaves that
-    come out too large are then split on their full membership. One more pass routes every series
-    and one shuffle writes the members in leaf order, in files of bounded size; a leaf that stays
+    The tree grows on all series, one job a level that reduces in the tasks, until every leaf obeys
+    the leaf size or holds copies only. One more pass routes every series and one shuffle writes the members in leaf order, in files of bounded size; a leaf that stays
     large (copies cannot be split) is cut into parts and spans several files."""
     spark = series.sparkSession
     data = series.select("series_id", F.col(route_column).alias("values"))
     total = series.count()
     tree = Tree.root(_series_length(series, route_column), options)
-    part = min(1.0, options.sample_rows / max(1, total))
-    sample = data if part == 1.0 else data.where(unit_draw("tree", F.col("series_id")) < part)
-    sample = spread(sample, rows=min(total, options.sample_rows)).persist()
-    grow(sample, tree, max(2.0, options.leaf_size * part), options)
-    sample.unpersist()
-    if part < 1.0:
-        grow(data, tree, options.leaf_size, options)
+    spread_rows = spread(data, rows=total).persist()
+    grow(spread_rows, tree, options.leaf_size, options)
+    spread_rows.unpersist()
 
     path = path or new_work_path(spark, "index")
     _write_tree(spark, tree, options, route_column, path)
@@ -110,7 +105,7 @@ def build_index(
 
 def leaf_table(members: DataFrame, tree: Tree, route_column: str) -> DataFrame:
     """(leaf_id, depth, n, parts, seg)."""
-    depth = F.floor(F.log(float(tree.n_children), "leaf_id") + 1e-9).cast("int")
+    depth = depth_of(F.col("leaf_id"), tree.n_children)
     return leaf_envelopes(members, tree, route_column).select(
         "leaf_id", depth.alias("depth"), "n", _parts(F.col("n")).alias("parts"), "seg"
     )
@@ -247,18 +242,19 @@ def append_to_index(index: Index, series: DataFrame) -> Index:
     spark = series.sparkSession
     fresh = leaf_envelopes(series, index.tree, index.route_column)
     leaf_path = new_work_path(spark, "leaf")
-    widen_envelopes(index.leaf, fresh).write.parquet(leaf_path)
-    widened = spark.read.parquet(leaf_path)
+    widen_envelopes(index.leaf, fresh, index.tree.n_children).write.parquet(leaf_path)
+    # Envelopes first: wider ones than the members need are sound, narrower ones are not.
+    spark.read.parquet(leaf_path).write.mode("overwrite").parquet(f"{index.path}/leaf")
+    spark.catalog.refreshByPath(f"{index.path}/leaf")
     write_members(
         series, index.tree, fresh, index.options, index.route_column, f"{index.path}/member", "append"
     )
-    widened.write.mode("overwrite").parquet(f"{index.path}/leaf")
     spark.catalog.refreshByPath(f"{index.path}/member")
     spark.catalog.refreshByPath(f"{index.path}/leaf")
     return load_index(spark, index.path)
 
 
-def widen_envelopes(leaf: DataFrame, fresh: DataFrame) -> DataFrame:
+def widen_envelopes(leaf: DataFrame, fresh: DataFrame, n_children: int = 2) -> DataFrame:
     """Merge two envelope tables of the same tree."""
     both = leaf.select("leaf_id", "n", "seg").unionByName(fresh.select("leaf_id", "n", "seg"))
     sizes = both.groupBy("leaf_id").agg(F.sum("n").alias("n"))
@@ -273,7 +269,6 @@ def widen_envelopes(leaf: DataFrame, fresh: DataFrame) -> DataFrame:
             F.max("s.max_std").alias("max_std"),
         )
     )
-    n_children = F.lit(2.0)
     return (
         pack_envelopes(stats)
         .drop("n")
@@ -281,7 +276,7 @@ def widen_envelopes(leaf: DataFrame, fresh: DataFrame) -> DataFrame:
         .join(leaf.select("leaf_id", "depth"), "leaf_id", "left")
         .withColumn(
             "depth",
-            F.coalesce("depth", F.floor(F.log2("leaf_id") / F.log2(n_children)).cast("int")),
+            F.coalesce("depth", depth_of(F.col("leaf_id"), n_children)),
         )
         .withColumn("parts", _parts(F.col("n")))
         .select("leaf_id", "depth", "n", "parts", "seg")

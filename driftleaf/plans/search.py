@@ -166,7 +166,7 @@ def knn_budgeted(
     if scores is None:
         order = [F.asc("lb"), F.asc("leaf_id")]
     else:
-        left = left.join(scores, ["query_id", "leaf_id"])
+        left = left.join(scores, ["query_id", "leaf_id"], "left").fillna(0.0, ["score"])
         order = [F.desc("score"), F.asc("leaf_id")]
     allowed = within_budget(left, order, max_leaves, max_series)
     rest = scan(index.members, queries, k, pairs=allowed)

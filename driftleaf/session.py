@@ -31,10 +31,12 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one if it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode a temporary one if it is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

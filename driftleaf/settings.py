@@ -25,8 +25,6 @@ class IndexOptions:
     n_children: int = 2
     n_subsegments: int = 2
     vertical_factor: float = 2.0
-    sample_rows: int = 1_000_000
-    max_nodes: int = 400_000
     rows_per_file: int = 500_000
 
 

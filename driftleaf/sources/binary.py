@@ -41,7 +41,7 @@ def _files(path: str) -> list[fs.FileInfo]:
         return [info]
     found = system.get_file_info(fs.FileSelector(root))
     return sorted(
-        (f for f in found if f.type == fs.FileType.File and f.base_name.endswith(".bin")),
+        (f for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._"),
         key=lambda f: f.path,
     )
 

@@ -69,8 +69,8 @@ def test_shuffled_scan_cuts_hot_leaves(spark, rng, small_broadcast, monkeypatch)
     IndexOptions(leaf_size=40),
     IndexOptions(leaf_size=7),
     IndexOptions(leaf_size=40, n_children=3),
-    IndexOptions(leaf_size=40, sample_rows=60),
-    IndexOptions(leaf_size=40, max_nodes=5, rows_per_file=50),
+    IndexOptions(leaf_size=40, n_children=3),
+    IndexOptions(leaf_size=5, rows_per_file=50),
 ])
 def test_pruned_search_equals_full_scan(spark, rng, options):
     x = hot_copies(rng)
@@ -80,9 +80,8 @@ def test_pruned_search_equals_full_scan(spark, rng, options):
     assert leaf_size_mismatches(index).count() == 0
     sizes = {r["leaf_id"]: r["n"] for r in index.leaf.collect()}
     assert sum(sizes.values()) == len(x)
-    if options.max_nodes > 100:
-        copies = index.members.where(F.col("series_id") == 0).first()["leaf_id"]
-        assert all(n <= options.leaf_size for leaf, n in sizes.items() if leaf != copies)
+    copies = index.members.where(F.col("series_id") == 0).first()["leaf_id"]
+    assert all(n <= options.leaf_size for leaf, n in sizes.items() if leaf != copies)
     got = answers(knn_pruned(index, frame(spark, q, "query_id"), 4))
     assert got == brute_knn(x, q, 4)
 
