@@ -37,3 +37,9 @@ def test_odd_and_empty_tables(spark, sf, docs, no_docs):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_duplicates_by_shuffle(spark, sf, documents, small_broadcast):
+    kept = corpus_pipeline.without_near_duplicates(spark, documents, sf)
+    want = near_dedup.op8_near_dedup(documents).where("kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in want.collect())
