@@ -36,9 +36,9 @@ def word_count(text: Column) -> Column:
 
 
 def doc_hash() -> Column:
-    """``HASH_BITS`` bits of a hash of the id."""
-    mask = (1 << HASH_BITS) - 1
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).bitwiseAND(F.lit(mask))
+    """The first ``HASH_BITS`` bits of the id's MD5."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_key() -> Column:
@@ -165,3 +165,45 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
 def op4_mixing(documents: DataFrame) -> DataFrame:
     return mix(documents)
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS turn FROM s
+), l AS (
+  SELECT *, 2 * source_size AS cap,
+    ((SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE)
+      - 2 * coalesce(sum(source_size) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM o
+), t AS (
+  SELECT a.source, a.source_size, coalesce(least(a.cap, a.weight * (
+    SELECT arg_min(b.level, b.turn) FROM l b WHERE b.turn <= a.turn AND b.weight * b.level <= b.cap)), a.cap) AS target
+  FROM l a
+), g AS (
+  SELECT source, source_size, target, target >= source_size AS filled,
+    CASE WHEN target >= source_size THEN target - source_size ELSE target END AS rest
+  FROM t
+), h AS (
+  SELECT source, hash, sum(size) AS words FROM d WHERE size > 0 GROUP BY source, hash
+), r AS (
+  SELECT source, hash, words, sum(words) OVER (PARTITION BY source ORDER BY hash) AS until FROM h
+), c AS (
+  SELECT g.source, arg_min(CASE WHEN until - rest < rest - until + words THEN hash + 1 ELSE hash END, hash) AS cut
+  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source WHERE until > rest GROUP BY g.source
+), k AS (
+  SELECT g.*, coalesce(c.cut, CASE WHEN rest > 0 THEN CAST(1152921504606846976 AS BIGINT) ELSE 0 END) AS cut
+  FROM g LEFT JOIN c ON g.source IS NOT DISTINCT FROM c.source
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  size * (CASE WHEN filled THEN 1 ELSE 0 END + CASE WHEN hash < cut THEN 1 ELSE 0 END) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+"""

@@ -270,3 +270,33 @@ def near_duplicates(
 
 def op8_near_dedup(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: By comparing full sets of all classes that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS held
+  FROM words
+), classes AS (
+  SELECT min(doc_id) AS class, len(held) AS n, held FROM sets WHERE len(held) > 0 GROUP BY held
+), posted AS (
+  SELECT class, n, unnest(held) AS shingle FROM classes
+), links AS (
+  SELECT a.class AS a, b.class AS b FROM posted a JOIN posted b USING (shingle)
+  WHERE a.class <> b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT class AS a, class AS b FROM classes
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT a AS class, min(b) AS root FROM reached GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.held) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id,
+  s.doc_id = coalesce(r.root, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON s.held = c.held LEFT JOIN roots r ON c.class = r.class
+"""

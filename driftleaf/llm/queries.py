@@ -34,7 +34,9 @@ QUERIES = {
 SQL = {
     "op1_chat": chat.SQL,
     "op3_exact_search": exact_search.SQL,
+    "op4_mixing": mixing.SQL,
     "op5_revisits": warc.SQL,
+    "op8_near_dedup": near_dedup.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
