@@ -9,13 +9,15 @@ number within the length) to (sequence, offset). Pieces are numbered in the task
 offset for each (task, length) follows from counts.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are packed each; an empty
-table gives no row; other columns are ignored. Very long texts are encoded whole.
+table gives no row; other columns are ignored. Very long texts are encoded whole. The special tokens of the
+vocabulary stand for their ids where a text spells them out, as the tokenizer file has it.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import pathlib
 import zlib
 from collections import defaultdict
@@ -36,7 +38,7 @@ CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>, task int, place long"
 
 
-_encoders: dict = {}  # of a worker, by the vocabulary's path
+_encoders: dict = {}  # of a worker, by the vocabulary's path and special tokens
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,11 +46,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """Path of the vocabulary's ranks, and its pattern."""
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file."""
+    added = json.loads(pathlib.Path(path).read_text("utf-8"))["added_tokens"]
+    return {token["content"]: token["id"] for token in added}
+
+
+def default_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """Path of the vocabulary's ranks, its pattern and its special tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    specials = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, specials
 
 
 def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,7 +68,9 @@ def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(starts, [b - a for a, b in zip(starts, stops)]))
 
 
-def tokenize(documents: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
+def tokenize(
+    documents: DataFrame, vocabulary: str, pattern: str, specials: dict[str, int], capacity: int, end_id: int
+) -> DataFrame:
     """Pieces with their ids, numbered within (task, length)."""
     spark = documents.sparkSession
     ship_package(spark)
@@ -68,17 +79,18 @@ def tokenize(documents: DataFrame, vocabulary: str, pattern: str, capacity: int,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoder = _encoders.get(vocabulary)
+        key = vocabulary, *specials
+        encoder = _encoders.get(key)
         if encoder is None:
-            encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-            _encoders[vocabulary] = encoder
+            encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens=specials)
+            _encoders[key] = encoder
         task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             names = [[] for _ in range(5)]
             ids, offsets = [], [0]
             filled = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = encoder.encode_ordinary(text.as_py() or "")
+                tokens = encoder.encode(text.as_py() or "", allowed_special="all")
                 tokens.append(end_id)
                 ids.append(np.array(tokens, np.int32))
                 for piece, (start, length) in enumerate(cut_pieces(len(tokens), capacity)):
@@ -227,11 +239,12 @@ def cut(
     end_id: int = END_ID,
     vocabulary: str | None = None,
     pattern: str | None = None,
+    specials: dict[str, int] | None = None,
 ) -> DataFrame:
     """The written pieces (doc_id, piece, start, length, ids, task, place)."""
     if vocabulary is None:
-        vocabulary, pattern = default_vocabulary()
-    return materialise(tokenize(documents, vocabulary, pattern, capacity, end_id), "pieces")
+        vocabulary, pattern, specials = default_vocabulary()
+    return materialise(tokenize(documents, vocabulary, pattern, specials or {}, capacity, end_id), "pieces")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:

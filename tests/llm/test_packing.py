@@ -54,8 +54,8 @@ def test_pieces():
 
 def test_query_against_the_tokenizer_file(spark, documents, docs, no_docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for table in (documents, docs):
+    spelled = [(1, "a <|endoftext|>b  <|endoftext|>"), (2, "<|endoftext|>"), (3, "<|endoftext| >  \n")]
+    for table in (documents, docs, spark.createDataFrame(spelled, "doc_id long, text string")):
         want = []
         for r in table.select("doc_id", "text").collect():
             ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [2]
