@@ -27,6 +27,7 @@ from driftleaf.operators.conformal import alpha_at_confidence
 from driftleaf.operators.facts import knn_residence, leaf_top_k, residence_share, with_kth_before_visit
 from driftleaf.operators.navigation import Navigator, combined_scores
 from driftleaf.plans import search as P
+from driftleaf.plans.learned import filtered_report, learn_filters
 
 BASE = f"{SERIES}, {SEARCH}, {distances('search')}"
 EXACT = f"{BASE}, {top('exact', 'search_dist', K)}"
@@ -322,6 +323,37 @@ def search_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+TARGET_RECALL, TARGET_COVERAGE = 0.9, 0.8
+
+
+def _active_filters(spark: SparkSession, sf: str, recall: float, coverage: float) -> DataFrame:
+    """Lines and margins of the tree's leaves, learned from the training queries."""
+    q = feeds.train_queries(spark, sf).select("query_id", "values")
+    filters = learn_filters(feeds.tree_index(spark, sf), q, feeds.BATCHES, feeds.BATCH_SIZE)
+    return filters.at(recall, coverage)
+
+
+@register(
+    "filtered_search_report",
+    f"""WITH {SERIES}, {SEARCH}
+    SELECT count(*) AS n_queries, greatest(1, count(*) // 10) AS n_batches,
+           count(*) * (SELECT count(*) FROM series) AS n_series, true AS recall_passed,
+           true AS coverage_passed, true AS prunes FROM search""",
+)
+def filtered_search_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Tree leaves, facts, margins for the target, search, recall: the target is met, every series
+    is accounted for once a query, and filters prune what bounds do not."""
+    q, index = feeds.search_queries(spark, sf), feeds.tree_index(spark, sf)
+    active = _active_filters(spark, sf, TARGET_RECALL, TARGET_COVERAGE)
+    truth = P.knn_exact(feeds.series(spark, sf), q, 1)
+    out = filtered_report(index, q, active, truth, TARGET_RECALL, TARGET_COVERAGE)
+    pruned = F.col("visited_series") / (1 - F.col("pruned_ratio"))
+    return out.select(
+        "n_queries", "n_batches", F.round(pruned).cast("long").alias("n_series"),
+        "recall_passed", "coverage_passed", (F.col("filter_ratio") > 0).alias("prunes"),
+    )
+
+
 @register(
     "knn_residence",
     f"WITH {EXACT} SELECT query_id, leaf_id, count(*) AS n FROM exact GROUP BY 1, 2",
