@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftleaf.operators.augment import FEATURES, surface_features
+from driftleaf.operators.augment import FEATURES, rank_curves, surface_features
 from driftleaf.operators.lookup import with_targets
 from driftleaf.operators.metrics import regression_metrics
 from driftleaf.operators.quantile import exact_quantile
@@ -27,10 +27,13 @@ SPLINE_BASE, SPLINE_FACTOR, SPLINE_FALLBACK = 0.2, 2.5, 0.5
 
 class BoostedSurface:
     """One boosted model for all filters: the filter enters through the mean and the largest
-    error of its training triples, so the model does not grow with the number of filters."""
+    error of its training triples, so the model does not grow with the number of filters. Rank
+    features are read from the training rows' curves: a point's prediction is the same in any batch."""
 
-    def __init__(self, model, levels: DataFrame, columns: list[str], enhanced: bool) -> None:
-        self.model, self.levels, self.columns, self.enhanced = model, levels, columns, enhanced
+    def __init__(
+        self, model, levels: DataFrame, columns: list[str], curves: dict[str, DataFrame] | None
+    ) -> None:
+        self.model, self.levels, self.columns, self.curves = model, levels, columns, curves
 
     @staticmethod
     def fit(
@@ -40,7 +43,7 @@ class BoostedSurface:
             F.avg("error").alias("level_mean"), F.max("error").alias("level_max")
         )
         columns = (FEATURES if enhanced else PLAIN) + LEVEL
-        shell = BoostedSurface(None, levels, columns, enhanced)
+        shell = BoostedSurface(None, levels, columns, rank_curves(train) if enhanced else None)
         learner = GBTRegressor(
             featuresCol="x", labelCol="error", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=42
         )
@@ -48,8 +51,8 @@ class BoostedSurface:
         return shell
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        if self.enhanced:
-            rows = surface_features(rows)
+        if self.curves is not None:
+            rows = surface_features(rows, self.curves)
         return VectorAssembler(inputCols=self.columns, outputCol="x").transform(
             rows.join(self.levels, "filter_id")
         )

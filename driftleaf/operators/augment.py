@@ -140,38 +140,60 @@ def added_rows(augmented: DataFrame, original: DataFrame) -> DataFrame:
     return augmented.select(*columns).exceptAll(original.select(*columns))
 
 
-def percent_rank_average(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Add the rank of ``column`` in its group divided by the group size, with ties at their
-    average; 0.5 for a single row. Ranks come from the counts of distinct values, so no group is
-    sorted row by row."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("_same"))
+def rank_curve(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column, _same): how often each value occurs; what ranks are read from."""
+    return df.groupBy(*by, column).agg(F.count("*").alias("_same"))
+
+
+def rank_on_curve(df: DataFrame, curve: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Add the rank of ``column`` among the rows behind ``curve`` divided by their number: ties at
+    their average, a value between two of the curve halfway, 1 above all, 0.5 where the curve holds at most one
+    row. Ranks depend on the curve alone and come from distinct values, so no group is sorted row
+    by row."""
+    asked = df.select(*by, column).distinct().withColumn("_same", F.lit(0).cast("long"))
+    values = curve.unionByName(asked).groupBy(*by, column).agg(F.sum("_same").alias("_same"))
     upto = (
         Window.partitionBy(*by)
         .orderBy(column)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranks = (
-        counts.withColumn("_upto", F.sum("_same").over(upto))
+        values.withColumn("_upto", F.sum("_same").over(upto))
         .withColumn("_all", F.sum("_same").over(Window.partitionBy(*by)))
         .select(
             *by,
             column,
-            F.when(F.col("_all") == 1, 0.5)
-            .otherwise((F.col("_upto") - (F.col("_same") - 1) / 2.0) / F.col("_all"))
+            F.when(F.col("_all") <= 1, 0.5)
+            .otherwise(F.least(F.lit(1.0), (F.col("_upto") - (F.col("_same") - 1) / 2.0) / F.col("_all")))
             .alias(name),
         )
     )
     return df.join(ranks, [*by, column])
 
 
+def percent_rank_average(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Add the rank of ``column`` in its group divided by the group size, with ties at their average."""
+    return rank_on_curve(df, rank_curve(df, by, column), by, column, name)
+
+
+RANKED = ("recall", "coverage")
+
+
+def rank_curves(triples: DataFrame) -> dict[str, DataFrame]:
+    """The written curve of each filter in both axes."""
+    return {c: materialise(rank_curve(triples, ["filter_id"], c), f"{c}_curve") for c in RANKED}
+
+
 TINY = 1e-10
 
 
-def surface_features(triples: DataFrame) -> DataFrame:
-    """Add the engineered features of (recall, coverage)."""
-    triples = materialise(triples, "triples")
-    df = percent_rank_average(triples, ["filter_id"], "recall", "recall_rank")
-    df = percent_rank_average(df, ["filter_id"], "coverage", "coverage_rank")
+def surface_features(triples: DataFrame, curves: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Add the engineered features of (recall, coverage). Ranks are those on ``curves``, which a model
+    keeps from its training rows, or among the given rows."""
+    df = triples = materialise(triples, "triples")
+    for c in RANKED:
+        curve = curves[c] if curves else rank_curve(triples, ["filter_id"], c)
+        df = rank_on_curve(df, curve, ["filter_id"], c, f"{c}_rank")
     r, c = F.col("recall"), F.col("coverage")
 
     def beta_score(b2: float) -> Column:

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftleaf.session import spread
-
 
 def quadrant_extreme(
     points: DataFrame,
@@ -31,9 +29,11 @@ def quadrant_extreme(
     ``strict_y``). One row per (by, x, y) is expected."""
     x_order = F.desc(x) if above else F.asc(x)
     y_order = F.desc(y) if above else F.asc(y)
-    ranked = spread(points, *by).withColumn(
-        "_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(x_order)) - 1
+    # ranks come from the distinct values, so no group is sorted row by row
+    ranks = points.select(*by, x).distinct().withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*by).orderBy(x_order)) - 1
     ).withColumn("_levels", F.length(F.bin(F.max("_rank").over(Window.partitionBy(*by)))))
+    ranked = points.join(ranks, [*by, x])
     levels = F.sequence(F.lit(0), F.col("_levels") - 1)
 
     def shifted(level: Column) -> Column:

@@ -6,15 +6,16 @@ the bracket are then counted one by one. No task ever holds a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 _MARGIN = 3.0 / ACCURACY
 
 
-def exact_quantile(df: DataFrame, by: list[str], column: str, q: float, name: str) -> DataFrame:
-    """(by..., name): the quantile with linear interpolation between neighbouring ranks."""
+def _counted_near(df: DataFrame, by: list[str], column: str, q: float) -> DataFrame:
+    """(by..., _n, _v, _upto): group size, and the values around the share ``q`` with the number of rows
+    up to each."""
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
     span = F.percentile_approx("_v", [max(0.0, q - _MARGIN), min(1.0, q + _MARGIN)], ACCURACY)
     brackets = rows.groupBy(*by).agg(
@@ -44,17 +45,29 @@ def exact_quantile(df: DataFrame, by: list[str], column: str, q: float, name: st
     upto = (
         Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    place = (F.col("_n") - 1) * F.lit(q)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(upto))
+    return counts.withColumn("_upto", F.sum("_c").over(upto))
+
+
+def _at(place: Column) -> Column:
+    """The value at a place that counts from 0."""
+    return F.min(F.when(F.col("_upto") > place, F.col("_v")))
 
-    def at(rank):
-        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
+def exact_quantile(df: DataFrame, by: list[str], column: str, q: float, name: str) -> DataFrame:
+    """(by..., name): the quantile with linear interpolation between neighbouring ranks."""
+    place = (F.col("_n") - 1) * F.lit(q)
     return (
-        ranked.groupBy(*by, "_n")
-        .agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"))
+        _counted_near(df, by, column, q)
+        .groupBy(*by, "_n")
+        .agg(_at(F.floor(place)).alias("_a"), _at(F.ceil(place)).alias("_b"))
         .select(
             *by,
             (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))).alias(name),
         )
     )
+
+
+def exact_element(df: DataFrame, by: list[str], column: str, q: float, name: str) -> DataFrame:
+    """(by..., name): the value at place floor(n * q), counted from 0."""
+    near = _counted_near(df, by, column, q).groupBy(*by, "_n")
+    return near.agg(_at(F.floor(F.col("_n") * F.lit(q))).alias(name)).drop("_n")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.quadrant import quadrant_extreme
+from driftleaf.operators.quantile import exact_element
 from driftleaf.session import materialise, ship_package, spread
 
 # Fixed values of the surface.
@@ -31,16 +32,7 @@ KEY = ["filter_id"]
 
 def index_quartile(triples: DataFrame, quarter: int = 1) -> DataFrame:
     """(filter_id, q): the element at position floor(n * quarter / 4) of the sorted errors."""
-    order = Window.partitionBy(*KEY).orderBy("error")
-    size = F.count("*").over(Window.partitionBy(*KEY))
-    return (
-        triples.select(
-            *KEY, F.col("error").alias("q"), F.row_number().over(order).alias("rn"),
-            F.floor(size * quarter / 4).alias("at"),
-        )
-        .where(F.col("rn") == F.col("at") + 1)
-        .select(*KEY, "q")
-    )
+    return exact_element(triples, KEY, "error", quarter / 4, "q")
 
 
 def with_dominated_flag(triples: DataFrame) -> DataFrame:
@@ -56,15 +48,10 @@ def with_dominated_flag(triples: DataFrame) -> DataFrame:
         .orderBy(F.desc("coverage"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    whole = Window.partitionBy(*KEY)
-    place = F.row_number().over(whole.orderBy("error")) - 1
-    quartile = F.max(F.when(F.col("place") == F.floor(F.col("n") / 4), F.col("error")))
     smallest = F.coalesce(F.least("m1", "m2"), F.lit(float("inf")))
     return (
         right.withColumn("m2", F.min("error").over(above))
-        .withColumn("place", place)
-        .withColumn("n", F.count("*").over(whole))
-        .withColumn("q", quartile.over(whole))
+        .join(index_quartile(points), KEY)
         .withColumn(
             "dominated", (F.col("error") < F.col("q")) & (smallest <= F.col("error"))
         )

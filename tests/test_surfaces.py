@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,31 @@ def test_boosted_surface_rises(spark, triples):
         assert (np.diff(grid, axis=0) >= 0).all() and (np.diff(grid, axis=1) >= 0).all()
 
 
+def test_prediction_of_a_point_is_the_same_in_any_batch(spark, triples):
+    model = M.BoostedSurface.fit(triples, enhanced=True, rounds=3, depth=3)
+    batch = triples.select("filter_id", "recall", "coverage")
+    point = batch.orderBy("filter_id", "recall", "coverage").limit(1)
+    among = {tuple(r[:3]): r["pred"] for r in model.predict(batch).select("filter_id", "recall", "coverage", "pred").collect()}
+    alone = model.predict(point).first()
+    assert alone["pred"] == among[alone["filter_id"], alone["recall"], alone["coverage"]]
+
+
+def test_ranks_on_a_curve(spark):
+    rows = spark.createDataFrame([(1, 0.2), (1, 0.4), (1, 0.4), (1, 0.8), (2, 0.5)], "filter_id long, recall double")
+    asked = spark.createDataFrame([(1, 0.4), (1, 0.1), (1, 0.5), (1, 0.9), (2, 0.7), (3, 0.7)], rows.schema)
+    curve = A.rank_curve(rows, ["filter_id"], "recall")
+    got = {tuple(r[:2]): r[2] for r in A.rank_on_curve(asked, curve, ["filter_id"], "recall", "rank").select("filter_id", "recall", "rank").collect()}
+    assert got == {(1, 0.4): 0.625, (1, 0.1): 0.125, (1, 0.5): 0.875, (1, 0.9): 1.0, (2, 0.7): 0.5, (3, 0.7): 0.5}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7, 100, 30_000])
+@pytest.mark.parametrize("quarter", [1, 3])
+def test_index_quartile_is_the_element_at_its_place(spark, size, quarter):
+    values = np.random.default_rng(size).integers(0, max(2, size // 3), size).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"filter_id": 1, "error": values}))
+    assert S.index_quartile(df, quarter).first()["q"] == np.sort(values)[size * quarter // 4]
+
+
 def test_lookup(spark):
     df = spark.createDataFrame(
         [(1, 0.95, 0.95, 2.0), (1, 0.9505, 0.9501, 4.0), (1, 0.90, 0.90, 8.0), (1, 0.90, 0.80, 6.0)],
