@@ -1,8 +1,9 @@
 """Licence scan with a positional index of rare words.
 
 1. Document frequencies of the words of all templates are counted over every whole text.
-2. In a text, the licence words with the highest IDF are looked up in the index of template
-   postings (word -> template, position); each hit votes for where the template would begin.
+2. In a text, the words of each template with the highest IDF are looked up in the index of template
+   postings (word -> template, position); each hit votes for where the template would begin. Rare words
+   are chosen for each template, so one licence never hides another.
 3. Where enough different words agree on a place, the template is aligned there: the share of its
    words found within a small slack is the score, and its mandatory phrase must stand in the text
    inside the aligned range.
@@ -123,12 +124,18 @@ def alignments(words: list[bytes], index: Index) -> Iterator[tuple[int, int]]:
     for at, word in enumerate(words):
         if word in index.postings:
             spots[word].append(at)
-    rarest = sorted(spots, key=lambda w: (-index.idf[w], w))[:RAREST]
+    held: dict[int, list[bytes]] = defaultdict(list)
+    for word in sorted(spots, key=lambda w: (-index.idf[w], w)):
+        for template in {t for t, _ in index.postings[word]}:
+            held[template].append(word)
     votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-    for word in rarest:
-        for template, position in index.postings[word]:
-            for at in spots[word]:
-                votes[template, at - position].add(word)
+    for template, rarest in held.items():
+        if len(rarest) < VOTES:
+            continue
+        for word in rarest[:RAREST]:
+            for position in (p for t, p in index.postings[word] if t == template):
+                for at in spots[word]:
+                    votes[template, at - position].add(word)
     for place, voters in votes.items():
         if len(voters) >= VOTES:
             yield place

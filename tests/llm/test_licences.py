@@ -57,3 +57,12 @@ def test_index_has_every_template_word(documents):
     index = build_index(documents)
     assert all(w.encode() in index.postings for _, _, t in TEMPLATES for w in t.split())
     assert min(index.idf.values()) >= 0
+
+
+def test_one_licence_does_not_hide_another(documents):
+    index = build_index(documents)
+    filler = " words between the parts and of the text " * 5
+    text = filler.join(t for _, _, t in TEMPLATES)
+    assert scan_text(text, index)[5].split(",") == sorted(label for label, _, _ in TEMPLATES)
+    for label, _, t in TEMPLATES:
+        assert scan_text(t, index)[5].split(",").count(label) == 1
