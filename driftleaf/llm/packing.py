@@ -210,27 +210,23 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     sizes = materialise(pieces.groupBy("task", "length").count(), "piece_counts")
     totals = sizes.groupBy("length").agg(F.sum("count")).collect()  # at most ``capacity`` rows
     plan = plan_packing({r[0]: r[1] for r in totals}, capacity)
-    shared = spark.sparkContext.broadcast(plan)  # its size depends on the capacity alone
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = shared.value
-        bound = int((rows[:, 1] + rows[:, 2]).max()) if len(rows) else 1
-        keys = rows[:, 0] * bound + rows[:, 1]
-        for batch in batches:
-            length, number = (
-                batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64)
-                for name in ("length", "number")
-            )
-            held = rows[np.searchsorted(keys, length * bound + number, side="right") - 1]
-            out = batch.append_column("sequence_id", pa.array(held[:, 3] + number - held[:, 1]))
-            yield out.append_column("offset", pa.array(held[:, 4]))
-
+    runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, first, _, sequence, offset in plan.tolist():
+        runs[length].append((first, sequence, offset))
+    known = spark.createDataFrame(  # its size depends on the capacity alone
+        list(runs.items()), "length int, _runs array<struct<first: long, sequence: long, offset: long>>"
+    )
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     kept = [c for c in pieces.columns if c not in ("task", "place")]
-    numbered = pieces.join(bases, ["task", "length"]).select(*kept, (F.col("base") + F.col("place")).alias("number"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-    return numbered.mapInArrow(tidy(look_up), f"{fields}, sequence_id long, offset long").drop("number")
+    number = F.col("base") + F.col("place")
+    last = F.element_at(F.filter("_runs", lambda run: run["first"] <= number), -1)
+    placed = pieces.join(bases, ["task", "length"]).join(F.broadcast(known), "length").withColumn("_run", last)
+    return placed.select(
+        *kept,
+        (F.col("_run.sequence") + number - F.col("_run.first")).alias("sequence_id"),
+        F.col("_run.offset").alias("offset"),
+    )
 
 
 def cut(
