@@ -9,8 +9,9 @@ number within the length) to (sequence, offset). Pieces are numbered in the task
 offset for each (task, length) follows from counts.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are packed each; an empty
-table gives no row; other columns are ignored. Very long texts are encoded whole. The special tokens of the
-vocabulary stand for their ids where a text spells them out, as the tokenizer file has it.
+table gives no row; other columns are ignored. Very long texts are encoded whole; one with a run of white
+space that is too long for the fast encoder's pattern is encoded with the tokenizer file. The special tokens of
+the vocabulary stand for their ids where a text spells them out, as that file has it.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids array<int>, task i
 
 
 _encoders: dict = {}  # of a worker, by the vocabulary's path and special tokens
+_tokenizers: dict = {}  # of a worker, by the tokenizer file's path
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,12 +54,12 @@ def special_tokens(path: str) -> dict[str, int]:
     return {token["content"]: token["id"] for token in added}
 
 
-def default_vocabulary() -> tuple[str, str, dict[str, int]]:
-    """Path of the vocabulary's ranks, its pattern and its special tokens."""
+def default_vocabulary() -> tuple[str, str, dict[str, int], str]:
+    """Path of the vocabulary's ranks, its pattern, its special tokens and the path of its tokenizer file."""
     import public_tokenizers
 
-    specials = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, specials
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special_tokens(file), file
 
 
 def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -69,12 +71,15 @@ def cut_pieces(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(
-    documents: DataFrame, vocabulary: str, pattern: str, specials: dict[str, int], capacity: int, end_id: int
-) -> DataFrame:
-    """Pieces with their ids, numbered within (task, length)."""
+    documents: DataFrame, vocabulary: str, pattern: str, specials: dict[str, int], capacity: int, end_id: int,
+    file: str | None = None,
+) -> DataFrame:
+    """Pieces with their ids, numbered within (task, length). Texts that the ranks' encoder refuses are
+    encoded with the tokenizer ``file``; without one they are an error."""
     spark = documents.sparkSession
     ship_package(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))  # a fixed vocabulary
+    whole_file = spark.sparkContext.broadcast(pathlib.Path(file).read_text("utf-8")) if file else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -84,13 +89,26 @@ def tokenize(
         if encoder is None:
             encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens=specials)
             _encoders[key] = encoder
+
+        def encode(text: str) -> list[int]:
+            try:
+                return encoder.encode(text, allowed_special="all")
+            except ValueError:  # a run of about a million white-space characters exceeds the pattern's stack
+                if whole_file is None:
+                    raise
+            from tokenizers import Tokenizer
+
+            if file not in _tokenizers:
+                _tokenizers[file] = Tokenizer.from_str(whole_file.value)
+            return _tokenizers[file].encode(text, add_special_tokens=False).ids
+
         task, places = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             names = [[] for _ in range(5)]
             ids, offsets = [], [0]
             filled = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = encoder.encode(text.as_py() or "", allowed_special="all")
+                tokens = encode(text.as_py() or "")
                 tokens.append(end_id)
                 ids.append(np.array(tokens, np.int32))
                 for piece, (start, length) in enumerate(cut_pieces(len(tokens), capacity)):
@@ -236,11 +254,12 @@ def cut(
     vocabulary: str | None = None,
     pattern: str | None = None,
     specials: dict[str, int] | None = None,
+    file: str | None = None,
 ) -> DataFrame:
     """The written pieces (doc_id, piece, start, length, ids, task, place)."""
     if vocabulary is None:
-        vocabulary, pattern, specials = default_vocabulary()
-    return materialise(tokenize(documents, vocabulary, pattern, specials or {}, capacity, end_id), "pieces")
+        vocabulary, pattern, specials, file = default_vocabulary()
+    return materialise(tokenize(documents, vocabulary, pattern, specials or {}, capacity, end_id, file), "pieces")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:

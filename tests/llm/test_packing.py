@@ -78,3 +78,13 @@ def test_real_sequences_hold_the_ids(docs):
     rows = pack(docs).collect()
     assert all(len(r["ids"]) == r["length"] for r in rows)
     assert cut(docs).where("piece = 0").count() == docs.count()
+
+
+def test_long_white_space_is_encoded_with_the_tokenizer_file(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["\n" * 2_000_000, "a <|endoftext|>b" + " " * 1_500_000 + "c <|endoftext|>", "short"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for doc_id, text in enumerate(texts):
+        pieces = sorted((r["piece"], r["ids"]) for r in rows if r["doc_id"] == doc_id)
+        ids = [i for _, piece in pieces for i in piece]
+        assert ids == t.encode(text, add_special_tokens=False).ids + [2]
