@@ -27,7 +27,7 @@ from driftleaf.operators.conformal import residuals
 from driftleaf.operators.recall import wide_rows, with_coverage
 from driftleaf.plans.index import append_to_index, build_index, leaf_size_mismatches, load_index
 from driftleaf.plans.search import knn_exact, knn_pruned
-from driftleaf.session import new_work_path
+from driftleaf.session import materialise, new_work_path
 from driftleaf.settings import IndexOptions
 from driftleaf.sources import binary as B
 from driftleaf.sources import tables as T
@@ -255,6 +255,24 @@ def residual_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _wide_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide file of one filter with all its positions: written, read back and unpivoted."""
+    margins = feeds.alphas(spark, sf)
+    first = margins.agg(F.min("leaf_id")).first()[0]
+    rows = materialise(wide_rows(with_coverage(recalls(spark, sf)), margins, first), "wide_rows")
+    # One position a residual of the filter: bounded by the calibration size.
+    positions = sorted(r[0] for r in rows.select("pos").distinct().collect())
+    path = new_work_path(spark, "wide")
+    T.write_wide(rows, path, positions)
+    back = unpivot_wide(spark.read.csv(path, header=True), ["batch_id_sorted"])
+    pos = F.element_at(F.array(*map(F.lit, positions)), F.col("col_group") + 1)
+    return back.select(
+        F.col("batch_id_sorted").cast("long").alias("rank"),
+        pos.alias("pos"),
+        *[F.round(c, 4).alias(c) for c in ("recall", "coverage", "error")],
+    )
+
+
 @register(
     "wide_export",
     f"""WITH {RECALL_CHAIN}, spots AS (SELECT unnest([0, 20, 40, 60]) AS pos),
@@ -267,23 +285,27 @@ def residual_files(spark: SparkSession, sf: str) -> DataFrame:
     GROUP BY ALL""",
 )
 def wide_export(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide file of one filter: written, read back and unpivoted."""
-    margins = feeds.alphas(spark, sf)
-    first = margins.agg(F.min("leaf_id")).first()[0]
-    rows = wide_rows(with_coverage(recalls(spark, sf)), margins, first)
-    path = new_work_path(spark, "wide")
-    T.write_wide(rows.where(F.col("pos").isin(0, 20, 40, 60)), path, [0, 20, 40, 60])
-    back = unpivot_wide(spark.read.csv(path, header=True))
+    """Counts at the four positions of the twin, from the file that holds all of them."""
+    back = _wide_file(spark, sf).where(F.col("pos").isin(0, 20, 40, 60))
     return (
-        back.select(
-            "col_group",
-            *[F.round(c, 4).alias(c) for c in ("recall", "coverage", "error")],
-        )
+        back.withColumn("col_group", (F.col("pos") / 20).cast("int"))
         .groupBy("col_group", "recall", "coverage", "error")
         .agg(F.count("*").alias("n"))
     )
 
 
+@register(
+    "wide_export_all",
+    f"""WITH {RECALL_CHAIN},
+    margins AS (SELECT pos, alpha FROM alphas WHERE leaf_id = (SELECT min(leaf_id) FROM alphas))
+    SELECT row_number() OVER (PARTITION BY c.pos ORDER BY c.recall, c.batch_id) AS rank, c.pos,
+           round(c.recall, 4) AS recall, round(c.coverage, 4) AS coverage, round(m.alpha, 4) AS error
+    FROM covered c JOIN margins m ON m.pos = c.pos""",
+)
+def wide_export_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _wide_file(spark, sf)
+
+
 @register(
     "error_files",
     f"""WITH {POOL}, picked AS (
