@@ -306,23 +306,11 @@ def wide_export_all(spark: SparkSession, sf: str) -> DataFrame:
     return _wide_file(spark, sf)
 
 
-@register(
-    "error_files",
-    f"""WITH {POOL}, picked AS (
-      SELECT filter_id, recall, coverage, pred, actual FROM pool
-      WHERE recall IN (0.9::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE)
-      AND coverage IN (0.95::DOUBLE, 1.0::DOUBLE))
-    SELECT recall, coverage, count(*) AS n, round(avg(pred), 4) AS mean_pred FROM picked
-    GROUP BY 1, 2""",
-)
-def error_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Prediction files, one folder per target, for the targets that the data has."""
-    rows = feeds.pool(spark, sf).where(
-        F.col("recall").isin(0.9, 0.95, 1.0) & F.col("coverage").isin(0.95, 1.0)
-    )
+def _error_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction files, one folder per target, for all targets that the data has; read back and counted."""
     path = new_work_path(spark, "predictions")
     T.write_errors(
-        rows.select(
+        feeds.pool(spark, sf).select(
             F.col("filter_id").alias("Filter_ID"), F.col("pred").alias("Predicted_Error"),
             F.col("actual").alias("Actual_Error"), "recall", "coverage",
         ),
@@ -335,6 +323,30 @@ def error_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register(
+    "error_files",
+    f"""WITH {POOL}, picked AS (
+      SELECT filter_id, recall, coverage, pred, actual FROM pool
+      WHERE recall IN (0.9::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE)
+      AND coverage IN (0.95::DOUBLE, 1.0::DOUBLE))
+    SELECT recall, coverage, count(*) AS n, round(avg(pred), 4) AS mean_pred FROM picked
+    GROUP BY 1, 2""",
+)
+def error_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The twin's targets, from the files of all targets."""
+    kept = F.col("recall").isin(0.9, 0.95, 1.0) & F.col("coverage").isin(0.95, 1.0)
+    return _error_files(spark, sf).where(kept)
+
+
+@register(
+    "error_files_all",
+    f"""WITH {POOL}
+    SELECT recall, coverage, count(*) AS n, round(avg(pred), 4) AS mean_pred FROM pool GROUP BY 1, 2""",
+)
+def error_files_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _error_files(spark, sf)
+
+
 @register(
     "training_queries_saved",
     f"""WITH {SERIES}, {TRAIN} SELECT query_id, CAST(2 AS BIGINT) AS copies FROM train""",

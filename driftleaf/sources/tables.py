@@ -117,8 +117,9 @@ def write_wide(long_rows: DataFrame, path: str, positions: list[int]) -> None:
 
 def write_errors(df: DataFrame, path: str) -> None:
     """Prediction files by target: folders of recall and coverage, each one CSV table of
-    (Filter_ID, Predicted_Error, Actual_Error)."""
-    df.write.mode("overwrite").partitionBy("recall", "coverage").csv(path, header=True)
+    (Filter_ID, Predicted_Error, Actual_Error). A target has one row a filter, so one file each."""
+    dealt = df.repartition("recall", "coverage")
+    dealt.write.mode("overwrite").partitionBy("recall", "coverage").csv(path, header=True)
 
 
 def read_imported_errors(spark: SparkSession, path: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_wide_file_holds_all_positions(spark, duck, written):  # noqa: F811
     assert len(want) > 4
     every = same_as_twin(spark, duck, "wide_export_all")
     assert sorted(r["pos"] for r in every.select("pos").distinct().collect()) == want
+
+
+def test_error_files_hold_all_targets(spark, duck, written):  # noqa: F811
+    paths = written("write_errors")
+    same_as_twin(spark, duck, "error_files")
+    pool = feeds.pool(spark, FOLDER)
+    want = {(r["recall"], r["coverage"]) for r in pool.select("recall", "coverage").distinct().collect()}
+    rows = spark.read.csv(paths[0], header=True, inferSchema=True)
+    assert {(r["recall"], r["coverage"]) for r in rows.select("recall", "coverage").distinct().collect()} == want
+    assert rows.count() == pool.count() and len(want) == 99
+    assert same_as_twin(spark, duck, "error_files_all").count() == 99
