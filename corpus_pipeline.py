@@ -25,7 +25,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; equal rows of that id stay once."""
+    """Keeps one document of each group, with the smallest id (a null id only if no other has one). Where that
+    id is null or repeated, the smallest class and text decide. Documents with an empty set are in no group;
+    equal rows of them stay once."""
     found = near_dedup.near_duplicates(docs)
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_repeated")
@@ -34,10 +36,27 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     others = materialise(ids.where(~F.col("_kept") | F.col("_repeated")), "other_ids")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     once = docs.join(broadcast_if_small(others.select("_id"), "other_ids"), same, "left_anti")
-    repeated = others.where("_kept")
+    repeated = others.where("_kept").select("_id")
     if repeated.isEmpty():
         return once
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # All kept rows of a component have the same id; one of its classes stays, and one row of that class.
+    kept = found.where("kept").join(repeated, same, "left_semi")
+    linked = kept.where("n_shingles > 0").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").alias("_id"), F.col("class").alias("_class"))).alias("_stays")
+    )
+    empty = kept.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"))
+    stays = linked.select("_stays.*", F.lit(False).alias("_empty")).unionByName(
+        empty.distinct().withColumn("_empty", F.lit(True))
+    )
+    rows = docs.join(repeated, same, "left_semi").select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_own"), "text",
+        near_dedup.class_of(F.col("text")).alias("_of"),
+    )
+    chosen = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_class")))
+    one = chosen.groupBy("_own", "_of", F.when(F.col("_empty"), F.col("text")).alias("_text")).agg(
+        F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row")
+    )
+    return once.unionByName(one.select("_row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,16 @@ def fingerprints(documents: DataFrame, words: int, coordinates: int) -> DataFram
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), schema)
 
 
+def class_of(text: Column, words: int = WORDS) -> Column:
+    """The class of a text, as ``fingerprints`` names it."""
+
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array([digest(shingle_set(t.as_py(), words)) for t in texts], pa.binary())
+
+    work.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(work, "binary")(text)
+
+
 def block_pairs(blocks: Column, *key: str) -> Column:
     """All pairs of blocks that hold this row's block; one pair if there is one block."""
     own = F.pmod(F.xxhash64(*key), blocks).cast("int")
@@ -241,7 +251,8 @@ def near_duplicates(
     documents: DataFrame, words: int = WORDS, percent: int = PERCENT,
     coordinates: int = COORDINATES, matches: int = MATCHES,
 ) -> DataFrame:
-    """(doc_id, class, n_shingles, component_id, kept), one row a document."""
+    """(doc_id, class, n_shingles, component_id, root, kept), one row a document; ``root`` tells components
+    apart whose ids are null or repeated, and is null for an empty set."""
     documents = documents.select("doc_id", "text")
     prints = materialise(fingerprints(documents, words, coordinates), "prints")
     classes = prints.where("n_shingles > 0").groupBy("class", "sig", "n_shingles").agg(F.min("doc_id").alias("first_id"))
@@ -257,13 +268,13 @@ def near_duplicates(
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     single = classes.select("class", "first_id").join(groups.select("class"), "class", "left_anti")
-    named = rooted.join(least, "root").select("class", "component_id").unionByName(
-        single.select("class", F.col("first_id").alias("component_id"))
+    named = rooted.join(least, "root").select("class", "component_id", "root").unionByName(
+        single.select("class", F.col("first_id").alias("component_id"), F.col("class").alias("root"))
     )
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         prints.drop("sig").join(named, "class", "left")
-        .select("doc_id", "class", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "class", "n_shingles", component.alias("component_id"), "root")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
