@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from driftleaf.llm import (
-    chat, exact_search, language, licences, mixing, near_dedup, nearest, packing, sharding, warc,
+    chat, exact_search, language, licences, mixing, near_dedup, nearest, packing, sharding, token_counts, warc,
 )
 
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op8_near_dedup": over("documents", near_dedup.op8_near_dedup),
     "op9_sharding": over("documents", sharding.op9_sharding),
     "op10_licences": over("documents", licences.op10_licences),
+    "op12_token_counts": over("documents", token_counts.op12_token_counts),
     "pipeline": corpus_pipeline.run,
 }
 
