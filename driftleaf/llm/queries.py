@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from driftleaf.llm import (
-    chat, exact_search, language, licences, mixing, near_dedup, nearest, packing, sharding, token_counts, warc,
+    chat, divergence, exact_search, language, licences, mixing, near_dedup, nearest, packing, prefix_trie, sharding, token_counts, warc,
 )
 
 
@@ -28,7 +28,9 @@ QUERIES = {
     "op8_near_dedup": over("documents", near_dedup.op8_near_dedup),
     "op9_sharding": over("documents", sharding.op9_sharding),
     "op10_licences": over("documents", licences.op10_licences),
+    "op11_source_divergence": over("documents", divergence.op11_source_divergence),
     "op12_token_counts": over("documents", token_counts.op12_token_counts),
+    "op13_prefix_trie": over("conversations", prefix_trie.op13_prefix_trie),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,6 +40,8 @@ SQL = {
     "op4_mixing": mixing.SQL,
     "op5_revisits": warc.SQL,
     "op8_near_dedup": near_dedup.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
