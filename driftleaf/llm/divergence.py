@@ -4,8 +4,8 @@ Tasks count the terms of their texts for each (lang, source) and hand on one row
 of their language are kept. Smoothed shares are whole numbers, ``p = 1 + floor(SCALE * (count + 5) / (N + 5 V))``.
 
 The sum of ``abs(p - q)`` over all kept terms is taken for every pair of groups without a row for each pair of postings:
-the postings of a language are dealt by term into buckets of about ``BUCKET`` postings; in a bucket they lie in
-term order, and each group in turn scatters its terms through them into one dense accumulator with a place for
+the postings of a language are dealt by term into buckets, large enough for a bucket's sums to be no more than its
+postings and small enough for a task; in a bucket they lie in term order, and each group in turn scatters its terms through them into one dense accumulator with a place for
 every peer. A place starts at the value that it would have if no term were shared: against the peer's share of an
 absent term for the group's own terms, and the other way round. The scatter corrects the terms that both have. The sums of
 the buckets add up.
@@ -32,7 +32,7 @@ from driftleaf.session import broadcast_if_small, materialise, ship_package
 SCALE = 1_000_000_000
 LEAST_DOCS = 30
 TOP_TERMS = 50
-BUCKET = 1 << 18
+BUCKET = (1 << 14, 1 << 22)  # least and most postings of a bucket; between them the pairs of sources decide
 HELD = 400_000  # distinct (group, term) that a task holds before it hands them on
 WINDOW = 1 << 20
 
@@ -110,8 +110,10 @@ def group_facts(held: DataFrame) -> DataFrame:
         F.sum("n").alias("total"), F.sum(F.col("leads").cast("long")).alias("leads"), F.count("*").alias("rows")
     )
     lang = group.groupBy("lang").agg(
-        F.sum("leads").alias("v"), F.sum("total").alias("lang_total"), F.ceil(F.sum("rows") / BUCKET).cast("int").alias("buckets")
+        F.sum("leads").alias("v"), F.sum("total").alias("lang_total"), F.sum("rows").alias("rows"), F.count("*").alias("peers")
     )
+    size = F.least(F.greatest(F.col("peers") * F.col("peers"), F.lit(BUCKET[0])), F.lit(BUCKET[1]))
+    lang = lang.select("lang", "v", "lang_total", F.ceil(F.col("rows") / size).cast("int").alias("buckets"))
     facts = group.select("lang", "source", "total").join(lang, "lang")
     return facts.withColumn("p0", share(F.lit(0), F.col("total"), F.col("v")))
 

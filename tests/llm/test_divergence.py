@@ -59,7 +59,7 @@ def odd(spark):
     return spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("bucket, held, window", [(1 << 18, 400_000, 1 << 20), (3, 2, 5)])
+@pytest.mark.parametrize("bucket, held, window", [((1 << 14, 1 << 22), 400_000, 1 << 20), ((1, 3), 2, 5)])
 def test_buckets_and_windows_do_not_change_results(odd, monkeypatch, bucket, held, window):
     monkeypatch.setattr(divergence, "BUCKET", bucket)
     monkeypatch.setattr(divergence, "HELD", held)
