@@ -27,7 +27,7 @@ from driftleaf.operators.bounds import leaf_bounds
 from driftleaf.operators.leaves import leaf_sizes, region_stats, segment_rows
 from driftleaf.operators.sampling import every_nth_by_size, leaf_queries
 from driftleaf.operators.scan import scan
-from driftleaf.operators.tree import best_splits, child_of, route, split_scores
+from driftleaf.operators.tree import best_splits, child_of, split_scores
 from driftleaf.plans.index import leaf_size_mismatches
 
 CUTS = S.segmentation(LENGTH, SEGMENTS)
@@ -257,7 +257,7 @@ def tree_route(spark: SparkSession, sf: str) -> DataFrame:
     """Routing a member again finds the leaf that stores it."""
     index = feeds.tree_index(spark, sf)
     stored = index.members.select("series_id", F.col("leaf_id").alias("stored"))
-    again = route(feeds.series(spark, sf), index.tree).select("series_id", "leaf_id")
+    again = index.route(feeds.series(spark, sf)).select("series_id", "leaf_id")
     return again.join(stored, "series_id").select(
         "series_id", (F.col("leaf_id") == F.col("stored")).alias("same_leaf")
     )

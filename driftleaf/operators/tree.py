@@ -1,13 +1,16 @@
-"""The split tree: scoring of candidate splits, routing, envelopes and lower bounds.
-
-The tree itself is metadata (one row a node) and is shipped to the tasks. Everything
-that touches series runs in the tasks: a batch is summarised once per distinct segment, routed
-with array lookups, and reduced to per-node minima and maxima before anything is shuffled.
+"""The split tree: scoring of candidate splits, growth, routing and envelopes.
+
+The tree is a table with one row a node, and ``parent_id`` links it. Its top is grown level by level
+over all series and shipped; below a node that is small enough for one task the tree grows inside
+the task that holds the node's series (``grow_subtree``), so the driver holds the top alone and a
+path may have any length. Ids are sequential: 1, 2, ... in the top, and in the subtree of top node s
+from ``s << NODE_BITS``. Tasks route whole batches with array lookups and reduce their rows to
+minima and maxima before anything is shuffled.
 """
 
 from __future__ import annotations
 
-import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,16 +18,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftleaf.functions.series import segmentation
 from driftleaf.operators.scan import to_matrix
-from driftleaf.session import share
+from driftleaf.session import pin, share
 from driftleaf.settings import IndexOptions
 
 Segment = tuple[int, int]
 ROOT = 1
-STATS = ("MEAN", "STD")
+NODE_BITS = 24
+LEAST_SCORE = 1e-12
+
+SEGMENT_SCHEMA = (
+    "struct<off:int,len:int,min_mean:double,max_mean:double,min_std:double,max_std:double>"
+)
+NODE_SCHEMA = (
+    "node_id long, parent_id long, depth int, is_leaf boolean, n long, off int, len int, "
+    "stat string, breakpoints array<double>, vertical boolean, first_child long, "
+    f"seg array<{SEGMENT_SCHEMA}>"
+)
+_SEGMENT_FIELDS = ("off", "len", "min_mean", "max_mean", "min_std", "max_std")
 
 STATS_SCHEMA = (
     "node_id long, ord int, off int, len int, vertical boolean, n long, "
@@ -66,87 +79,122 @@ class Split:
     vertical: bool
 
 
+def child_segments(parent: list[Segment], split: Split, n_subsegments: int) -> list[Segment]:
+    child = []
+    for off, n in parent:
+        if split.vertical and off <= split.off < off + n:
+            child += [(off + o, m) for o, m in segmentation(n, n_subsegments)]
+        else:
+            child.append((off, n))
+    return child
+
+
+def regions(segments: list[Segment], n_subsegments: int) -> list[tuple[int, int, int, bool]]:
+    """(order, off, len, vertical) of every segment and of its parts long enough to split."""
+    out, order = [], 0
+    for off, n in segments:
+        out.append((order, off, n, False))
+        for i, (o, m) in enumerate(segmentation(n, n_subsegments)):
+            if m >= 2 * n_subsegments:
+                out.append((order + 1 + i, off + o, m, True))
+        order += 1 + n_subsegments
+    return out
+
+
 @dataclass
 class Tree:
-    """Nodes are numbered like a heap: child i of node p is ``p * n_children + i``."""
+    """The top of a tree while it grows; children of a node have consecutive ids."""
 
     length: int
     n_children: int = 2
     n_subsegments: int = 2
     segments: dict[int, list[Segment]] = field(default_factory=dict)
     splits: dict[int, Split] = field(default_factory=dict)
+    first_child: dict[int, int] = field(default_factory=dict)
+    parent: dict[int, int | None] = field(default_factory=dict)
+    depth: dict[int, int] = field(default_factory=dict)
+    facts: dict[int, tuple[int, list]] = field(default_factory=dict)  # n and envelope
+    next_id: int = ROOT + 1
 
     @staticmethod
     def root(length: int, options: IndexOptions) -> Tree:
         tree = Tree(length, options.n_children, options.n_subsegments)
         tree.segments[ROOT] = [(0, length)]
+        tree.parent[ROOT], tree.depth[ROOT] = None, 0
         return tree
 
-    @property
-    def max_depth(self) -> int:
-        return int(62 / math.log2(self.n_children)) - 1
-
-    def depth(self, node: int) -> int:
-        level = 0
-        while node > ROOT:
-            node, level = node // self.n_children, level + 1
-        return level
-
     def leaves(self) -> list[int]:
         return [node for node in self.segments if node not in self.splits]
 
-    def add_split(self, node: int, split: Split) -> None:
-        parent = self.segments[node]
-        child = []
-        for off, n in parent:
-            if split.vertical and off <= split.off < off + n:
-                child += [(off + o, m) for o, m in segmentation(n, self.n_subsegments)]
-            else:
-                child.append((off, n))
-        self.splits[node] = split
-        for i in range(self.n_children):
-            self.segments[node * self.n_children + i] = child
+    def add_split(self, node: int, split: Split) -> list[int]:
+        if self.next_id + self.n_children >= 1 << NODE_BITS:
+            raise ValueError("the top of the tree has too many nodes; let subtrees be larger")
+        self.splits[node], self.first_child[node] = split, self.next_id
+        children = list(range(self.next_id, self.next_id + self.n_children))
+        self.next_id += self.n_children
+        for child in children:
+            self.segments[child] = child_segments(self.segments[node], split, self.n_subsegments)
+            self.parent[child], self.depth[child] = node, self.depth[node] + 1
+        return children
 
     def regions(self, node: int) -> list[tuple[int, int, int, bool]]:
-        """(order, off, len, vertical) of every segment and of its parts long enough to split."""
-        out, order = [], 0
-        for off, n in self.segments[node]:
-            out.append((order, off, n, False))
-            for i, (o, m) in enumerate(segmentation(n, self.n_subsegments)):
-                if m >= 2 * self.n_subsegments:
-                    out.append((order + 1 + i, off + o, m, True))
-            order += 1 + self.n_subsegments
-        return out
+        return regions(self.segments[node], self.n_subsegments)
+
+    def row(self, node: int) -> tuple:
+        """The node as a row of ``NODE_SCHEMA``."""
+        n, seg = self.facts.get(node, (0, no_members(self.segments[node])))
+        return node_row(node, self.parent[node], self.depth[node], n, seg, self.splits.get(node),
+                        self.first_child.get(node))
 
     def compile(self) -> Router:
-        return Router(self)
+        nodes = sorted(self.segments)
+        empty = Split(0, 0, "", [np.inf] * (self.n_children - 1), False)
+        splits = [self.splits.get(node, empty) for node in nodes]
+        return Router(
+            np.array(nodes, np.int64),
+            np.array([self.first_child.get(node, -1) for node in nodes], np.int64),
+            [(s.off, s.len) for s in splits],
+            np.array([s.stat == "STD" for s in splits]),
+            np.array([s.breakpoints for s in splits], float).reshape(len(nodes), -1),
+        )
+
+
+def no_members(segments: list[Segment]) -> list[tuple]:
+    """The envelope of a node without members, which no series is near."""
+    inf = float("inf")
+    return [(off, n, inf, -inf, inf, -inf) for off, n in segments]
+
+
+def node_row(
+    node: int, parent: int | None, depth: int, n: int, seg: list, split: Split | None,
+    first_child: int | None,
+) -> tuple:
+    s = split or Split(0, 0, None, None, None)
+    return (node, parent, depth, split is None, n, s.off, s.len, s.stat, s.breakpoints, s.vertical,
+            first_child, seg)
 
 
 class Router:
-    """The tree as arrays, for routing a whole batch level by level."""
-
-    def __init__(self, tree: Tree) -> None:
-        nodes = sorted(tree.segments)
-        at = {node: i for i, node in enumerate(nodes)}
-        wanted = sorted({(s.off, s.len) for s in tree.splits.values()})
-        slot = {seg: i for i, seg in enumerate(wanted)}
-        n, c = len(nodes), tree.n_children
-        self.segments = wanted
-        self.node_ids = np.array(nodes, dtype=np.int64)
-        self.slot = np.full(n, -1, dtype=np.int64)
-        self.is_std = np.zeros(n, dtype=bool)
-        self.breakpoints = np.full((n, c - 1), np.inf)
-        self.first_child = np.zeros(n, dtype=np.int64)
-        self.child_at = np.zeros((n, c), dtype=np.int64)
-        for node, split in tree.splits.items():
-            i = at[node]
-            self.slot[i] = slot[(split.off, split.len)]
-            self.is_std[i] = split.stat == "STD"
-            self.breakpoints[i] = split.breakpoints
-            self.child_at[i] = [at[node * c + j] for j in range(c)]
+    """Nodes as arrays, for routing a whole batch level by level. A node whose children are not among
+    them ends a path."""
+
+    def __init__(
+        self, ids: np.ndarray, first_child: np.ndarray, split_at: list[Segment],
+        is_std: np.ndarray, breakpoints: np.ndarray,
+    ) -> None:
+        self.node_ids = ids
+        self.fan = breakpoints.shape[1] + 1
+        at = np.minimum(np.searchsorted(ids, first_child), len(ids) - 1)
+        inner = (first_child >= 0) & (ids[at] == first_child)
+        self.first_at = np.where(inner, at, -1)
+        self.segments = sorted({seg for seg, has in zip(split_at, inner) if has})
+        slot = {seg: i for i, seg in enumerate(self.segments)}
+        self.slot = np.array([slot[s] if has else -1 for s, has in zip(split_at, inner)], np.int64)
+        self.is_std = is_std
+        self.breakpoints = breakpoints
 
     def route(self, x: np.ndarray) -> np.ndarray:
-        """Index into ``node_ids`` of the leaf of every row."""
+        """Index into ``node_ids`` of the end of every row's path."""
         at = np.zeros(len(x), dtype=np.int64)
         if not self.segments:
             return at
@@ -160,7 +208,122 @@ class Router:
             slot = self.slot[node]
             value = np.where(self.is_std[node], stds[live, slot], means[live, slot])
             child = (value[:, None] >= self.breakpoints[node]).sum(axis=1)
-            at[live] = self.child_at[node, child]
+            at[live] = self.first_at[node] + child
+
+
+class Nodes:
+    """Rows of a node table as arrays: routing, descent by bounds, and statistics along paths. The
+    rows hold one topmost node and all nodes between it and where they end."""
+
+    def __init__(self, table: pa.Table, fan: int) -> None:
+        table = table.sort_by("node_id").combine_chunks()
+        ids = table.column("node_id").to_numpy().astype(np.int64)
+        first = table.column("first_child").fill_null(-1).to_numpy().astype(np.int64)
+        off, length = (table.column(c).to_numpy().tolist() for c in ("off", "len"))
+        points = np.full((len(ids), fan - 1), np.inf)
+        for i, row in enumerate(table.column("breakpoints").to_pylist()):
+            if row:
+                points[i] = row
+        stat = np.array([s == "STD" for s in table.column("stat").to_pylist()], bool)
+        self.router = Router(ids, first, list(zip(off, length)), stat, points)
+        self.node_ids, self.fan = ids, fan
+        self.is_leaf = table.column("is_leaf").to_numpy(zero_copy_only=False).astype(bool)
+        parent = table.column("parent_id").fill_null(-1).to_numpy().astype(np.int64)
+        at = np.minimum(np.searchsorted(ids, parent), len(ids) - 1)
+        self.parent_at = np.where(ids[at] == parent, at, -1)
+        self.top = int(np.flatnonzero(self.parent_at < 0)[0])
+        if self.top:
+            raise ValueError("the topmost node has to have the smallest id")
+        seg = table.column("seg").combine_chunks()
+        seg = seg.combine_chunks() if isinstance(seg, pa.ChunkedArray) else seg
+        width = pa.compute.list_value_length(seg).to_numpy(zero_copy_only=False)
+        self.width = np.nan_to_num(width.astype(float)).astype(np.int64)
+        self.start = np.cumsum(self.width) - self.width
+        flat = seg.flatten()
+        self.part = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in _SEGMENT_FIELDS}
+        keys = list(zip(self.part["off"].tolist(), self.part["len"].tolist()))
+        self.segments = sorted(set(keys))
+        slot = {key: i for i, key in enumerate(self.segments)}
+        self.slot = np.array([slot[key] for key in keys], np.int64)
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        return self.router.route(x)
+
+    def _entries(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``node``, segment entry) of all segments of the given nodes."""
+        width = self.width[node]
+        row = np.repeat(np.arange(len(node)), width)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+        return row, self.start[node][row] + step
+
+    def bounds(self, means: np.ndarray, stds: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Lower bound of each (row, node)."""
+        out = np.empty(len(node))
+        p = self.part
+        for lo in range(0, len(node), 1 << 18):
+            at = node[lo : lo + (1 << 18)]
+            pos, entry = self._entries(at)
+            of = row[lo : lo + (1 << 18)][pos]
+            m, s = means[of, self.slot[entry]], stds[of, self.slot[entry]]
+            dm = np.maximum(np.maximum(p["min_mean"][entry] - m, m - p["max_mean"][entry]), 0.0)
+            ds = np.maximum(np.maximum(p["min_std"][entry] - s, s - p["max_std"][entry]), 0.0)
+            total = np.bincount(pos, p["len"][entry] * (dm * dm + ds * ds), len(at))
+            out[lo : lo + (1 << 18)] = np.sqrt(total)
+        return out
+
+    def descend(self, x: np.ndarray, cap: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, node index, bound) where paths end and no node above has a bound over the row's
+        ``cap``, and how many nodes were met by each row. A level at a time; the children of a
+        node are met only if the node's own bound does not exceed the cap."""
+        means, stds = summaries(x, self.segments)
+        row, node = np.arange(len(x)), np.full(len(x), self.top)
+        met = np.zeros(len(x), np.int64)
+        found = []
+        while len(row):
+            met += np.bincount(row, minlength=len(x))
+            lb = self.bounds(means, stds, row, node)
+            near = lb <= cap[row]
+            row, node, lb = row[near], node[near], lb[near]
+            first = self.router.first_at[node]
+            ends = first < 0
+            found.append((row[ends], node[ends], lb[ends]))
+            row, first = row[~ends], first[~ends]
+            node = (first[:, None] + np.arange(self.fan)).ravel()
+            row = np.repeat(row, self.fan)
+        parts = zip(*found) if found else ((np.zeros(0, np.int64),) * 2 + (np.zeros(0),))
+        return (*[np.concatenate(p) if found else p for p in parts], met)
+
+    def path_stats(self, x: np.ndarray, ends: bool = True) -> Iterator[pa.RecordBatch]:
+        """Minima and maxima of the rows, for every node on their paths and each of its segments;
+        without ``ends`` only the nodes above those that continue elsewhere."""
+        means, stds = summaries(x, self.segments)
+        at, live = self.route(x), np.arange(len(x))
+        if not ends:
+            at = np.where(self.is_leaf[at], at, self.parent_at[at])
+        while True:
+            live = live[at[live] >= 0]
+            if not len(live):
+                return
+            order = live[np.argsort(at[live], kind="stable")]
+            node = at[order]
+            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            node, count = node[cuts], np.diff(np.r_[cuts, len(order)])
+            low_m, high_m = (f.reduceat(means[order], cuts) for f in (np.minimum, np.maximum))
+            low_s, high_s = (f.reduceat(stds[order], cuts) for f in (np.minimum, np.maximum))
+            pos, entry = self._entries(node)
+            slot = self.slot[entry]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.node_ids[node][pos]),
+                    pa.array(self.part["off"][entry].astype(np.int32)),
+                    pa.array(self.part["len"][entry].astype(np.int32)),
+                    pa.array(count[pos].astype(np.int64)),
+                    pa.array(low_m[pos, slot]), pa.array(high_m[pos, slot]),
+                    pa.array(low_s[pos, slot]), pa.array(high_s[pos, slot]),
+                ],
+                names=["node_id", "off", "len", "n", "min_mean", "max_mean", "min_std", "max_std"],
+            )
+            at[live] = self.parent_at[at[live]]
 
 
 def node_stats(data: DataFrame, tree: Tree, nodes: list[int], vertical: bool = True) -> DataFrame:
@@ -317,60 +480,89 @@ def depth_of(node: Column, n_children: int) -> Column:
     return F.size(F.filter(F.array(*powers), lambda x: x <= node))
 
 
-def grow(data: DataFrame, tree: Tree, leaf_size: float, options: IndexOptions) -> bool:
-    """Split leaves of ``tree`` above ``leaf_size`` on the statistics of ``data``, one job per
-    level, until none is left. Leaves whose members cannot be told apart stay as they are. Returns
-    whether any split was made. Raises an error if ids would leave 64 bits."""
-    open_nodes, grew = tree.leaves(), False
-    while True:
-        if not open_nodes:
-            return grew
-        scores = split_scores(
-            node_stats(data, tree, open_nodes), options.n_children, options.vertical_factor
-        )
-        found = (
-            best_splits(scores.where(F.col("n") > leaf_size), options.n_children)
-            .where(F.col("score") > 1e-12)
-            .collect()
+def grow(data: DataFrame, tree: Tree, limit: float, options: IndexOptions) -> None:
+    """Split leaves of ``tree`` above ``limit`` rows on the statistics of ``data``, one job per
+    level, until none is left. Leaves whose members cannot be told apart stay as they are."""
+    open_nodes = tree.leaves()
+    while open_nodes:
+        stats = pin(node_stats(data, tree, open_nodes), "node-stats", 128)
+        scores = split_scores(stats, options.n_children, options.vertical_factor)
+        best = best_splits(scores, options.n_children).drop("n")
+        level = pack_envelopes(stats.where(~F.col("vertical")).withColumnRenamed("node_id", "leaf_id"))
+        # One row for each node of a level of the top.
+        rows = level.join(best, level["leaf_id"] == best["node_id"]).collect()
+        open_nodes = []
+        for row in sorted(rows, key=lambda r: r["node_id"]):
+            node = row["node_id"]
+            tree.facts[node] = (row["n"], [tuple(s) for s in row["seg"]])
+            if row["n"] > limit and row["score"] > LEAST_SCORE:
+                points = list(row["breakpoints"])
+                split = Split(row["off"], row["len"], row["stat"], points, row["vertical"])
+                open_nodes += tree.add_split(node, split)
+
+
+def _best_split(
+    n_children: int, factor: float, parts: list[tuple[int, int, int, bool]],
+    low_m: np.ndarray, high_m: np.ndarray, low_s: np.ndarray, high_s: np.ndarray,
+) -> tuple[float, int, Split | None]:
+    """Score, region and split of the best candidate; among equals the first in region order."""
+    top: tuple[float, int, Split | None] = (-1.0, 0, None)
+    for i, (_, off, n, vertical) in enumerate(parts):
+        width, spread = high_m[i] - low_m[i], high_s[i]
+        step = (high_s[i] - low_s[i]) / n_children
+        mean_gain = n * width * width * (1.0 - 1.0 / (n_children * n_children))
+        kept = sum((spread - j * step) * (spread - j * step) for j in range(n_children))
+        std_gain = n * (spread * spread - kept / n_children)
+        for stat, gain, low, by in (
+            ("MEAN", mean_gain, low_m[i], width / n_children), ("STD", std_gain, low_s[i], step)
+        ):
+            score = gain / factor if vertical else gain
+            if score > top[0]:
+                points = [float(low + by * j) for j in range(1, n_children)]
+                top = (float(score), i, Split(off, n, stat, points, vertical))
+    return top
+
+
+def grow_subtree(
+    x: np.ndarray, root: int, parent: int | None, depth: int, segments: list[Segment],
+    options: IndexOptions,
+) -> tuple[np.ndarray, list[tuple]]:
+    """The leaf of every row of ``x`` and the rows of the node table below and with ``root``, whose
+    members are the rows of ``x``. No path is too long: nodes wait in a queue."""
+    leaf = np.full(len(x), root, np.int64)
+    nodes: list[tuple] = []
+    next_id = root << NODE_BITS
+    waiting = deque([(root, parent, depth, segments, np.arange(len(x)))])
+    while waiting:
+        node, above, level, segs, rows = waiting.popleft()
+        if not len(rows):
+            nodes.append(node_row(node, above, level, 0, no_members(segs), None, None))
+            continue
+        parts = regions(segs, options.n_subsegments)
+        means, stds = summaries(x[rows], [(off, n) for _, off, n, _ in parts])
+        low_m, high_m, low_s, high_s = means.min(0), means.max(0), stds.min(0), stds.max(0)
+        seg = sorted(
+            (off, n, float(low_m[i]), float(high_m[i]), float(low_s[i]), float(high_s[i]))
+            for i, (_, off, n, vertical) in enumerate(parts)
+            if not vertical
         )
-        if not found:
-            return grew
-        grew, open_nodes = True, []
-        for row in found:
-            if tree.depth(row["node_id"]) >= tree.max_depth:
-                raise ValueError(f"leaf {row['node_id']} is above the leaf size at the deepest level")
-            tree.add_split(
-                row["node_id"],
-                Split(row["off"], row["len"], row["stat"], list(row["breakpoints"]), row["vertical"]),
+        score, at, split = 0.0, 0, None
+        if len(rows) > options.leaf_size:
+            score, at, split = _best_split(
+                options.n_children, options.vertical_factor, parts, low_m, high_m, low_s, high_s
             )
-            open_nodes += [row["node_id"] * tree.n_children + i for i in range(tree.n_children)]
-    return grew
-
-
-def route(data: DataFrame, tree: Tree, values: str = "values") -> DataFrame:
-    """Add ``leaf_id``; a narrow map."""
-    router = share(data.sparkSession, tree.compile())
-    schema = T.StructType(
-        data.drop("leaf_id").schema.fields + [T.StructField("leaf_id", T.LongType())]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = router.value
-        for batch in batches:
-            if batch.num_rows:
-                leaf = compiled.node_ids[compiled.route(to_matrix(batch.column(values)))]
-            else:
-                leaf = np.empty(0, dtype=np.int64)
-            yield batch.append_column("leaf_id", pa.array(leaf, type=pa.int64()))
-
-    return data.drop("leaf_id").mapInArrow(run, schema)
-
-
-def leaf_envelopes(data: DataFrame, tree: Tree, values: str = "values") -> DataFrame:
-    """(leaf_id, n, seg): true minima and maxima over all members, per leaf and segment."""
-    rows = data.select(F.col(values).alias("values"))
-    stats = node_stats(rows, tree, tree.leaves(), vertical=False)
-    return pack_envelopes(stats.withColumnRenamed("node_id", "leaf_id"))
+        if split is None or score <= LEAST_SCORE:
+            leaf[rows] = node
+            nodes.append(node_row(node, above, level, len(rows), seg, None, None))
+            continue
+        value = (stds if split.stat == "STD" else means)[:, at]
+        child = (value[:, None] >= np.array(split.breakpoints)).sum(axis=1)
+        nodes.append(node_row(node, above, level, len(rows), seg, split, next_id))
+        below = child_segments(segs, split, options.n_subsegments)
+        for i in range(options.n_children):
+            waiting.append((next_id + i, node, level + 1, below, rows[child == i]))
+        next_id += options.n_children
+    return leaf, nodes
 
 
 def pack_envelopes(stats: DataFrame) -> DataFrame:

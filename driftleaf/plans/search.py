@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.bounds import leaf_bounds
+from driftleaf.operators.descent import descend, descend_by_join
 from driftleaf.operators.scan import scan, top_k
 from driftleaf.plans.index import Index
 from driftleaf.session import pin, series_bytes
@@ -58,13 +59,15 @@ def seed_limits(
 def candidates(
     index: Index, limited: DataFrame, resident: DataFrame
 ) -> DataFrame:
-    """(query_id, leaf_id, lb) of the other leaves whose bound does not exceed ``kth``."""
-    bounds = leaf_bounds(
-        limited.select("query_id", F.col(index.route_column).alias("values"), "kth"),
-        index.leaf,
-        "kth",
-        index.shipped_leaves,
-    )
+    """(query_id, leaf_id, lb) of the other leaves whose bound does not exceed ``kth``; with a tree no
+    leaf below a node whose bound does."""
+    asked = limited.select("query_id", F.col(index.route_column).alias("values"), "kth")
+    if index.nodes is None:
+        bounds = leaf_bounds(asked, index.leaf, "kth", index.shipped_leaves)
+    elif index.shipped_nodes is not None:
+        bounds = descend(asked, index.shipped_nodes)
+    else:
+        bounds = descend_by_join(asked, index.nodes)
     return bounds.join(resident.select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_anti")
 
 

@@ -26,6 +26,7 @@ class IndexOptions:
     n_subsegments: int = 2
     vertical_factor: float = 2.0
     rows_per_file: int = 500_000
+    subtree_rows: int | None = None  # members of a subtree that one task grows; by size if unset
 
 
 def broadcast_budget(spark: SparkSession) -> int:

@@ -37,8 +37,11 @@ def test_append_with_three_children_keeps_depths(spark, rng):
     x = rng.normal(size=(200, 16))
     index = build_index(frame(spark, x[:120]), IndexOptions(leaf_size=10, n_children=3))
     index = append_to_index(index, frame(spark, x[120:], start=120))
-    wrong = index.leaf.where(depth_of(F.col("leaf_id"), 3) != F.col("depth"))
+    above = index.nodes.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("above"))
+    wrong = index.nodes.join(above, "parent_id", "left").where(F.coalesce("above", F.lit(-1)) + 1 != F.col("depth"))
     assert wrong.count() == 0 and index.members.count() == 200
+    per_parent = index.nodes.where("parent_id IS NOT NULL").groupBy("parent_id").count()
+    assert {r["count"] for r in per_parent.collect()} == {3}
 
 
 def test_small_leaves_are_drawn_again(spark, rng):

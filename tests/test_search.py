@@ -12,7 +12,9 @@ from driftleaf.plans.index import (
     index_by_key,
     leaf_size_mismatches,
     load_index,
+    save_index,
 )
+from driftleaf.plans import versions
 from driftleaf.plans.search import knn_exact, knn_filtered, knn_pruned, within_budget
 from driftleaf.plans.train import collect_facts
 from driftleaf.settings import IndexOptions
@@ -124,13 +126,12 @@ def test_append_and_load(spark, rng):
     x[150:] *= 2
     assert load_index(spark, index.path, check=True).members.count() == 240
     assert answers(knn_pruned(index, frame(spark, q, "query_id"), 3)) == brute_knn(x, q, 3)
-    index.leaf.withColumn("n", F.col("n") + 1).write.parquet(f"{index.path}/leaf2")
-    broken = new_work_path(spark, "broken")
-    for part in ("member", "split", "node"):
-        spark.read.parquet(f"{index.path}/{part}").write.parquet(f"{broken}/{part}")
-    spark.read.parquet(f"{index.path}/leaf2").write.parquet(f"{broken}/leaf")
+    broken = save_index(index, new_work_path(spark, "broken"))
+    more = versions.write_part(broken.nodes.withColumn("n", F.col("n") + 1), broken.path, "tree")
+    versions.commit(spark, broken.path, {"tree": [more]})
     with pytest.raises(ValueError):
-        load_index(spark, broken, check=True)
+        load_index(spark, broken.path, check=True)
+    assert load_index(spark, broken.path, check=True, version=1).members.count() == 240
 
 
 def test_sketch_index_answers_approximately(spark, rng):
