@@ -11,8 +11,8 @@ by weight; a target stops at ``repeats`` times the source's words and the excess
 by weight until none is above. That is one level for all open sources, found from running sums.
 
 Defined cases: null or blank text has no words and is never taken; a null source is a source of its
-own; rows with the same ``doc_id`` share a hash and are taken alike, so a threshold cannot part
-them; a null ``doc_id`` counts as an id of its own; an empty table gives no row; ``mix`` ignores other
+own; rows with the same ``doc_id`` and text share a hash and are taken alike, so a threshold cannot part
+them; a null ``doc_id`` counts as an id like others; an empty table gives no row; ``mix`` ignores other
 columns and ``mixed_documents`` keeps them, whatever their names.
 """
 
@@ -36,8 +36,9 @@ def word_count(text: Column) -> Column:
 
 
 def doc_hash() -> Column:
-    """The first ``HASH_BITS`` bits of the id's MD5."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    """The first ``HASH_BITS`` bits of the MD5 of the id and the text's own MD5."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -170,7 +171,7 @@ def op4_mixing(documents: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 15) AS BIGINT) AS hash
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,

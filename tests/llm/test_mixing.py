@@ -65,3 +65,13 @@ def test_many_sources_and_a_hot_one(spark):
     rows = [(i, " ".join("w" * (1 + i % 3) for _ in range(1 + i % 17)), None, "hot" if i % 3 else f"s{i % 50}", 0, "", "") for i in range(4000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, taken string, label string")
     check(table, op4_mixing(table).collect())
+
+
+def test_rows_without_ids_are_parted(spark):
+    rows = [(None, f"{s} {i} " + "w " * 18, s) for s in "abc" for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source_size"]: 0 for r in op4_mixing(table).collect()}
+    taken = op4_mixing(table).groupBy("target").sum("taken").collect()
+    assert list(got) == [6000] and len(taken) == 3
+    for row in taken:
+        assert abs(row["sum(taken)"] - row["target"]) <= 20
