@@ -63,23 +63,38 @@ def letters() -> np.ndarray:
 
 
 def gram_codes(text: str, bits: int, window: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Feature numbers of all n-grams, in windows of the text; empty if it has no letter."""
-    widest = max(ORDERS)
-    for at in range(0, len(text), window):
-        part = text[max(0, at - widest + 1) : at + window].lower()
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        points = np.where(letters()[points], points, 0)
-        if not points.any():
+    """Feature numbers of all n-grams, in windows of the text; empty if it has no letter. What a gram needs
+    from the windows before is carried over, so the size of a window changes nothing."""
+    low = text.lower()
+    carried, fresh = np.zeros(0, np.uint32), np.zeros(1, np.uint32)
+    for at in range(0, len(low), window):
+        points = np.frombuffer(low[at : at + window].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(letters()[points], points, 0).astype(np.uint32)
+        before = np.concatenate((fresh[-1:] if len(fresh) else carried[-1:], points))
+        points = points[(before[1:] != 0) | (before[:-1] != 0)]
+        fresh = np.concatenate((fresh, points))
+        last = at + window >= len(low)
+        if not fresh.any() and not len(carried):
             continue
-        points = np.concatenate(([0], points, [0])).astype(np.uint32)
-        points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
-        rolled = np.zeros(len(points), np.uint32)
-        for order in range(1, widest + 1):
-            rolled = rolled[: len(points) - order + 1] * np.uint32(0x01000193) + points[order - 1 :]
-            if order in ORDERS:
-                code = (rolled + np.uint32(order)) * np.uint32(0x9E3779B1)
-                code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77)
-                yield (code >> np.uint32(32 - bits)).astype(np.int64)
+        if last and len(fresh) and fresh[-1]:
+            fresh = np.append(fresh, np.uint32(0))
+        elif last and not len(fresh) and carried[-1]:
+            fresh = np.zeros(1, np.uint32)
+        yield from _grams(carried, fresh, bits)
+        carried = np.concatenate((carried, fresh))[-(max(ORDERS) - 1) :]
+        fresh = np.zeros(0, np.uint32)
+
+
+def _grams(carried: np.ndarray, fresh: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The n-grams that end in ``fresh``, which follows ``carried``."""
+    points = np.concatenate((carried, fresh))
+    rolled = np.zeros(len(points), np.uint32)
+    for order in range(1, max(ORDERS) + 1):
+        rolled = rolled[: len(points) - order + 1] * np.uint32(0x01000193) + points[order - 1 :]
+        if order in ORDERS:
+            code = (rolled[max(0, len(carried) - order + 1) :] + np.uint32(order)) * np.uint32(0x9E3779B1)
+            code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77)
+            yield (code >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def gram_counts(text: str | None, bits: int) -> np.ndarray | None:

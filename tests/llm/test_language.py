@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from driftleaf.llm import language
 
@@ -38,13 +39,20 @@ def test_odd_rows(docs, no_docs):
     assert {r["lang_pred"] for r in language.op6_language(unlabelled).collect()} == {"und"}
 
 
-def test_windows_give_the_same_counts():
-    text = "Été à la plage 😀, 12 MAI! " * 50
-    whole = np.concatenate(list(language.gram_codes(text, 15)))
-    assert len(whole) > 100
-    a = set(whole.tolist())
-    b = set(np.concatenate(list(language.gram_codes(text, 15, window=97))).tolist())
-    assert a <= b
+@pytest.mark.parametrize("text", ["Été à la plage 😀, 12 MAI! " * 50, "ΟΔΟΣ ΣΑΣ" * 40, "12 !! " * 60 + "ab", "ab" + " 12" * 70, "é"])
+@pytest.mark.parametrize("window", [1, 2, 7, 97])
+def test_windows_give_the_same_counts(text, window):
+    whole = np.bincount(np.concatenate(list(language.gram_codes(text, 15))), minlength=1 << 15)
+    parts = np.bincount(np.concatenate(list(language.gram_codes(text, 15, window))), minlength=1 << 15)
+    assert whole.sum() and (whole == parts).all()
+    assert not list(language.gram_codes("12 !! " * 30, 15, window))
+
+
+def test_counts_against_plain_python():
+    text = "Été  à 12 la"
+    kept = " été à la "
+    want = sum(len(kept) - order + 1 for order in language.ORDERS)
+    assert len(np.concatenate(list(language.gram_codes(text, 15)))) == want
 
 
 def test_penalty_makes_weights_sparse_and_temperature_calibrates():
