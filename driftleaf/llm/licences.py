@@ -3,7 +3,7 @@
 1. Document frequencies of the words of all templates are counted over every whole text.
 2. In a text, the words of each template with the highest IDF are looked up in the index of template
    postings (word -> template, position); each hit votes for where the template would begin. Rare words
-   are chosen for each template, so one licence never hides another.
+   are chosen for each template, once for all texts, so one licence never hides another.
 3. Where enough different words agree on a place, the template is aligned there: the share of its
    words found within a small slack is the score, and its mandatory phrase must stand in the text
    inside the aligned range.
@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,11 @@ class Index:
     postings: dict[bytes, list[tuple[int, int]]]
     idf: dict[bytes, float]
 
+    def __post_init__(self) -> None:
+        by_idf = lambda w: (-self.idf[w], w)
+        self.rarest = [sorted({w for w in words if w in self.idf}, key=by_idf)[:RAREST] for _, _, words in self.templates]
+        self.voters = frozenset().union(*self.rarest)
+
 
 def template_words() -> list[tuple[str, bytes, list[bytes]]]:
     return [(label, b" %s " % phrase.encode(), text.encode().split()) for label, phrase, text in TEMPLATES]
@@ -119,26 +125,25 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def alignments(words: list[bytes], index: Index) -> Iterator[tuple[int, int]]:
-    """(template, place where it would begin) that enough rare words agree on."""
+    """(template, place where it would begin) that enough of the template's rare words agree on. Votes are
+    numbers in sorted arrays, so that a long text needs memory in proportion to its length."""
     spots: dict[bytes, list[int]] = defaultdict(list)
     for at, word in enumerate(words):
-        if word in index.postings:
+        if word in index.voters:
             spots[word].append(at)
-    held: dict[int, list[bytes]] = defaultdict(list)
-    for word in sorted(spots, key=lambda w: (-index.idf[w], w)):
-        for template in {t for t, _ in index.postings[word]}:
-            held[template].append(word)
-    votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-    for template, rarest in held.items():
-        if len(rarest) < VOTES:
+    for template, rare in enumerate(index.rarest):
+        present = [(i, word) for i, word in enumerate(rare) if word in spots]
+        if len(present) < VOTES:
             continue
-        for word in rarest[:RAREST]:
-            for position in (p for t, p in index.postings[word] if t == template):
-                for at in spots[word]:
-                    votes[template, at - position].add(word)
-    for place, voters in votes.items():
-        if len(voters) >= VOTES:
-            yield place
+        votes = [
+            (np.array(spots[word], np.int64) - position) * len(rare) + i
+            for i, word in present
+            for t, position in index.postings[word]
+            if t == template
+        ]
+        begins, counts = np.unique(np.unique(np.concatenate(votes)) // len(rare), return_counts=True)
+        for begin in begins[counts >= VOTES].tolist():
+            yield template, begin
 
 
 def scan_text(text: str | None, index: Index) -> tuple:

@@ -66,3 +66,17 @@ def test_one_licence_does_not_hide_another(documents):
     assert scan_text(text, index)[5].split(",") == sorted(label for label, _, _ in TEMPLATES)
     for label, _, t in TEMPLATES:
         assert scan_text(t, index)[5].split(",").count(label) == 1
+
+
+def test_a_long_text_of_template_words_needs_little_memory(documents):
+    import tracemalloc
+
+    index = build_index(documents)
+    text = " ".join(w for _, _, t in TEMPLATES for w in t.split()[:-3]) * 8
+    text = (text + " the license you may not use of this software ") * 600
+    assert len(text) > 5_000_000
+    tracemalloc.start()
+    found = scan_text(text, index)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert found[0] == len(text.split())
