@@ -229,20 +229,24 @@ def confirmed_links(
 
 def components(links: DataFrame) -> DataFrame:
     """(class, root) of every linked class but the roots; root is the smallest class of its component.
-    Alternates large-star and small-star rounds until the links are stars."""
+    Alternates large-star and small-star rounds until the links are stars. A hub's edges are many: its
+    minimum is found from partial minima and written, so that the join that hands it to the edges
+    shuffles plain tables, whose large partitions are split."""
     ordered = lambda df: df.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
+    minima = lambda df: materialise(df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "minima")
     edges = materialise(ordered(links), "edges")
     while True:
-        many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-        if many.isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        stars = minima(edges)
+        roots = edges.select(F.col("b").alias("a")).distinct()
+        if stars.where("n > 1").isEmpty() and stars.join(roots, "a", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("class"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = minima(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = ordered(large)
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        edges = materialise(ordered(large), "edges")
+        least = minima(edges).select("a", "m")
         small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(ordered(small.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
 
