@@ -272,7 +272,7 @@ BATCH_ALPHAS = """
                 FROM joined_stats)"""
 
 
-def _batch_alphas(spark: SparkSession, sf: str) -> DataFrame:
+def stored_batch_alphas(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.residuals(feeds.calibration_rows(spark, sf))
     return C.batch_alphas(rows, feeds.batches(spark, sf))
 
@@ -283,7 +283,7 @@ def _batch_alphas(spark: SparkSession, sf: str) -> DataFrame:
     SELECT leaf_id, batch_id, pos, round(alpha, 4) AS alpha FROM batch_alphas""",
 )
 def batch_alphas(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_batch_alphas(spark, sf), "alpha")
+    return _rounded(stored_batch_alphas(spark, sf), "alpha")
 
 
 @register(
@@ -292,7 +292,7 @@ def batch_alphas(spark: SparkSession, sf: str) -> DataFrame:
     SELECT leaf_id, pos, round(max(alpha), 4) AS alpha FROM batch_alphas GROUP BY 1, 2""",
 )
 def max_alpha_by_position(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(C.max_alpha_by_position(_batch_alphas(spark, sf)), "alpha")
+    return _rounded(C.max_alpha_by_position(stored_batch_alphas(spark, sf)), "alpha")
 
 
 def recalls(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +358,7 @@ def residence_recall_by_pos(spark: SparkSession, sf: str) -> DataFrame:
 def batch_margin_recall(spark: SparkSession, sf: str) -> DataFrame:
     """The same simulation with the margins of each batch."""
     gaps = R.target_gaps(feeds.calibration_rows(spark, sf))
-    out = R.recall_by_position(gaps, _batch_alphas(spark, sf), feeds.batches(spark, sf))
+    out = R.recall_by_position(gaps, stored_batch_alphas(spark, sf), feeds.batches(spark, sf))
     return _rounded(out, "recall")
 
 
@@ -632,7 +632,7 @@ def calibration_dump(spark: SparkSession, sf: str) -> DataFrame:
             knn_exact(feeds.series(spark, sf), feeds.train_queries(spark, sf), 5)
         ),
     )
-    last = _batch_alphas(spark, sf).groupBy("leaf_id", "batch_id").agg(F.max("alpha").alias("alpha"))
+    last = stored_batch_alphas(spark, sf).groupBy("leaf_id", "batch_id").agg(F.max("alpha").alias("alpha"))
     out = E.calibration_dump(
         found, feeds.calibration_rows(spark, sf), feeds.batches(spark, sf), last
     )

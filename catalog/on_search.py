@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,16 @@ def knn_lb_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return _answer(P.knn_pruned(feeds.tree_index(spark, sf), q, K), leaf=False)
 
 
+@register(
+    "knn_descent_by_join",
+    f"WITH {EXACT} SELECT query_id, rank, series_id, round(dist, 4) AS dist FROM exact",
+)
+def knn_descent_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search for a tree that is too large to ship: the frontier meets the node table level by level."""
+    index = replace(feeds.tree_index(spark, sf), ship=False)
+    return _answer(P.knn_pruned(index, feeds.search_queries(spark, sf), K), leaf=False)
+
+
 @register("knn_lb_pruned_by_key", f"WITH {EXACT} SELECT {ANSWER} FROM exact")
 def knn_lb_pruned_by_key(spark: SparkSession, sf: str) -> DataFrame:
     q = feeds.search_queries(spark, sf)

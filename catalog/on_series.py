@@ -299,9 +299,18 @@ _LOCAL_NOISE = (
 )
 
 
-@register(
-    "local_synthetic_queries",
-    f"""WITH {ALL_FACTS},
+def local_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(leaf_id, query_no, values, lnn) of ten local queries a leaf."""
+    from driftleaf.operators.facts import nn_distance_stats
+    from driftleaf.operators.sampling import local_queries
+
+    index = feeds.keyed_index(spark, sf)
+    stats = nn_distance_stats(feeds.facts(spark, sf))
+    return local_queries(index.members, index.leaf, stats, 10)
+
+
+#: Local queries of every leaf as (leaf_id, query_no, lnn, "values").
+LOCAL = f"""
     limits AS (
       SELECT leaf_id, avg(lnn) - stddev_pop(lnn) AS most FROM facts GROUP BY 1
       HAVING avg(lnn) - stddev_pop(lnn) > 0),
@@ -318,17 +327,21 @@ _LOCAL_NOISE = (
       SELECT q.leaf_id, q.attempt, min(list_distance(q."values", s."values")) AS lnn
       FROM scaled q JOIN series s ON s.leaf_id = q.leaf_id GROUP BY 1, 2),
     kept AS (
-      SELECT n.leaf_id, n.lnn, row_number() OVER (PARTITION BY n.leaf_id ORDER BY attempt) AS query_no
-      FROM near n JOIN limits l ON l.leaf_id = n.leaf_id WHERE lnn <= most)
-    SELECT leaf_id, query_no, round(lnn, 4) AS lnn FROM kept WHERE query_no <= 10""",
+      SELECT n.leaf_id, n.attempt, n.lnn,
+             row_number() OVER (PARTITION BY n.leaf_id ORDER BY attempt) AS query_no
+      FROM near n JOIN limits l ON l.leaf_id = n.leaf_id WHERE lnn <= most),
+    local_queries AS (
+      SELECT k.leaf_id, k.query_no, k.lnn, s."values" FROM kept k
+      JOIN scaled s ON s.leaf_id = k.leaf_id AND s.attempt = k.attempt WHERE query_no <= 10)"""
+
+
+@register(
+    "local_synthetic_queries",
+    f"""WITH {ALL_FACTS}, {LOCAL}
+    SELECT leaf_id, query_no, round(lnn, 4) AS lnn FROM local_queries""",
 )
 def local_synthetic(spark: SparkSession, sf: str) -> DataFrame:
-    from driftleaf.operators.facts import nn_distance_stats
-    from driftleaf.operators.sampling import local_queries
-
-    index = feeds.keyed_index(spark, sf)
-    stats = nn_distance_stats(feeds.facts(spark, sf))
-    return local_queries(index.members, index.leaf, stats, 10).select(
+    return local_rows(spark, sf).select(
         "leaf_id", "query_no", F.round("lnn", 4).alias("lnn")
     )
 

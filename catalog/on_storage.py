@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from catalog import feeds
 from catalog.feeds import K, LENGTH
-from catalog.on_search import EXACT
+from catalog.on_search import EXACT, FILTERED, MARGIN
 from catalog.registry import register
-from catalog.on_calibration import recalls
+from catalog.on_calibration import BATCH_ALPHAS, recalls, stored_batch_alphas
+from catalog.on_series import LOCAL, local_rows
 from catalog.sql_parts import (
     ALL_FACTS,
     CALIBRATION,
@@ -20,13 +21,18 @@ from catalog.sql_parts import (
     RECALL_CHAIN,
     SERIES,
     TRAIN,
+    bounds,
 )
 from driftleaf.functions.series import as_doubles, total
 from driftleaf.operators.augment import unpivot_wide
 from driftleaf.operators.conformal import residuals
 from driftleaf.operators.recall import wide_rows, with_coverage
 from driftleaf.plans.index import append_to_index, build_index, leaf_size_mismatches, load_index
-from driftleaf.plans.search import knn_exact, knn_pruned
+from driftleaf.plans import filters as saved
+from driftleaf.plans.index import Index, save_index
+from driftleaf.plans.search import knn_exact, knn_filtered, knn_pruned
+from driftleaf.models.fits import fit_linear
+from driftleaf.operators.facts import knn_residence
 from driftleaf.session import materialise, new_work_path
 from driftleaf.settings import IndexOptions
 from driftleaf.sources import binary as B
@@ -357,3 +363,108 @@ def training_queries_saved(spark: SparkSession, sf: str) -> DataFrame:
     T.save_training_queries(feeds.train_queries(spark, sf), path, test_path)
     both = spark.read.parquet(path).unionByName(spark.read.parquet(test_path))
     return both.groupBy("query_id").agg(F.count("*").alias("copies"))
+
+
+def _with_filters(spark: SparkSession, sf: str) -> Index:
+    """An index saved in a new folder, then its filters with margins, batches and residence."""
+    index = save_index(feeds.keyed_index(spark, sf), new_work_path(spark, "filters"))
+    lines = fit_linear(feeds.facts(spark, sf).where(F.col("role") == "train"))
+    near = knn_residence(knn_exact(index.members, feeds.search_queries(spark, sf), K))
+    return saved.save_filters(
+        index, lines, feeds.alphas(spark, sf), feeds.batches(spark, sf), stored_batch_alphas(spark, sf), near
+    )
+
+
+def _filtered_answers(spark: SparkSession, sf: str, index: Index) -> DataFrame:
+    q = feeds.search_queries(spark, sf)
+    rows = knn_filtered(index, q, K, saved.saved_predictions(index, q, 0.5), feeds.home(q))
+    return rows.select("query_id", "rank", "series_id", "leaf_id", F.round("dist", 4).alias("dist"))
+
+
+@register(
+    "index_with_filters_save_load",
+    f"WITH {FILTERED} SELECT query_id, rank, series_id, leaf_id, round(dist, 4) AS dist FROM filtered",
+)
+def index_with_filters_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The filtered search from a saved index alone gives the answers it gave before saving."""
+    return _filtered_answers(spark, sf, load_index(spark, _with_filters(spark, sf).path, check=True))
+
+
+@register(
+    "filters_deactivated",
+    f"""WITH {FILTERED.replace("c.kth IS NULL OR", "c.leaf_id % 2 = 0 OR c.kth IS NULL OR")}
+    SELECT query_id, rank, series_id, leaf_id, round(dist, 4) AS dist FROM filtered""",
+)
+def filters_deactivated(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves whose filters were switched off are never pruned by them."""
+    index = _with_filters(spark, sf)
+    even = index.leaf.where(F.col("leaf_id") % 2 == 0)
+    return _filtered_answers(spark, sf, saved.deactivate_filters(index, even))
+
+
+@register(
+    "filters_retrained",
+    f"""WITH {ALL_FACTS}
+    SELECT leaf_id, round(coalesce(regr_slope(lnn, lb), 0.0), 4) AS slope,
+           round(coalesce(regr_intercept(lnn, lb), avg(lnn)), 4) AS intercept, true AS active
+    FROM facts WHERE role = 'train' OR (role = 'valid' AND leaf_id < 5) GROUP BY leaf_id""",
+)
+def filters_retrained(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the filters are switched off and fitted again on more rows, the others stay."""
+    rows = feeds.facts(spark, sf).where("role <> 'calib' AND leaf_id < 5")
+    index = _with_filters(spark, sf)
+    index = saved.retrain_filters(saved.deactivate_filters(index, rows.select("leaf_id").distinct()), rows)
+    return index.tables["filter"].select(
+        "leaf_id", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "active"
+    )
+
+
+@register(
+    "residence_save_load",
+    f"""WITH {EXACT}, {ALL_FACTS.replace(SERIES + ",", "", 1)}, {MODEL}, {CALIBRATION},
+    {CHAIN.split(CALIBRATION + ",", 1)[1]}, {BATCH_ALPHAS},
+    near AS (SELECT query_id, leaf_id, count(*) AS n FROM exact GROUP BY 1, 2)
+    SELECT leaf_id, count(*) AS n_queries, sum(n)::BIGINT AS n_series,
+           (SELECT count(*) FROM batch_alphas b WHERE b.leaf_id = near.leaf_id) AS n_alphas,
+           (SELECT round(max(alpha), 4) FROM batch_alphas b WHERE b.leaf_id = near.leaf_id) AS top
+    FROM near GROUP BY leaf_id""",
+)
+def residence_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Residence counts and margins of the calibration batches, as the saved index holds them."""
+    tables = load_index(spark, _with_filters(spark, sf).path).tables
+    near = tables["residence"].groupBy("leaf_id").agg(
+        F.count("*").alias("n_queries"), F.sum("n").alias("n_series")
+    )
+    margins = tables["batch_alpha"].groupBy("leaf_id").agg(
+        F.count("*").alias("n_alphas"), F.round(F.max("alpha"), 4).alias("top")
+    )
+    return near.join(margins, "leaf_id")
+
+
+@register(
+    "filters_with_local_examples",
+    f"""WITH {ALL_FACTS}, {LOCAL},
+    local_ids AS (SELECT *, leaf_id * 1000 + query_no AS query_id FROM local_queries),
+    {bounds("local_ids")},
+    examples AS (
+      SELECT q.leaf_id, b.lb, q.lnn, row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY q.leaf_id) * 4 / 5) AS trains
+      FROM local_ids q JOIN local_ids_lb b ON b.query_id = q.query_id AND b.leaf_id = q.leaf_id
+      WINDOW w AS (PARTITION BY q.leaf_id ORDER BY query_no)),
+    both_ AS (
+      SELECT leaf_id, lb, lnn, 0 AS local FROM facts WHERE role = 'train'
+      UNION ALL SELECT leaf_id, lb, lnn, 1 FROM examples WHERE trains)
+    SELECT leaf_id, count(*) AS n, sum(local)::BIGINT AS n_local, round(coalesce(regr_slope(lnn, lb), 0.0), 4) AS slope,
+           round(coalesce(regr_intercept(lnn, lb), avg(lnn)), 4) AS intercept FROM both_ GROUP BY leaf_id""",
+)
+def filters_with_local_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters trained on global facts and on local examples that were saved with the index in two
+    parts, each set with a split of its own."""
+    index = _with_filters(spark, sf)
+    made = materialise(saved.local_examples(index, local_rows(spark, sf)), "examples")
+    for odd in (0, 1):
+        index = saved.append_examples(index, made.where(F.col("example_no") % 2 == odd))
+    rows = saved.with_local_examples(index, feeds.facts(spark, sf)).where(F.col("role") == "train")
+    counts = rows.groupBy("leaf_id").agg(F.count("*").alias("n"), F.sum(F.col("is_local").cast("long")).alias("n_local"))
+    return fit_linear(rows).join(counts, "leaf_id").select(
+        "leaf_id", "n", "n_local", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept")
+    )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftleaf.operators.running import with_running
+
 
 @dataclass(frozen=True)
 class CandidateModel:
@@ -46,17 +48,10 @@ def filter_gains(
 
 
 def allocate_by_gain(gains: DataFrame, budget: float) -> DataFrame:
-    """Leaves in order of gain while their memory fits the budget; only positive gains. The
-    window runs over leaves, not over series."""
-    order = (
-        Window.orderBy(F.desc("gain"), "leaf_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        gains.where(F.col("gain") > 0)
-        .withColumn("used", F.sum("memory").over(order))
-        .where(F.col("used") <= budget)
-    )
+    """Leaves in order of gain while their memory fits the budget; only positive gains."""
+    gaining = gains.where(F.col("gain") > 0)
+    used = with_running(gaining, [F.desc("gain"), F.asc("leaf_id")], {"used": F.col("memory")})
+    return used.where(F.col("used") <= budget)
 
 
 def allocate_by_size(leaf: DataFrame, threshold: int) -> DataFrame:

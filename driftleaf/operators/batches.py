@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.functions.draws import unit_draw
+from driftleaf.operators.running import with_running
 
 
 def role_by_position(position: Column, n: int) -> Column:
@@ -19,41 +20,20 @@ def role_by_position(position: Column, n: int) -> Column:
     )
 
 
-def local_role(position: Column, n: int) -> Column:
+def local_role(position: Column, n: int | Column) -> Column:
     """Of ``n`` local queries the first 4/5 train and the rest validate."""
-    return F.when(position < n * 4 // 5, "train").otherwise("valid")
+    return F.when(position < F.floor(F.lit(n) * 4 / 5), "train").otherwise("valid")
 
 
 def role_by_ratio(position: Column, n: int, ratio: float = 0.9) -> Column:
     return F.when(position < int(n * ratio), "train").otherwise("valid")
 
 
-# Rows that one task numbers.
-RANK_ROWS = 50_000
-
-
 def hash_place(df: DataFrame, seed: str, *keys: str) -> DataFrame:
-    """Add ``place``: the position of each row in the hash order of ``keys``, from 0.
-
-    Draws are uniform, so equal slices of [0, 1) hold about equally many rows: each slice is
-    numbered on its own and shifted by the row counts of the slices before it."""
-    slices = max(1, df.count() // RANK_ROWS)
-    drawn = df.withColumn("_draw", unit_draw(seed, *[F.col(k) for k in keys])).withColumn(
-        "_slice", F.floor(F.col("_draw") * slices).cast("int")
-    )
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        drawn.groupBy("_slice")
-        .agg(F.count("*").alias("_n"))
-        .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("_slice").orderBy("_draw", *keys)
-    return (
-        drawn.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(starts, "_slice")
-        .withColumn("place", F.col("_start") + F.col("_row"))
-        .drop("_draw", "_slice", "_row", "_start")
-    )
+    """Add ``place``: the position of each row in the hash order of ``keys``, from 0."""
+    drawn = df.withColumn("_draw", unit_draw(seed, *[F.col(k) for k in keys]))
+    order = [F.asc("_draw"), *[F.asc(k) for k in keys]]
+    return with_running(drawn, order, number="place").drop("_draw")
 
 
 def balanced_batches(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftleaf.functions.draws import normal_draw, unit_draw
 from driftleaf.functions.series import as_doubles, let, znormalize
+from driftleaf.operators.running import with_running
 from driftleaf.operators.scan import scan
 from driftleaf.session import broadcast_if_small, pin, series_bytes
 
@@ -61,13 +62,13 @@ def global_queries(
         F.col("series_id").alias("source_id"),
         *leaf,
         "draw",
+        "copy",
         add_noise(F.col("values"), low, high, seed, F.col("series_id"), F.col("copy")).alias(
             "values"
         ),
     ).where(F.col("values").isNotNull())
-    # At most n rows are left, so numbering them in one window is bounded.
-    number = F.row_number().over(Window.orderBy("draw", "source_id")) - 1
-    return noisy.withColumn("query_id", number.cast("long")).drop("draw")
+    order = [F.asc("draw"), F.asc("source_id"), F.asc("copy")]
+    return with_running(noisy, order, number="query_id").drop("draw", "copy")
 
 
 def leaf_queries(
@@ -155,12 +156,8 @@ def every_nth_by_size(leaf: DataFrame, wanted: int) -> DataFrame:
     """A systematic sample of leaves over their size order: every ``step``-th."""
     n = leaf.count()
     step = max(1, n // max(1, wanted))
-    order = Window.orderBy(F.desc("n"), "leaf_id")  # leaf metadata only
-    return (
-        leaf.withColumn("pos", F.row_number().over(order) - 1)
-        .where(F.col("pos") % step == 0)
-        .where(F.col("pos") < wanted * step)
-    )
+    placed = with_running(leaf, [F.desc("n"), F.asc("leaf_id")], number="pos")
+    return placed.where(F.col("pos") % step == 0).where(F.col("pos") < wanted * step)
 
 
 def random_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

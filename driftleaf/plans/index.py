@@ -49,7 +49,8 @@ class Index:
     """``members``: (series_id, leaf_id, part, values, [sketch]); ``leaf``: (leaf_id, depth, n,
     parts, seg); ``nodes``: the split tree, None for an index over a given key. ``route_column``
     names the array that was summarised; a sketch gives bounds on sketch distances only, so it
-    serves the approximate modes alone. ``tables``: what is saved with the index."""
+    serves the approximate modes alone. ``tables``: what is saved with the index. Without ``ship``
+    the tree is taken for too large to be broadcast."""
 
     members: DataFrame
     leaf: DataFrame
@@ -59,6 +60,7 @@ class Index:
     route_column: str = "values"
     clustered: bool = True
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    ship: bool = True
 
     def clustered_members(self) -> DataFrame:
         """Members with the rows of a leaf next to each other, for scans that reduce by leaf."""
@@ -72,7 +74,7 @@ class Index:
     @cached_property
     def shipped_nodes(self) -> Broadcast | None:
         """The whole tree broadcast once; None if it is too large."""
-        if self.nodes is None:
+        if self.nodes is None or not self.ship:
             return None
         cap = broadcast_budget(self.nodes.sparkSession) // NODE_BYTES
         table = self.nodes.limit(cap + 1).toArrow()
