@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ from driftleaf.operators.allocation import (
 from driftleaf.operators.batches import balanced_batches, role_by_ratio, uniform_batches
 from driftleaf.plans import evaluate as E
 from driftleaf.plans.search import prediction_interval
+from driftleaf.session import new_work_path
+from driftleaf.sources import tables as T_
 from driftleaf.plans.train import trial
 
 
@@ -222,12 +226,15 @@ def prediction_intervals(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "calib_batches_balanced",
     f"""WITH orders_q AS (SELECT c_custkey AS query_id FROM customer),
-    {balanced('b', 'orders_q', 'customers')}
+    {balanced('b', 'orders_q', 'customers',
+              f"(SELECT CAST(ceil(2.5 * count(*) / {feeds.BATCH_SIZE}) AS BIGINT) * {feeds.BATCH_SIZE} FROM orders_q)")}
     SELECT query_id, count(*) AS uses, min(batch_id) AS first_batch FROM b GROUP BY query_id""",
 )
 def calib_batches_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """As many batches as it takes for every customer to be used twice or three times."""
     ids = feeds.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"))
-    rows = balanced_batches(ids, feeds.BATCHES, feeds.BATCH_SIZE, "customers")
+    n_batches = math.ceil(2.5 * ids.count() / feeds.BATCH_SIZE)
+    rows = balanced_batches(ids, n_batches, feeds.BATCH_SIZE, "customers")
     return rows.groupBy("query_id").agg(
         F.count("*").alias("uses"), F.min("batch_id").alias("first_batch")
     )
@@ -577,6 +584,21 @@ def prune_log(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_log(spark, sf), *_LOG_COLUMNS)
 
 
+@register(
+    "prune_log_file",
+    f"""{REPLAY}, {_LOG} SELECT query_id, node_id, {_LOG_SELECT}, true_distance < minbsf AS wrong FROM log""",
+)
+def prune_log_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The log is appended to a file in two runs, even queries and odd ones, and read back."""
+    path = new_work_path(spark, "prune-log")
+    lines = _log(spark, sf)
+    for odd in (0, 1):
+        T_.write_log(lines.where(F.pmod("query_id", F.lit(2)) == odd), path)
+    schema = "query_id long, node_id long, " + ", ".join(f"{c} double" for c in _LOG_COLUMNS)
+    back = T_.read_rows(spark, path, schema)
+    return _rounded(back.withColumn("wrong", F.col("true_distance") < F.col("minbsf")), *_LOG_COLUMNS)
+
+
 @register(
     "wrong_prunes",
     f"{REPLAY}, {_LOG} SELECT query_id, node_id, {_LOG_SELECT} FROM log WHERE true_distance < minbsf",
@@ -598,10 +620,17 @@ def wrong_prunes(spark: SparkSession, sf: str) -> DataFrame:
     FROM calib c JOIN first f ON f.query_id = c.query_id AND f.leaf_id = c.leaf_id""",
 )
 def prediction_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Written to an exchange file and read back."""
     from driftleaf.plans.search import knn_exact
 
     answers = knn_exact(feeds.series(spark, sf), feeds.train_queries(spark, sf), 1)
-    out = E.prediction_errors(answers, feeds.calibration_rows(spark, sf))
+    path = new_work_path(spark, "query-errors")
+    T_.write_rows(E.prediction_errors(answers, feeds.calibration_rows(spark, sf)), path)
+    out = T_.read_rows(
+        spark, path,
+        "query_id long, filter_id long, true_nn_distance double, predicted_distance double, "
+        "prediction_error double, series_id long, bsf_distance double",
+    )
     return _rounded(
         out, "true_nn_distance", "predicted_distance", "prediction_error", "bsf_distance"
     )
@@ -633,8 +662,13 @@ def calibration_dump(spark: SparkSession, sf: str) -> DataFrame:
         ),
     )
     last = stored_batch_alphas(spark, sf).groupBy("leaf_id", "batch_id").agg(F.max("alpha").alias("alpha"))
-    out = E.calibration_dump(
-        found, feeds.calibration_rows(spark, sf), feeds.batches(spark, sf), last
+    path = new_work_path(spark, "calibration")
+    dump = E.calibration_dump(found, feeds.calibration_rows(spark, sf), feeds.batches(spark, sf), last)
+    T_.write_rows(dump, path)
+    out = T_.read_rows(
+        spark, path,
+        "batch_id int, query_id long, node_id long, true_distance double, pred_distance double, "
+        "bsf_distance double, true_error double, abs_error double",
     )
     return _rounded(
         out, "true_distance", "pred_distance", "bsf_distance", "true_error", "abs_error"

@@ -11,6 +11,8 @@ from catalog.sql_parts import POOL, RAW, TRIPLES, draw
 from driftleaf.operators import metrics as M
 from driftleaf.operators.batches import test_flag
 from driftleaf.operators.sampling import random_rows
+from driftleaf.session import materialise, new_work_path
+from driftleaf.sources import tables as T
 
 COVERAGES = [0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 1.0]
 
@@ -52,6 +54,36 @@ def prediction_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(M.pivot_statistic(stats, "mean_pred", COVERAGES))
 
 
+_PIVOT_SQL = {
+    "mean_pred": "avg(pred)", "mean_actual": "avg(actual)", "mae": "avg(abs(pred - actual))",
+    "rmse": "sqrt(avg((pred - actual) * (pred - actual)))",
+    "safe_ratio": "avg(CASE WHEN pred - actual >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", "n": "count(*)::DOUBLE",
+}
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{name}' AS statistic, recall, coverage, {sql} AS value FROM pool GROUP BY recall, coverage"
+    for name, sql in _PIVOT_SQL.items()
+)
+
+
+@register(
+    "statistics_files",
+    f"""WITH {POOL}, cells AS ({_CELLS})
+    SELECT statistic, recall, {", ".join(
+        f"round(max(value) FILTER (WHERE coverage = {c}::DOUBLE), 4) AS c_{str(c).replace('.', '_')}"
+        for c in COVERAGES)}, (SELECT count(*) FROM (SELECT DISTINCT recall, coverage FROM pool) t) AS n_targets
+    FROM cells GROUP BY statistic, recall""",
+)
+def statistics_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of all targets and their six pivot tables, written as files and read back."""
+    path = new_work_path(spark, "statistics")
+    stats = materialise(M.prediction_statistics(feeds.pool(spark, sf)), "statistics")
+    T.write_statistics(stats, M.pivot_all(stats, COVERAGES), path)
+    whole = T.read_rows(spark, f"{path}/all", "recall double, coverage double, n long").agg(F.count("*").alias("n_targets"))
+    names = [f"c_{str(c).replace('.', '_')}" for c in COVERAGES]
+    tables = T.read_rows(spark, f"{path}/pivot", "statistic string, recall double, " + ", ".join(f"{n} double" for n in names))
+    return _rounded(tables.join(F.broadcast(whole)))
+
+
 METRICS = """count(*) AS n, avg(pow(pred - actual, 2)) AS mse,
       sqrt(avg(pow(pred - actual, 2))) AS rmse, avg(abs(pred - actual)) AS mae,
       avg(CASE WHEN pred - actual >= 0 THEN 1.0 ELSE 0.0 END) AS safe_ratio,

@@ -128,7 +128,7 @@ def bound_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _search_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def search_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions and margins of the per-leaf lines for the search queries."""
     q, index = feeds.search_queries(spark, sf), feeds.keyed_index(spark, sf)
     train = feeds.facts(spark, sf).where(F.col("role") == "train")
@@ -165,7 +165,7 @@ FILTERED = f"""{ALL_FACTS}, {MODEL}, {CALIBRATION}, {MARGIN},
 
 def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     q, index = feeds.search_queries(spark, sf), feeds.keyed_index(spark, sf)
-    return P.knn_filtered(index, q, K, _search_predictions(spark, sf), feeds.home(q))
+    return P.knn_filtered(index, q, K, search_predictions(spark, sf), feeds.home(q))
 
 
 @register("knn_filtered", f"WITH {FILTERED} SELECT {ANSWER} FROM filtered")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog import feeds
 from catalog.registry import register
 from catalog.on_calibration import calibrated_triples
+from catalog.on_search import FILTERED, MARGIN, search_predictions
 from catalog.sql_parts import COMPACT, RAW, RECALL_CHAIN, TRIPLES
 from driftleaf.models import surfaces as M
 from driftleaf.operators import augment as A
@@ -19,8 +20,13 @@ from driftleaf.operators.lookup import (
     TARGET_RECALLS,
     TARGETS,
     actual_errors,
+    with_actual_errors,
     with_targets,
 )
+from driftleaf.operators import recall as R
+from driftleaf.plans import search as P
+from driftleaf.session import new_work_path
+from driftleaf.sources import tables as T
 
 POINT = "filter_id, round(recall, 6) AS recall, round(coverage, 6) AS coverage, round(error, 6) AS error"
 
@@ -306,6 +312,38 @@ def band_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("actual_error", F.round("actual_error", 4))
 
 
+@register(
+    "predicted_and_actual",
+    f"""WITH predicted AS ({surface_sql(TARGETS)}),
+    actual AS (WITH {BAND} SELECT * FROM found)
+    SELECT filter_id, recall, coverage, p.error AS predicted_error, round(actual_error, 4) AS actual_error, match
+    FROM predicted p JOIN actual a USING (filter_id)
+    WHERE a.recall = p.target_r AND a.coverage = p.target_c""",
+)
+def predicted_and_actual(spark: SparkSession, sf: str) -> DataFrame:
+    """The surface of every filter at all targets, next to the errors that its triples have there."""
+    rows = feeds.triples(spark, sf)
+    said = S.surface_at(rows, TARGETS).withColumnsRenamed({"target_r": "recall", "target_c": "coverage"})
+    out = with_actual_errors(said, rows)
+    return out.withColumns({c: F.round(c, 4) for c in ("predicted_error", "actual_error")})
+
+
+@register(
+    "predicted_alphas_file",
+    f"""SELECT filter_id AS leaf_id, target_r AS recall, target_c AS coverage, error AS alpha
+    FROM ({surface_sql([(0.9, 0.9), (0.95, 0.9), (0.99, 0.95)], _CALIBRATED)}) t""",
+)
+def predicted_alphas_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Margins that the surfaces of all filters give for three targets, written and read back."""
+    wanted = [(0.9, 0.9), (0.95, 0.9), (0.99, 0.95)]
+    at = S.surface_at(calibrated_triples(spark, sf), wanted)
+    path = new_work_path(spark, "alphas")
+    T.write_rows(at.select(F.col("filter_id").alias("leaf_id"), F.col("target_r").alias("recall"),
+                           F.col("target_c").alias("coverage"), F.col("error").alias("alpha")), path)
+    back = T.read_rows(spark, path, "leaf_id long, recall double, coverage double, alpha double")
+    return back.withColumn("alpha", F.round("alpha", 4))
+
+
 SENTINELS = f"""{TRIPLES},
     pulled AS (
       SELECT filter_id, recall, CASE WHEN coverage >= 1.0 THEN 0.9995::DOUBLE ELSE coverage END
@@ -473,3 +511,46 @@ def test_flags(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("is_test") == 1).alias("n_test"),
         F.count_if(F.col("is_test") == 0).alias("n_train"),
     )
+
+
+_AT_TARGET = f"""
+    margin AS (
+      SELECT filter_id AS leaf_id, error AS alpha FROM ({surface_sql([(0.95, 0.9)], _CALIBRATED)}) t)"""
+
+
+@register(
+    "filtered_report_by_key",
+    f"""WITH {FILTERED.replace(MARGIN, _AT_TARGET)},
+    per_query AS (
+      SELECT e.query_id, count(f.series_id) / {feeds.K}::DOUBLE AS recall FROM exact e
+      LEFT JOIN filtered f ON f.query_id = e.query_id AND f.series_id = e.series_id GROUP BY e.query_id),
+    batched AS (
+      SELECT least(query_id // 10, greatest(1, (SELECT count(*) FROM search) // 10) - 1) AS batch_id,
+             avg(recall) AS recall FROM per_query GROUP BY 1)
+    SELECT (SELECT count(*) FROM search) AS n_queries, (SELECT round(avg(recall), 4) FROM per_query) AS recall,
+           (SELECT round(avg(CASE WHEN round(recall, 5) >= 0.95 THEN 1.0 ELSE 0.0 END), 4) FROM batched) AS coverage,
+           (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM kept) AS kept,
+           (SELECT round(1.0 - (SELECT count(*) FROM kept) / (SELECT count(*) FROM cand)::DOUBLE, 4)) AS filter_share,
+           (SELECT round(1.0 - ((SELECT count(*) FROM cand) + (SELECT count(*) FROM search))
+                   / ((SELECT count(*) FROM search) * (SELECT count(DISTINCT leaf_id) FROM series))::DOUBLE, 4)) AS bound_share""",
+)
+def filtered_report_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The learned search with margins for recall 0.95 at coverage 0.9, end to end: what it finds, and the
+    shares of leaves that bounds and then filters prune."""
+    q, index = feeds.search_queries(spark, sf), feeds.keyed_index(spark, sf)
+    home = feeds.home(q)
+    margins = at_target(calibrated_triples(spark, sf), 0.95, 0.9).withColumn("alpha", F.round("alpha", 4))
+    said = search_predictions(spark, sf).drop("alpha").join(margins, "leaf_id")
+    answers = P.knn_filtered(index, q, feeds.K, said, home)
+    truth = P.knn_exact(feeds.series(spark, sf), q, feeds.K)
+    found = R.recall_by_set(answers, truth, feeds.K)
+    report = R.search_report(found, 0.95, 0.9).select("n_queries", F.round("recall", 4).alias("recall"), F.round("coverage", 4).alias("coverage"))
+    _, limited = P.seed_limits(index, q, feeds.K, home)
+    left = P.candidates(index, limited, home)
+    counts = left.agg(F.count("*").alias("candidates")).join(P.learned_keep(left, limited, said).agg(F.count("*").alias("kept")))
+    leaves = index.leaf.agg(F.count("*").alias("leaves"))
+    return report.join(counts).join(leaves).select(
+        "n_queries", "recall", "coverage", "candidates", "kept",
+        F.round(1.0 - F.col("kept") / F.col("candidates"), 4).alias("filter_share"),
+        F.round(1.0 - (F.col("candidates") + F.col("n_queries")) / (F.col("n_queries") * F.col("leaves")), 4).alias("bound_share"),
+    )

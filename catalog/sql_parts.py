@@ -165,8 +165,7 @@ CALIBRATION = """
                 FROM residual_stats)"""
 
 
-def balanced(name: str, queries: str, seed: str) -> str:
-    total = BATCHES * BATCH_SIZE
+def balanced(name: str, queries: str, seed: str, total: int | str = BATCHES * BATCH_SIZE) -> str:
     return f"""
     {name}_place AS (
       SELECT query_id,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftleaf.operators.scan import scan, top_k
-from driftleaf.session import ship_package
+from driftleaf.session import materialise, ship_package
 from driftleaf.settings import MAX_VALID, MIN_VALID
 
 
@@ -30,17 +30,37 @@ def with_bsf_before_visit(facts: DataFrame) -> DataFrame:
 
 def with_kth_before_visit(facts: DataFrame, leaf_top: DataFrame, k: int) -> DataFrame:
     """The same for k > 1: the k-th best distance over all series of the leaves visited before.
-    ``leaf_top``: (query_id, leaf_id, dist), the k nearest members of every leaf. A group is one
-    query's leaves with k distances each; the walk keeps k distances."""
-    ship_package(facts.sparkSession)
+    ``leaf_top``: (query_id, leaf_id, dist), the k nearest members of every leaf.
+
+    A prefix scan over blocks of leaves: rows are dealt by range of query and visiting order, each block
+    gives its k best of a query, and those of the blocks before are what a block starts
+    with. So a query's leaves are spread over tasks, and a walk keeps k distances."""
+    spark = facts.sparkSession
+    ship_package(spark)
     tops = leaf_top.groupBy("query_id", "leaf_id").agg(F.sort_array(F.collect_list("dist")).alias("ds"))
     steps = facts.select("query_id", "leaf_id", "is_resident", "lb").join(
         tops, ["query_id", "leaf_id"], "left"
     )
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = steps.repartitionByRange(blocks, "query_id", *visit_order(facts))
+    placed = materialise(dealt.withColumn("block", F.spark_partition_id()), "visits")
+
+    def best(lists: Column) -> Column:
+        return F.slice(F.sort_array(F.flatten(lists)), 1, k)
+
+    by_block = placed.where(F.col("ds").isNotNull()).groupBy("query_id", "block").agg(
+        best(F.collect_list("ds")).alias("best")
+    )
+    # A row a query and block: at most as many as there are blocks.
+    every = placed.select("query_id", "block").distinct().join(by_block, ["query_id", "block"], "left")
+    earlier = (
+        Window.partitionBy("query_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = every.select("query_id", "block", best(F.collect_list("best").over(earlier)).alias("carried"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["is_resident", "lb", "leaf_id"], ascending=[False, True, True])
-        best, kth = np.empty(0), np.full(len(pdf), np.nan)
+        best, kth = np.array(pdf["carried"].iloc[0], float), np.full(len(pdf), np.nan)
         for i, ds in enumerate(pdf["ds"]):
             if len(best) >= k:
                 kth[i] = best[k - 1]
@@ -50,7 +70,7 @@ def with_kth_before_visit(facts: DataFrame, leaf_top: DataFrame, k: int) -> Data
             {"query_id": pdf["query_id"], "leaf_id": pdf["leaf_id"], "bsf": kth}
         )
 
-    bsf = steps.groupBy("query_id").applyInPandas(
+    bsf = placed.join(carried, ["query_id", "block"]).groupBy("query_id", "block").applyInPandas(
         walk, "query_id long, leaf_id long, bsf double"
     ).withColumn("bsf", F.nanvl("bsf", F.lit(None).cast("double")))
     return facts.join(bsf, ["query_id", "leaf_id"])

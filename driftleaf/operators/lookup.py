@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftleaf.session import materialise, spread
+from driftleaf.session import broadcast_if_small, materialise
 
 # The target grid and the match tolerance.
 TARGET_RECALLS = (0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0)
@@ -39,42 +39,59 @@ def actual_errors(
     the tolerance of a target on both axes; without any, that of the nearest triples, ties going
     to the smaller recall difference.
 
-    Every triple meets the fixed list of targets and is reduced where it lies to the best
-    distance code per filter and target; a second look at the triples then picks those that reach
-    it. Distances that differ by less than a billionth count as equal."""
-    t, key = F.col("t"), ["filter_id", "recall", "coverage"]
-    stored = materialise(triples, "triples")
-    rows = spread(stored, "filter_id", "recall", "coverage", rows=stored.count())
-    met = rows.withColumn("t", F.explode(targets_column(targets)))
-    inside = (F.abs(F.col("recall") - t["recall"]) <= tolerance) & (
-        F.abs(F.col("coverage") - t["coverage"]) <= tolerance
+    Triples with equal recall and coverage become one point with a sum and a count. A point carries one
+    distance code a target in an array, never a row a target: the smallest codes of a filter are
+    an aggregate of ``len(targets)`` numbers, and a second look keeps, of each point, only the targets
+    that it lies in or is the nearest to. Distances that differ by less than a billionth count as equal."""
+    point = triples.groupBy("filter_id", "recall", "coverage").agg(
+        F.sum("error").alias("total"), F.count("error").alias("n")
     )
-    best = met.groupBy(
-        "filter_id", t["recall"].alias("target_r"), t["coverage"].alias("target_c")
-    ).agg(
-        F.avg(F.when(inside, F.col("error"))).alias("inside_error"),
-        F.min(_distance_code(t["recall"], t["coverage"])).alias("code"),
-    )
-    reached = _distance_code(F.col("target_r"), F.col("target_c")) == F.col("code")
-    return (
-        rows.join(best, "filter_id")
-        .where(reached)
-        .groupBy(
-            "filter_id", F.col("target_r").alias("recall"), F.col("target_c").alias("coverage")
+    points = materialise(point, "points")
+    codes = [_distance_code(F.lit(r), F.lit(c)) for r, c in targets]
+    least = points.groupBy("filter_id").agg(*[F.min(code).alias(f"code{i}") for i, code in enumerate(codes)])
+    least = least.select("filter_id", F.array(*[f"code{i}" for i in range(len(codes))]).alias("least"))
+    near = points.join(broadcast_if_small(least, "least", 64 + 16 * len(codes)), "filter_id")
+
+    def look(t: Column, i: Column) -> Column:
+        inside = (F.abs(F.col("recall") - t["recall"]) <= tolerance) & (
+            F.abs(F.col("coverage") - t["coverage"]) <= tolerance
         )
-        .agg(F.avg("error").alias("near"), F.max("inside_error").alias("inside"))
+        reached = _distance_code(t["recall"], t["coverage"]) == F.get("least", i)
+        return F.struct(t.alias("t"), inside.alias("inside"), reached.alias("reached"))
+
+    looked = F.filter(F.transform(targets_column(targets), look), lambda x: x["inside"] | x["reached"])
+    rows = near.select("filter_id", "total", "n", F.explode(looked).alias("m"))
+
+    def mean(kind: str) -> Column:
+        chosen = F.col(f"m.{kind}")
+        return F.sum(F.when(chosen, F.col("total"))) / F.sum(F.when(chosen, F.col("n")))
+
+    return (
+        rows.groupBy("filter_id", F.col("m.t.recall").alias("recall"), F.col("m.t.coverage").alias("coverage"))
+        .agg(mean("inside").alias("inside"), mean("reached").alias("near"))
         .select(
-            *key,
+            "filter_id", "recall", "coverage",
             F.coalesce("inside", "near").alias("actual_error"),
             F.when(F.col("inside").isNotNull(), "exact").otherwise("nearest").alias("match"),
         )
-    )
+    )
+
+
+def with_actual_errors(
+    predicted: DataFrame,
+    triples: DataFrame,
+    targets: Sequence[tuple[float, float]] = TARGETS,
+) -> DataFrame:
+    """(filter_id, recall, coverage, predicted_error, actual_error, match): the predictions of a model at
+    the targets, ``predicted`` (filter_id, recall, coverage, error), next to what the triples say. A filter
+    without triples has no actual error."""
+    said = predicted.select("filter_id", "recall", "coverage", F.col("error").alias("predicted_error"))
+    return said.join(actual_errors(triples, targets), ["filter_id", "recall", "coverage"], "left")
 
 
 def _distance_code(target_r: Column, target_c: Column) -> Column:
-    """Distance and then recall difference, in billionths, as an ordered pair."""
+    """Distance, then recall difference, both in billionths, as one number."""
     dr, dc = F.abs(F.col("recall") - target_r), F.abs(F.col("coverage") - target_c)
     distance = F.sqrt(dr * dr + dc * dc)
-    return F.struct(
-        (distance * 1e9 + 0.5).cast("long").alias("distance"), (dr * 1e9 + 0.5).cast("long").alias("dr")
-    )
+    whole = lambda x: F.floor(x * 1e9 + 0.5).cast("decimal(18,0)")
+    return (whole(distance) * F.lit(10**18).cast("decimal(19,0)") + whole(dr)).cast("decimal(38,0)")

@@ -109,6 +109,21 @@ def pivot_statistic(stats: DataFrame, column: str, coverages: list[float]) -> Da
     return wide.toDF("recall", *[f"c_{str(c).replace('.', '_')}" for c in coverages])
 
 
+#: The statistics that are reported as a table of recalls by coverages.
+PIVOTED = ("mean_pred", "mean_actual", "mae", "rmse", "safe_ratio", "n")
+
+
+def pivot_all(stats: DataFrame, coverages: list[float]) -> DataFrame:
+    """The pivot tables of all ``PIVOTED`` statistics, one below the other: (statistic, recall, c_...)."""
+    tables = [
+        pivot_statistic(stats.withColumn(name, F.col(name).cast("double")), name, coverages).select(
+            F.lit(name).alias("statistic"), "*"
+        )
+        for name in PIVOTED
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def error_summary(df: DataFrame, key: str, error: str, prefix: str) -> DataFrame:
     """Count, mean, max, sample deviation and min of the positive errors per key."""
     return (

@@ -39,7 +39,7 @@ def with_dominated_flag(triples: DataFrame) -> DataFrame:
     """Add ``dominated``: the error lies below the first quartile although another point with at
     least the recall and coverage, one of them larger, has no larger error. Expects one row per
     (filter_id, recall, coverage)."""
-    points = triples.select(*KEY, "recall", "coverage", "error")
+    points = materialise(triples.select(*KEY, "recall", "coverage", "error"), "points")
     right = quadrant_extreme(
         points, KEY, "recall", "coverage", "error", "m1", largest=False, above=True, strict_y=False
     )
@@ -79,7 +79,7 @@ def bump_monotone(triples: DataFrame) -> DataFrame:
     """Lift errors that do not grow: along coverage, then along recall, each by one percent over
     the neighbour before it, then over the largest point that is smaller on both axes."""
     step = _bump_along(triples, "recall", "coverage")
-    step = _bump_along(step, "coverage", "recall")
+    step = materialise(_bump_along(step, "coverage", "recall"), "bumped")
     both = quadrant_extreme(
         step, KEY, "recall", "coverage", "error", "m", largest=True, above=False, strict_y=True
     )

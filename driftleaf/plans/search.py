@@ -111,12 +111,12 @@ def knn_filtered(
     queries, resident = _pinned(index, queries, resident)
     first, limited = seed_limits(index, queries, k, resident)
     left = candidates(index, limited, resident)
-    kept = _learned_keep(left, limited, predictions)
+    kept = learned_keep(left, limited, predictions)
     rest = scan(index.members, queries, k, pairs=kept)
     return top_k(first.unionByName(rest), k).select(*ANSWER)
 
 
-def _learned_keep(left: DataFrame, limited: DataFrame, predictions: DataFrame) -> DataFrame:
+def learned_keep(left: DataFrame, limited: DataFrame, predictions: DataFrame) -> DataFrame:
     """Candidates that the filters do not prune: a leaf goes when its calibrated prediction
     exceeds the k-th distance."""
     return (

@@ -122,6 +122,29 @@ def write_errors(df: DataFrame, path: str) -> None:
     dealt.write.mode("overwrite").partitionBy("recall", "coverage").csv(path, header=True)
 
 
+def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """An exchange file of any rows: CSV with a header, in as many parts as the rows have tasks."""
+    df.write.mode(mode).csv(path, header=True)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an exchange file by column name; ``schema`` gives the types and is checked against the
+    header."""
+    names = spark.read.csv(path, header=True).columns
+    wanted = spark.createDataFrame([], schema).schema
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    raw = spark.read.csv(path, header=True)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def write_statistics(stats: DataFrame, pivots: DataFrame, path: str) -> None:
+    """The statistics of all targets, and their pivot tables in a folder a statistic."""
+    write_rows(stats.orderBy("recall", "coverage"), f"{path}/all")
+    pivots.write.mode("overwrite").partitionBy("statistic").csv(f"{path}/pivot", header=True)
+
+
 def read_imported_errors(spark: SparkSession, path: str) -> DataFrame:
     """(filter_id, recall, coverage, error) from ``Filter_ID,Recall,Coverage,Error`` lines. When a
     filter occurs twice the last line wins."""
