@@ -173,6 +173,53 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _answer(_filtered(spark, sf))
 
 
+def _rounds(widths: list[int]) -> str:
+    """Rounds over the candidates by bound, each with the k-th distance of those before; the widths have
+    to cover all leaves."""
+    out, reached, left = [], "home_dist", "cand"
+    for i, width in enumerate(widths, 1):
+        out.append(f"""
+    turn{i} AS (SELECT query_id, leaf_id, lb, row_number() OVER (PARTITION BY query_id ORDER BY lb, leaf_id) AS r FROM {left}),
+    read{i} AS (SELECT query_id, leaf_id FROM turn{i} WHERE r <= {width}),
+    seen{i} AS (SELECT * FROM {reached} UNION ALL SELECT d.* FROM search_dist d JOIN read{i} USING (query_id, leaf_id)),
+    {top(f'best{i}', f'seen{i}', K)},
+    kth{i} AS (SELECT query_id, dist AS kth FROM best{i} WHERE rank = {K}),
+    left{i} AS (SELECT t.query_id, t.leaf_id, t.lb FROM turn{i} t LEFT JOIN kth{i} k USING (query_id)
+      WHERE r > {width} AND (kth IS NULL OR lb <= kth * (1 + 1e-7) + 1e-7))""")
+        reached, left = f"seen{i}", f"left{i}"
+    return ",".join(out)
+
+
+_WIDTHS = [1, 4, 16]
+
+
+@register(
+    "knn_in_rounds",
+    f"""WITH {LIMITED}, {_rounds(_WIDTHS)},
+    sizes AS (SELECT leaf_id, count(*) AS n FROM series GROUP BY leaf_id),
+    reads AS (
+      SELECT query_id, source_leaf AS leaf_id, 0 AS round FROM search
+      {" ".join(f"UNION ALL SELECT query_id, leaf_id, {i} FROM read{i}" for i in range(1, len(_WIDTHS) + 1))}),
+    work AS (SELECT query_id, sum(n)::BIGINT AS series_read, max(round)::BIGINT AS rounds FROM reads JOIN sizes USING (leaf_id) GROUP BY 1)
+    SELECT query_id, rank, series_id, leaf_id, round(dist, 4) AS dist, series_read, rounds
+    FROM best{len(_WIDTHS)} JOIN work USING (query_id)""",
+)
+def knn_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Lowest bounds first, with the k-th distance tightened between rounds; and how much was read."""
+    q, index = feeds.search_queries(spark, sf), feeds.keyed_index(spark, sf)
+    answers, read = P.knn_in_rounds(index, q, K, resident=feeds.home(q))
+    work = read.join(index.leaf.select("leaf_id", "n"), "leaf_id").groupBy("query_id").agg(
+        F.sum("n").alias("series_read"), F.max("round").alias("rounds")
+    )
+    return _answer(answers).join(work, "query_id")
+
+
+@register("knn_in_rounds_tree", f"WITH {EXACT} SELECT query_id, rank, series_id, round(dist, 4) AS dist FROM exact")
+def knn_in_rounds_tree(spark: SparkSession, sf: str) -> DataFrame:
+    answers, _ = P.knn_in_rounds(feeds.tree_index(spark, sf), feeds.search_queries(spark, sf), K)
+    return _answer(answers, leaf=False)
+
+
 def _budget(where: str) -> str:
     return f"""{LIMITED},
     sizes AS (SELECT leaf_id, count(*) AS n FROM series GROUP BY leaf_id),

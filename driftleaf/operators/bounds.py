@@ -21,7 +21,7 @@ _BOUND_ARROW = pa.schema(
     [("query_id", pa.int64()), ("leaf_id", pa.int64()), ("lb", pa.float64())]
 )
 # Bounds are compared with distances that are rounded differently in the last digits.
-_SLACK = 1e-7
+SLACK = 1e-7
 
 
 class _Leaves:
@@ -109,7 +109,7 @@ def leaf_bounds(
                     row, col = np.divmod(np.arange(lb.size), lb.shape[1])
                 else:
                     cap = limit[lo : lo + step, None]
-                    row, col = np.nonzero(lb <= cap * (1 + _SLACK) + _SLACK)
+                    row, col = np.nonzero(lb <= cap * (1 + SLACK) + SLACK)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo : lo + step][row]),
@@ -144,6 +144,6 @@ def _joined_bounds(queries: DataFrame, leaf: DataFrame, limit_column: str | None
     )
     if limit_column:
         pairs = pairs.where(
-            F.col("cap").isNull() | (F.col("lb") <= F.col("cap") * (1 + _SLACK) + _SLACK)
+            F.col("cap").isNull() | (F.col("lb") <= F.col("cap") * (1 + SLACK) + SLACK)
         )
     return pairs.drop("cap")

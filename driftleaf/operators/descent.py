@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftleaf.functions.series import lower_bound_squared
-from driftleaf.operators.bounds import _SLACK, BOUND_SCHEMA
+from driftleaf.operators.bounds import SLACK, BOUND_SCHEMA
 from driftleaf.operators.scan import to_matrix
 from driftleaf.session import broadcast_if_small, materialise
 
@@ -27,7 +27,7 @@ MET_SCHEMA = "query_id long, met long"
 
 def _capped(batch: pa.RecordBatch) -> np.ndarray:
     limit = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
-    return np.where(np.isnan(limit), np.inf, limit) * (1 + _SLACK) + _SLACK
+    return np.where(np.isnan(limit), np.inf, limit) * (1 + SLACK) + SLACK
 
 
 def descend(queries: DataFrame, shared: Broadcast) -> DataFrame:
@@ -71,7 +71,7 @@ def expanded_levels(queries: DataFrame, nodes: DataFrame) -> Iterator[DataFrame]
         level = broadcast_if_small(level, "level", 256)
         met = frontier.join(level, F.col("parent_id").eqNullSafe(F.col("above")))
         lb = F.sqrt(lower_bound_squared(F.col("values"), F.col("seg")))
-        near = F.col("kth").isNull() | (F.col("lb") <= F.col("kth") * (1 + _SLACK) + _SLACK)
+        near = F.col("kth").isNull() | (F.col("lb") <= F.col("kth") * (1 + SLACK) + SLACK)
         kept = met.select("query_id", "values", "kth", "node_id", "is_leaf", lb.alias("lb")).where(near)
         kept = materialise(kept, "frontier")
         yield kept.select("query_id", "node_id", "is_leaf", "lb")

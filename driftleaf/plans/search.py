@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftleaf.operators.bounds import leaf_bounds
+from driftleaf.operators.bounds import SLACK, leaf_bounds
 from driftleaf.operators.descent import descend, descend_by_join
 from driftleaf.operators.scan import scan, top_k
 from driftleaf.plans.index import Index
-from driftleaf.session import pin, series_bytes
+from driftleaf.session import materialise, pin, series_bytes
 
 ANSWER = ["query_id", "rank", "series_id", "leaf_id", "dist"]
 
@@ -47,13 +47,16 @@ def seed_limits(
     while fewer than k members were seen."""
     best = top_k(scan(index.members, queries, k, pairs=resident), k)
     first = pin(best.select("query_id", "leaf_id", "series_id", "dist2"), "seed")
-    kth = (
-        first.groupBy("query_id")
+    return first, queries.join(_kth(first, k), "query_id", "left")
+
+
+def _kth(best: DataFrame, k: int) -> DataFrame:
+    return (
+        best.groupBy("query_id")
         .agg(F.count("*").alias("n"), F.sqrt(F.max("dist2")).alias("kth"))
         .where(F.col("n") == k)
         .drop("n")
     )
-    return first, queries.join(kth, "query_id", "left")
 
 
 def candidates(
@@ -116,6 +119,47 @@ def knn_filtered(
     return top_k(first.unionByName(rest), k).select(*ANSWER)
 
 
+def knn_in_rounds(
+    index: Index,
+    queries: DataFrame,
+    k: int,
+    predictions: DataFrame | None = None,
+    resident: DataFrame | None = None,
+    first: int = 1,
+    growth: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """The answers of ``knn_pruned``, or with ``predictions`` those of a filtered search, and what was read
+    for them: (query_id, leaf_id, round).
+
+    Every round reads, for each query, the leaves with the lowest bounds among those left, ``first`` of
+    them and then ``growth`` times as many in each further round. The k-th distance found so far
+    then drops leaves before they are read. So the rounds are few, and their number depends on the
+    leaves of a query, not on the data. A filter is asked again in every round with the distance
+    that it has to beat."""
+    queries, resident = _pinned(index, queries, resident)
+    best, limited = seed_limits(index, queries, k, resident)
+    left = materialise(candidates(index, limited, resident), "left")
+    read = resident.select("query_id", "leaf_id", F.lit(0).alias("round"))
+    width, number = first, 1
+    while True:
+        open_leaves = left if predictions is None else learned_keep(left, limited, predictions)
+        turn = F.row_number().over(Window.partitionBy("query_id").orderBy("lb", "leaf_id"))
+        ranked = materialise(open_leaves.withColumn("_turn", turn), "round")
+        taken = ranked.where(F.col("_turn") <= width).select("query_id", "leaf_id")
+        if taken.isEmpty():
+            return top_k(best, k).select(*ANSWER), read
+        read = read.unionByName(taken.withColumn("round", F.lit(number)))
+        fresh = scan(index.members, queries, k, pairs=taken)
+        best = materialise(
+            top_k(best.unionByName(fresh), k).select("query_id", "leaf_id", "series_id", "dist2"), "best"
+        )
+        limited = queries.join(_kth(best, k), "query_id", "left")
+        near = F.col("kth").isNull() | (F.col("lb") <= F.col("kth") * (1 + SLACK) + SLACK)
+        rest = ranked.where(F.col("_turn") > width).select("query_id", "leaf_id", "lb")
+        rest = rest.join(limited.select("query_id", "kth"), "query_id").where(near).drop("kth")
+        left, width, number = rest, width * growth, number + 1
+
+
 def learned_keep(left: DataFrame, limited: DataFrame, predictions: DataFrame) -> DataFrame:
     """Candidates that the filters do not prune: a leaf goes when its calibrated prediction
     exceeds the k-th distance."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftleaf.operators.descent import descend, descend_by_join, expanded_levels, nodes_met
 from driftleaf.operators.tree import NODE_BITS, Nodes
 from driftleaf.plans.index import append_to_index, build_index, leaf_size_mismatches
-from driftleaf.plans.search import candidates, knn_pruned, seed_limits
+from driftleaf.plans.search import candidates, knn_in_rounds, knn_pruned, seed_limits
 from driftleaf.settings import IndexOptions
 from tests.conftest import answers, brute_knn, frame
 
@@ -126,3 +126,33 @@ def test_inner_envelopes_hold_all_members(spark, rng):
                 assert s["min_mean"] - 1e-12 <= part.mean() <= s["max_mean"] + 1e-12
                 assert s["min_std"] - 1e-12 <= part.std() <= s["max_std"] + 1e-12
             node = rows[node]["parent_id"]
+
+
+def test_rounds_read_fewer_series(spark, rng):
+    """On drifting levels the first leaves are near, and the distance they give drops most others."""
+    x = drifting(rng, 600)
+    q = x[:10] + rng.normal(size=(10, 16)) * 2.0
+    index = build_index(frame(spark, x), IndexOptions(leaf_size=10))
+    queries = frame(spark, q, "query_id")
+    home = index.resident(queries)
+    got, read = knn_in_rounds(index, queries, 3, resident=home)
+    assert answers(got) == brute_knn(x, q, 3)
+    sizes = index.leaf.select("leaf_id", "n")
+    in_rounds = read.join(sizes, "leaf_id").agg(F.sum("n")).first()[0]
+    at_once = candidates(index, limited(spark, index, q), home).select("query_id", "leaf_id").unionByName(home)
+    assert read.groupBy("query_id", "leaf_id").count().where("count > 1").count() == 0
+    assert in_rounds < 0.8 * at_once.join(sizes, "leaf_id").agg(F.sum("n")).first()[0]
+
+
+def test_rounds_with_filters(spark, rng):
+    """A filter that allows a leaf only in the light of the distance found so far."""
+    x = drifting(rng, 300)
+    q = x[:6] + rng.normal(size=(6, 16))
+    index = build_index(frame(spark, x), IndexOptions(leaf_size=10))
+    queries = frame(spark, q, "query_id")
+    every = queries.select("query_id").join(index.leaf.select("leaf_id"))
+    open_all = every.withColumn("pred", F.lit(1.0)).withColumn("alpha", F.lit(5.0))
+    assert answers(knn_in_rounds(index, queries, 2, open_all)[0]) == brute_knn(x, q, 2)
+    closed = every.withColumn("pred", F.lit(1e9)).withColumn("alpha", F.lit(0.0))
+    _, read = knn_in_rounds(index, queries, 2, closed)
+    assert read.where("round > 0").join(queries, "query_id").count() == 0 or read.agg(F.max("round")).first()[0] <= 1
