@@ -27,9 +27,10 @@ from driftleaf.operators import recall as R
 from driftleaf.operators.bounds import leaf_bounds
 from driftleaf.operators.conformal import alpha_at_confidence
 from driftleaf.operators.facts import knn_residence, leaf_top_k, residence_share, with_kth_before_visit
-from driftleaf.operators.navigation import Navigator, combined_scores
+from driftleaf.operators.navigation import Navigator, TreeNavigator, combined_scores
 from driftleaf.plans import search as P
 from driftleaf.plans.learned import filtered_report, learn_filters
+from driftleaf.session import materialise
 
 BASE = f"{SERIES}, {SEARCH}, {distances('search')}"
 EXACT = f"{BASE}, {top('exact', 'search_dist', K)}"
@@ -280,6 +281,50 @@ def knn_navigated_combined(spark: SparkSession, sf: str) -> DataFrame:
     return _answer(P.knn_budgeted(index, q, K, max_leaves=3, resident=home, scores=scores))
 
 
+def _tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> DataFrame:
+        index, train = feeds.tree_index(spark, sf), feeds.train_queries(spark, sf)
+        shares = residence_share(knn_residence(P.knn_exact(index.members, train, K)), K)
+        features = query_features(train, feeds.LENGTH)
+        navigator = TreeNavigator.fit(shares, features, index.nodes, index.options.n_children)
+        return navigator.scores(query_features(feeds.search_queries(spark, sf), feeds.LENGTH))
+
+    return feeds.stored(spark, sf, "tree_scores", build)
+
+
+@register("navigator_shares", f"WITH {SERIES}, {SEARCH} SELECT query_id, 1.0::DOUBLE AS total, true AS has_home FROM search")
+def navigator_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that the classifiers along the tree give to all leaves of a query sum to 1; the leaf that
+    the query falls into is among them."""
+    home = feeds.tree_index(spark, sf).resident(feeds.search_queries(spark, sf)).withColumn("home", F.lit(True))
+    scores = _tree_scores(spark, sf).join(home, ["query_id", "leaf_id"], "left")
+    return scores.groupBy("query_id").agg(
+        F.round(F.sum("score"), 6).alias("total"), F.coalesce(F.max("home"), F.lit(False)).alias("has_home")
+    )
+
+
+_BUDGETS = [1, 4, 16, 1_000_000]
+
+
+@register(
+    "navigated_recall",
+    f"""WITH {SERIES}, {SEARCH} SELECT b::BIGINT AS max_leaves, (SELECT count(*) FROM search) AS n_queries, true AS not_worse,
+    b = {_BUDGETS[-1]} OR NULL AS exact FROM (SELECT unnest({_BUDGETS}) AS b) t""",
+)
+def navigated_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches in the order of the learned shares: recall does not fall as the budget grows, and without
+    a limit the answers are exact."""
+    q, index, scores = feeds.search_queries(spark, sf), feeds.tree_index(spark, sf), _tree_scores(spark, sf)
+    truth = materialise(P.knn_exact(feeds.series(spark, sf), q, K), "truth")
+    rows, last = [], 0.0
+    for budget in _BUDGETS:
+        found = R.recall_by_set(P.knn_budgeted(index, q, K, max_leaves=budget, scores=scores), truth, K)
+        recall, n = found.agg(F.avg("recall"), F.count("*")).first()
+        rows.append((budget, n, recall >= last, recall == 1.0 or None if budget == _BUDGETS[-1] else None))
+        last = recall
+    return spark.createDataFrame(rows, "max_leaves long, n_queries long, not_worse boolean, exact boolean")
+
+
 @register(
     "combined_leaf_scores",
     f"""WITH {SERIES}, {SEARCH}, {SEGMENT_ROWS}, {ENVELOPE}, {bounds('search')}, {distances('search')},

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftleaf.session import broadcast_if_small, materialise, ship_package
+
 
 class Navigator:
     """Multinomial logistic regression from query features to the leaf that holds a neighbour,
@@ -50,6 +54,116 @@ class Navigator:
         return known.select("query_id", "leaf_id", "score")
 
 
+def leaf_paths(nodes: DataFrame) -> DataFrame:
+    """(leaf_id, node_id, child): every inner node above a leaf, and which of its children leads there. One
+    join a level of the tree, over rows of leaves."""
+    above = materialise(
+        nodes.alias("n").join(
+            nodes.select(F.col("node_id").alias("up"), F.col("first_child").alias("first")), F.col("n.parent_id") == F.col("up")
+        ).select("node_id", "up", (F.col("node_id") - F.col("first")).cast("int").alias("child")),
+        "parents",
+    )
+    at = nodes.where("is_leaf").select(F.col("node_id").alias("leaf_id"), F.col("node_id").alias("at"))
+    found = None
+    while True:
+        step = at.join(above, F.col("at") == F.col("node_id")).select("leaf_id", F.col("up").alias("node_id"), "child")
+        step = materialise(step, "paths")
+        if step.isEmpty():
+            return found if found is not None else step
+        found = step if found is None else found.unionByName(step)
+        at = step.select("leaf_id", F.col("node_id").alias("at"))
+
+
+def fit_softmax(x: np.ndarray, share: np.ndarray, l2: float = 1e-2, steps: int = 300) -> np.ndarray:
+    """Weights (classes x features + 1) of a softmax regression on shares, by accelerated gradient steps on
+    scaled features."""
+    middle, scale = x.mean(0), x.std(0)
+    scale[scale == 0] = 1.0
+    x = np.hstack([(x - middle) / scale, np.ones((len(x), 1))])
+    weight = share.sum(1, keepdims=True)
+    total = weight.sum()
+    rate = 1.0 / (0.5 * float((weight[:, 0] * (x * x).sum(1)).sum() / total) + l2)
+    w = ahead = np.zeros((share.shape[1], x.shape[1]))
+    for step in range(steps):
+        logit = x @ ahead.T
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        slope = (weight * p - share).T @ x / total + l2 * ahead
+        new = ahead - rate * slope
+        ahead, w = new + step / (step + 3) * (new - w), new
+    plain = w[:, :-1] / scale
+    return np.hstack([plain, w[:, -1:] - (plain @ middle)[:, None]])
+
+
+class TreeNavigator:
+    """A small classifier at every inner node, which gives the share of a query's neighbours below each of
+    its children; the score of a leaf is the product along its path. So no model has a class a leaf, the nodes
+    are fitted independently, and the scores of all leaves of a query sum to 1. A node without
+    training rows shares evenly."""
+
+    def __init__(self, nodes: DataFrame, weights: DataFrame, fan: int) -> None:
+        self.nodes, self.weights, self.fan = nodes, weights, fan
+
+    @staticmethod
+    def fit(shares: DataFrame, features: DataFrame, nodes: DataFrame, fan: int) -> TreeNavigator:
+        """``shares``: (query_id, leaf_id, share); ``features``: (query_id, features). A group is what the
+        training queries, whose number is a parameter, have below one node."""
+        ship_package(shares.sparkSession)
+        below = (
+            shares.join(leaf_paths(nodes), "leaf_id")
+            .groupBy("node_id", "query_id", "child")
+            .agg(F.sum("share").alias("share"))
+            .join(features, "query_id")
+        )
+
+        def fit_node(pdf: pd.DataFrame) -> pd.DataFrame:
+            queries = pdf.drop_duplicates("query_id").sort_values("query_id")
+            x = np.stack(queries["features"].to_numpy())
+            share = np.zeros((len(queries), fan))
+            row = np.searchsorted(queries["query_id"].to_numpy(), pdf["query_id"].to_numpy())
+            np.add.at(share, (row, pdf["child"].to_numpy()), pdf["share"].to_numpy())
+            w = fit_softmax(x, share)
+            return pd.DataFrame({"node_id": [pdf["node_id"].iloc[0]], "weights": [[list(r) for r in w]]})
+
+        fitted = below.groupBy("node_id").applyInPandas(fit_node, "node_id long, weights array<array<double>>")
+        return TreeNavigator(nodes, materialise(fitted, "navigator"), fan)
+
+    def scores(self, features: DataFrame, least: float = 0.0) -> DataFrame:
+        """(query_id, leaf_id, score), from the root down by levels; with ``least`` nothing below a node whose
+        share is smaller is looked at, and its leaves have no row (the searches count them as 0)."""
+        inner = self.nodes.where("NOT is_leaf").join(self.weights, "node_id", "left")
+        rows = features.select("query_id", "features", F.lit(1).cast("long").alias("at"), F.lit(1.0).alias("score"))
+        root_leaf = self.nodes.where("node_id = 1 AND is_leaf").select(F.lit(1).cast("long").alias("only"))
+        out = rows.join(F.broadcast(root_leaf), F.col("at") == F.col("only")).select("query_id", F.col("only").alias("leaf_id"), "score")
+        even = F.array_repeat(F.lit(1.0 / self.fan), self.fan)
+
+        def logit(w: Column) -> Column:
+            one = F.concat(F.col("features"), F.array(F.lit(1.0)))
+            return F.aggregate(F.zip_with(w, one, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+        depth = 0
+        while True:
+            level = inner.where(F.col("depth") == depth).select("node_id", "first_child", "weights")
+            level = broadcast_if_small(level, "level", 64 + 256 * self.fan)
+            met = rows.join(level, F.col("at") == F.col("node_id"))
+            raised = F.transform(F.transform("weights", logit), lambda v: F.exp(v))
+            split = met.withColumn("raised", raised).withColumn(
+                "p", F.when(F.col("weights").isNull(), even).otherwise(
+                    F.transform("raised", lambda v: v / F.aggregate("raised", F.lit(0.0), lambda a, b: a + b)))
+            )
+            split = split.select("query_id", "features", "first_child", "score", F.posexplode("p").alias("child", "part"))
+            split = split.select(
+                "query_id", "features", (F.col("first_child") + F.col("child")).alias("at"), (F.col("score") * F.col("part")).alias("score")
+            ).where(F.col("score") >= least)
+            kinds = self.nodes.where(F.col("depth") == depth + 1).select(F.col("node_id").alias("kind_of"), "is_leaf")
+            split = materialise(split.join(broadcast_if_small(kinds, "kinds"), F.col("at") == F.col("kind_of")), "shares")
+            out = out.unionByName(split.where("is_leaf").select("query_id", F.col("at").alias("leaf_id"), "score"))
+            rows = split.where("NOT is_leaf").select("query_id", "features", "at", "score")
+            if rows.isEmpty():
+                return out
+            depth += 1
+
+
 def combined_scores(scores: DataFrame, bounds: DataFrame, weight: float = 0.2) -> DataFrame:
     """(query_id, leaf_id, score): weight * scaled score + (1 - weight) * (1 - scaled bound),
     both scaled to [0, 1] per query. ``bounds`` leaves the resident leaf out."""
