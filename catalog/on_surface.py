@@ -197,7 +197,50 @@ def alpha_for_target(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("surface_quadratic")
+def _eliminated() -> str:
+    """Gauss-Jordan steps over (filter_id, i, j, a): six equations and, as column 7, their right sides."""
+    return ",".join(
+        f"""
+    e{k} AS MATERIALIZED (
+      SELECT c.filter_id, c.i, c.j, CASE WHEN c.i = {k} THEN c.a / p.a ELSE c.a - r.a * q.a / p.a END AS a
+      FROM e{k - 1} c JOIN e{k - 1} p ON p.filter_id = c.filter_id AND p.i = {k} AND p.j = {k}
+      JOIN e{k - 1} q ON q.filter_id = c.filter_id AND q.i = {k} AND q.j = c.j
+      JOIN e{k - 1} r ON r.filter_id = c.filter_id AND r.i = c.i AND r.j = {k})"""
+        for k in range(1, 7)
+    )
+
+
+_TERMS = "[1.0, u, v, u * v, u * u, v * v]::DOUBLE[]"
+
+#: Normal equations about the mean point, in units of a twentieth, and their solution.
+QUADRATIC = f"""{TRIPLES},
+    middle AS (SELECT filter_id, avg(recall) AS mr, avg(coverage) AS mc FROM triples GROUP BY 1),
+    terms AS (
+      SELECT filter_id, error, {_TERMS} AS t FROM (
+        SELECT filter_id, error, (recall - mr) * 20 AS u, (coverage - mc) * 20 AS v FROM triples JOIN middle USING (filter_id)) x),
+    e0 AS MATERIALIZED (
+      SELECT filter_id, i, j, sum(t[i] * CASE WHEN j = 7 THEN error ELSE t[j] END) AS a
+      FROM terms, (SELECT unnest(range(1, 7)) AS i) r, (SELECT unnest(range(1, 8)) AS j) c GROUP BY ALL),
+    {_eliminated()},
+    solved AS (SELECT filter_id, list(a ORDER BY i) AS w FROM e6 WHERE j = 7 GROUP BY filter_id)"""
+
+
+def _quadratic_at(targets: str) -> str:
+    return f"""WITH {QUADRATIC}, targets(target_r, target_c) AS ({targets}),
+    asked AS (
+      SELECT filter_id, w, target_r, target_c, (target_r - mr) * 20 AS u, (target_c - mc) * 20 AS v
+      FROM solved JOIN middle USING (filter_id) CROSS JOIN targets),
+    said AS (SELECT filter_id, target_r, target_c, list_dot_product(w, {_TERMS}) AS error FROM asked)"""
+
+
+_FIVE = "VALUES " + ", ".join(f"({r}::DOUBLE, {c}::DOUBLE)" for r, c in _PREDICT_TARGETS)
+_DENSE = "SELECT 0.9::DOUBLE + 0.1::DOUBLE * i / 49, 0.92::DOUBLE + 0.08::DOUBLE * j / 49 FROM range(50) a(i), range(50) b(j)"
+
+
+@register(
+    "surface_quadratic",
+    f"{_quadratic_at(_FIVE)} SELECT filter_id, target_r, target_c, round(error, 4) AS error FROM said",
+)
 def surface_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     models = S.fit_quadratic(feeds.triples(spark, sf))
     return S.predict_quadratic(models, _PREDICT_TARGETS).withColumn("error", F.round("error", 4))
@@ -255,7 +298,11 @@ def surface_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return model.importances(spark).withColumn("importance", F.round("importance", 4))
 
 
-@register("surface_dense_grid")
+@register(
+    "surface_dense_grid",
+    f"""{_quadratic_at(_DENSE)}
+    SELECT filter_id, count(*) AS n, round(min(error), 3) AS low, round(max(error), 3) AS high FROM said GROUP BY filter_id""",
+)
 def surface_dense_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Quadratic surfaces on a 50 by 50 grid: range per filter."""
     models = S.fit_quadratic(feeds.triples(spark, sf))
