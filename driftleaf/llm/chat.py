@@ -21,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftleaf.functions.series import let
+
 START, END, SEAM = "<|im_start|>", "<|im_end|>", "<|im_seam|>"
-SPAN = "array<struct<start:int,length:int>>"
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -34,17 +36,26 @@ def unescape(text: Column) -> Column:
 
 
 def _spans(texts: Column, first: Column) -> Column:
-    """(start, length) of each text of a message whose first text begins at ``first``."""
-    empty = F.struct(first.cast("int").alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def add(state: Column, text: Column) -> Column:
-        span = F.struct(state["at"].alias("start"), F.char_length(text).alias("length"))
-        return F.struct(
-            (state["at"] + F.char_length(text) + F.lit(len(SEAM))).cast("int").alias("at"),
-            F.concat(state["spans"], F.array(span)).cast(SPAN).alias("spans"),
+    """(start, length) of each text of a message whose first text begins at ``first``. Starts are running
+    sums, taken within and over blocks of ``BLOCK`` texts."""
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    count = lambda array: F.sequence(F.lit(0), F.size(array) - 1)
+
+    def spans(lengths: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")),
+            lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))),
         )
+        return let(blocks, lambda sums: let(
+            F.transform(count(sums), lambda b: total(F.slice(sums, F.lit(1), b))),
+            lambda before: F.transform(lengths, lambda n, i: F.struct(
+                (first + F.get(before, F.floor(i / BLOCK).cast("int"))
+                 + total(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK))).cast("int").alias("start"),
+                (n - len(SEAM)).alias("length"),
+            )),
+        ))
 
-    return F.aggregate(texts, empty, add, lambda state: state["spans"])
+    return let(F.transform(texts, lambda t: F.char_length(t) + len(SEAM)), spans)
 
 
 def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -112,10 +123,11 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             lambda t: F.struct(role.alias("role"), unescape(t).alias("text")),
         )
 
-    trained = F.transform(
-        "loss_mask",
-        lambda s: unescape(F.substr(F.get("chunks", s["message"]), s["start"] + 1, s["length"])),
-    )
+    # A message is trained with all of its turns, so its texts are those between the seams.
+    trained = F.flatten(F.transform(
+        F.array_distinct(F.transform("loss_mask", lambda s: s["message"])),
+        lambda m: F.transform(turns(F.get("chunks", m)), lambda t: t["text"]),
+    ))
     return (
         formatted.withColumn("chunks", chunks)
         .withColumn("turns", F.flatten(F.transform("chunks", turns)))

@@ -3,7 +3,9 @@ import hashlib
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from driftleaf.llm.chat import format_chats, op1_chat, read_chats
+from pyspark.sql import functions as F
+
+from driftleaf.llm.chat import END, format_chats, op1_chat, read_chats
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
 
@@ -57,3 +59,24 @@ def test_round_trip(spark, texts):
     row = read_chats(format_chats(spark.createDataFrame(rows, SCHEMA))).first()
     assert [t["text"] for t in row["turns"]] == texts
     assert row["loss_text"] == "".join(t for i, t in enumerate(texts) if i % 3)
+
+
+def test_spans_of_a_long_run_point_at_its_texts(spark):
+    texts = [f"<|{i}é" * (i % 4) for i in range(1500)]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 1500, "user", "end")]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    message = out.formatted.split(END + "\n")[0]
+    cut = [message[s.start : s.start + s.length] for s in out.loss_mask]
+    assert [c.replace("<\\|", "<|") for c in cut] == texts and {s.message for s in out.loss_mask} == {0}
+
+
+def test_one_role_with_very_many_turns(spark):
+    """50,000 turns of one role are one message; work grows with the turns, not with their square."""
+    import time
+
+    rows = [(1, i, "assistant", f"turn {i}") for i in range(50_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    back = read_chats(format_chats(table)).select("conv_id", F.size("turns").alias("n"), "loss_text").first()
+    assert back.n == 50_000 and back.loss_text == "".join(f"turn {i}" for i in range(50_000))
+    assert time.time() - began < 60
