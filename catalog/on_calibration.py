@@ -18,6 +18,7 @@ from catalog.sql_parts import (
     RECALL_CHAIN,
     balanced,
     draw,
+    eliminated,
 )
 from driftleaf.models.fits import (
     RIDGE,
@@ -144,7 +145,54 @@ def _per_leaf(spark: SparkSession, sf: str, model) -> DataFrame:
     )
 
 
-@register("ridge_filters")
+_PARTS, _WIDE = 8, feeds.LENGTH // 8
+
+#: Normal equations of standardised features for every leaf and penalty, and the penalty that validates best.
+RIDGE_FIT = f"""
+    parts AS (
+      SELECT query_id, p, "values"[p * {_WIDE} + 1 : p * {_WIDE} + {_WIDE}] AS part
+      FROM train, range({_PARTS}) AS parts(p)),
+    summaries AS (SELECT *, list_sum(part) / {_WIDE} AS mean FROM parts),
+    features AS (
+      SELECT query_id, list(mean ORDER BY p) || list(
+        sqrt(list_sum(list_transform(part, lambda x: (x - mean) * (x - mean))) / {_WIDE}) ORDER BY p) AS f
+      FROM summaries GROUP BY query_id),
+    examples AS MATERIALIZED (
+      SELECT query_id, leaf_id, role, lnn, f FROM facts JOIN features USING (query_id)),
+    spans AS (
+      SELECT leaf_id, list(mu ORDER BY i) AS mu, list(CASE WHEN sd > 0 THEN sd ELSE 1.0 END ORDER BY i) AS sd FROM (
+        SELECT leaf_id, i, avg(f[i]) AS mu, stddev_pop(f[i]) AS sd FROM examples, range(1, {2 * _PARTS + 1}) AS t(i)
+        WHERE role = 'train' GROUP BY leaf_id, i) s GROUP BY leaf_id),
+    centres AS (SELECT leaf_id, avg(lnn) AS centre FROM examples WHERE role = 'train' GROUP BY leaf_id),
+    scaled AS MATERIALIZED (
+      SELECT query_id, leaf_id, role, lnn, centre, list_transform(f, lambda x, i: (x - mu[i]) / sd[i]) AS z
+      FROM examples JOIN spans USING (leaf_id) JOIN centres USING (leaf_id)),
+    sums AS (
+      SELECT leaf_id, i, j, sum(z[i] * CASE WHEN j = {2 * _PARTS + 1} THEN lnn - centre ELSE z[j] END) AS a
+      FROM scaled, range(1, {2 * _PARTS + 1}) AS r(i), range(1, {2 * _PARTS + 2}) AS c(j)
+      WHERE role = 'train' GROUP BY leaf_id, i, j),
+    e0 AS MATERIALIZED (
+      SELECT leaf_id, penalty, i, j, a + CASE WHEN i = j THEN penalty ELSE 0.0 END AS a
+      FROM sums, (VALUES (0.1::DOUBLE), (1.0), (10.0), (100.0)) AS l(penalty)),
+    {eliminated(["leaf_id", "penalty"], 2 * _PARTS)},
+    weights AS (
+      SELECT leaf_id, penalty, list(a ORDER BY i) AS w FROM e{2 * _PARTS} WHERE j = {2 * _PARTS + 1}
+      GROUP BY leaf_id, penalty),
+    said AS (
+      SELECT role, leaf_id, penalty, pow(centre + list_dot_product(w, z) - lnn, 2) AS err
+      FROM scaled JOIN weights USING (leaf_id) WHERE role <> 'train'),
+    picked AS (
+      SELECT leaf_id, penalty FROM (
+        SELECT leaf_id, penalty, row_number() OVER (PARTITION BY leaf_id ORDER BY avg(err), penalty) AS r
+        FROM said WHERE role = 'valid' GROUP BY leaf_id, penalty) v WHERE r = 1)"""
+
+
+@register(
+    "ridge_filters",
+    f"""WITH {ALL_FACTS}, {RIDGE_FIT}
+    SELECT leaf_id, count(*) AS n, round(sqrt(avg(err)), 3) AS rmse FROM said JOIN picked USING (leaf_id, penalty)
+    WHERE role = 'calib' GROUP BY leaf_id""",
+)
 def ridge_filters(spark: SparkSession, sf: str) -> DataFrame:
     return _per_leaf(spark, sf, RIDGE)
 
@@ -479,7 +527,43 @@ def alpha_for_recall_spline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(steffen_at(rows, "leaf_id", "recall", "alpha", 0.9), "value")
 
 
-@register("alpha_for_recall_cubic")
+#: Second derivatives at the knots by a sweep up and one down, zero at both ends.
+NATURAL = """
+    knots AS MATERIALIZED (
+      SELECT *, lag(h) OVER w AS h0, lag(s) OVER w AS s0, lead(y) OVER w AS y1 FROM (
+        SELECT k, x, y, lead(x) OVER w AS x1, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS n,
+               lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s
+        FROM curve_points WINDOW w AS (PARTITION BY k ORDER BY x)) t
+      WINDOW w AS (PARTITION BY k ORDER BY x)),
+    up AS (
+      SELECT k, i, 0.0::DOUBLE AS factor, 0.0::DOUBLE AS rest FROM knots WHERE i = 0
+      UNION ALL
+      SELECT q.k, q.i, q.h / (2 * (q.h0 + q.h) - q.h0 * u.factor),
+             (6 * (q.s - q.s0) - q.h0 * u.rest) / (2 * (q.h0 + q.h) - q.h0 * u.factor)
+      FROM up u JOIN knots q ON q.k = u.k AND q.i = u.i + 1 WHERE q.i < q.n - 1),
+    down AS (
+      SELECT k, i, 0.0::DOUBLE AS bend FROM knots WHERE i = n - 1
+      UNION ALL
+      SELECT u.k, u.i, CASE WHEN u.i = 0 THEN 0.0 ELSE u.rest - u.factor * d.bend END
+      FROM down d JOIN up u ON u.k = d.k AND u.i = d.i - 1),
+    inside AS (
+      SELECT q.k, (a.bend * pow(x1 - goal, 3) + b.bend * pow(goal - x, 3)) / (6 * h)
+             + (y / h - a.bend * h / 6) * (x1 - goal) + (y1 / h - b.bend * h / 6) * (goal - x) AS value
+      FROM knots q JOIN wish ON x <= goal AND goal < x1
+      JOIN down a ON a.k = q.k AND a.i = q.i JOIN down b ON b.k = q.k AND b.i = q.i + 1),
+    spline AS (
+      SELECT e.k, coalesce(i.value, CASE WHEN goal < lo THEN first_y ELSE last_y END) AS value
+      FROM (SELECT k, min(x) AS lo, arg_min(y, x) AS first_y, arg_max(y, x) AS last_y
+            FROM curve_points GROUP BY k) e CROSS JOIN wish LEFT JOIN inside i ON i.k = e.k)"""
+
+
+@register(
+    "alpha_for_recall_cubic",
+    f"""WITH RECURSIVE {RECALL_CHAIN}, {CURVE}, wish AS (SELECT 0.9::DOUBLE AS goal),
+    curve_points AS MATERIALIZED (
+      SELECT leaf_id AS k, recall AS x, alpha AS y FROM alphas JOIN rising USING (pos)), {NATURAL}
+    SELECT k AS leaf_id, round(value, 4) AS value FROM spline""",
+)
 def alpha_for_recall_cubic(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a natural cubic spline."""
     from driftleaf.operators.surface import natural_cubic_at

@@ -9,7 +9,7 @@ from catalog import feeds
 from catalog.registry import register
 from catalog.on_calibration import calibrated_triples
 from catalog.on_search import FILTERED, MARGIN, search_predictions
-from catalog.sql_parts import COMPACT, RAW, RECALL_CHAIN, TRIPLES
+from catalog.sql_parts import COMPACT, RAW, RECALL_CHAIN, TRIPLES, eliminated
 from driftleaf.models import surfaces as M
 from driftleaf.operators import augment as A
 from driftleaf.operators import surface as S
@@ -197,19 +197,6 @@ def alpha_for_target(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _eliminated() -> str:
-    """Gauss-Jordan steps over (filter_id, i, j, a): six equations and, as column 7, their right sides."""
-    return ",".join(
-        f"""
-    e{k} AS MATERIALIZED (
-      SELECT c.filter_id, c.i, c.j, CASE WHEN c.i = {k} THEN c.a / p.a ELSE c.a - r.a * q.a / p.a END AS a
-      FROM e{k - 1} c JOIN e{k - 1} p ON p.filter_id = c.filter_id AND p.i = {k} AND p.j = {k}
-      JOIN e{k - 1} q ON q.filter_id = c.filter_id AND q.i = {k} AND q.j = c.j
-      JOIN e{k - 1} r ON r.filter_id = c.filter_id AND r.i = c.i AND r.j = {k})"""
-        for k in range(1, 7)
-    )
-
-
 _TERMS = "[1.0, u, v, u * v, u * u, v * v]::DOUBLE[]"
 
 #: Normal equations about the mean point, in units of a twentieth, and their solution.
@@ -221,7 +208,7 @@ QUADRATIC = f"""{TRIPLES},
     e0 AS MATERIALIZED (
       SELECT filter_id, i, j, sum(t[i] * CASE WHEN j = 7 THEN error ELSE t[j] END) AS a
       FROM terms, (SELECT unnest(range(1, 7)) AS i) r, (SELECT unnest(range(1, 8)) AS j) c GROUP BY ALL),
-    {_eliminated()},
+    {eliminated(["filter_id"], 6)},
     solved AS (SELECT filter_id, list(a ORDER BY i) AS w FROM e6 WHERE j = 7 GROUP BY filter_id)"""
 
 

@@ -244,3 +244,22 @@ POOL = (
       SELECT filter_id, round(recall, 6) AS recall, round(coverage, 6) AS coverage,
              avg(error) AS pred, (min(error) + max(error)) / 2.0::DOUBLE AS actual FROM raw GROUP BY 1, 2, 3)"""
 )
+
+
+def eliminated(keys: list[str], size: int) -> str:
+    """Gauss-Jordan steps over e0 (keys, i, j, a): ``size`` equations and, as column ``size + 1``, their right
+    sides. The last step is e{size}; its last column is the solution."""
+    key = ", ".join(f"c.{k}" for k in keys)
+
+    def same(table: str) -> str:
+        return " AND ".join(f"{table}.{k} = c.{k}" for k in keys)
+
+    return ",".join(
+        f"""
+    e{k} AS MATERIALIZED (
+      SELECT {key}, c.i, c.j, CASE WHEN c.i = {k} THEN c.a / p.a ELSE c.a - r.a * q.a / p.a END AS a
+      FROM e{k - 1} c JOIN e{k - 1} p ON {same('p')} AND p.i = {k} AND p.j = {k}
+      JOIN e{k - 1} q ON {same('q')} AND q.i = {k} AND q.j = c.j
+      JOIN e{k - 1} r ON {same('r')} AND r.i = c.i AND r.j = {k})"""
+        for k in range(1, size + 1)
+    )

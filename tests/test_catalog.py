@@ -15,7 +15,8 @@ NAMES = [
     "training_facts", "batch_recall_by_pos", "unique_triples", "search_replay",
     "calib_batches_balanced", "best_splits", "tree_route", "synthetic_queries", "raw_compaction",
     "monotone_bump", "surface_predict", "band_lookup", "coverage_sentinels", "enhanced_features",
-    "prediction_statistics", "three_way_errors", "triples_csv", "binary_series",
+    "prediction_statistics", "three_way_errors", "triples_csv", "binary_series", "ridge_filters",
+    "alpha_for_recall_cubic",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
