@@ -5,9 +5,11 @@ joined as of its time to the latest earlier full response of the same canonical
 compared; the response's headers, updated by the permitted ones of the 304, and its payload then
 stand for the revisit.
 
-The join cuts each URL's time line into spans of ``span_seconds``: the latest response is found inside
-the span, and one row a span carries the latest of all spans before it, so a URL that holds a large
-share of the records is spread over tasks.
+The join cuts each URL's time line into spans of ``span_seconds``, and spans into pieces where a range of
+all records (by URL, time and id) ends: the latest response is found inside the piece, and one row a piece
+carries the latest of all pieces before it. Ranges hold about as many records each, so a URL that holds
+a large share of the records is spread over tasks, even if they all have one time. Revisits without a time
+are not joined.
 
 Outcomes: ``resolved`` (entity tags agree by weak comparison, or there is no tag on one side and the
 modification dates agree), ``unvalidated`` (nothing to compare), ``mismatch`` (they differ; nothing is
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftleaf.session import materialise
+
 # Header fields of a 304 answer that never replace stored ones.
 KEPT_FROM_RESPONSE = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -104,24 +108,28 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
         F.when(asks, F.col("headers")).alias("newer"),
         F.when(F.col("full"), response).alias("response"),
     )
-    inside = Window.partitionBy("place", "span").orderBy("ts", "full", "record_id")
-    rows = rows.withColumn("near", F.last("response", ignorenulls=True).over(inside))
-    latest = rows.where("full").groupBy("place", "span").agg(
-        F.max_by("response", F.struct("ts", "record_id")).alias("latest")
-    )
-    spans = rows.select("place", "span").distinct().join(
-        latest.withColumnsRenamed({"place": "p", "span": "s"}),
-        F.col("place").eqNullSafe(F.col("p")) & (F.col("span") == F.col("s")), "left",
-    )
-    before = Window.partitionBy("place").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(
-        F.col("place").alias("p"), F.col("span").alias("s"),
+    rows = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "records")
+    # Partition numbers only mean something for one evaluation, so they are written.
+    dealt = rows.where(F.col("ts").isNotNull()).repartitionByRange("place", "ts", "full", "record_id", "number")
+    timed = materialise(dealt.withColumn("piece", F.struct("span", F.spark_partition_id().alias("range"))), "pieces")
+    inside = Window.partitionBy("place", "piece").orderBy("ts", "full", "record_id")
+    near = timed.withColumn("near", F.last("response", ignorenulls=True).over(inside))
+    latest = timed.groupBy("place", "piece").agg(
+        F.max_by("response", F.when(F.col("full"), F.struct("ts", "record_id"))).alias("latest")
+    )
+    before = Window.partitionBy("place").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select(
+        F.col("place").alias("p"), F.col("piece").alias("s"),
         F.last("latest", ignorenulls=True).over(before).alias("far"),
     )
-    joined = rows.where(~F.col("full")).join(
-        carried, F.col("place").eqNullSafe(F.col("p")) & (F.col("span") == F.col("s")), "left"
+    joined = near.where(~F.col("full")).join(
+        carried, F.col("place").eqNullSafe(F.col("p")) & (F.col("piece") == F.col("s")), "left"
+    )
+    asked = ["record_id", "ts", "newer"]
+    nothing = F.lit(None).cast(rows.schema["response"].dataType)
+    found = joined.select(*asked, F.coalesce("near", "far").alias("found")).unionByName(
+        rows.where(F.col("ts").isNull()).select(*asked, nothing.alias("found"))
     )
-    found = joined.withColumn("found", F.coalesce("near", "far"))
     found = found.withColumn(
         "outcome",
         F.when(F.col("ts").isNull(), "no_time")
@@ -132,7 +140,7 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
     return found.select(
         "record_id",
         "outcome",
-        F.when(F.col("ts").isNotNull(), F.col("found.id")).alias("response_id"),
+        F.col("found.id").alias("response_id"),
         F.when(usable, F.col("found.payload")).alias("payload"),
         F.when(usable, merge_headers(F.col("found.headers"), F.col("newer"))).otherwise(F.col("newer")).alias("headers"),
     )

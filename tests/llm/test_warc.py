@@ -1,4 +1,8 @@
+import glob
+import os
+
 from driftleaf.llm.warc import F, canonical_url, op5_revisits, resolve_revisits
+from driftleaf.session import work_root
 
 SCHEMA = "record_id long, kind string, url string, ts long, status int, headers map<string,string>, payload string, outcome string"
 DAY = 86_400
@@ -54,3 +58,28 @@ def test_query_without_html(spark):
     pages = spark.createDataFrame([(0, "http://a/b", None), (1, None, "x"), (4, "http://a/b", "y")], "page_id long, url string, html string")
     rows = op5_revisits(pages).collect()
     assert len(rows) == 5 and op5_revisits(pages.limit(0)).count() == 0
+
+
+def test_one_url_with_all_records_of_one_day_is_spread(spark):
+    """Bursts at few times, copies of one revisit, and revisits without a time."""
+    rows = [(i, "response", "a/x", 60 * (i % 40), 200, {"ETag": f'"{i}"'}, f"p{i}") for i in range(2000)]
+    rows += [(5000 + i, "revisit", "a/x", 60 * (i % 40) + i % 2, 304, {"etag": '"no"'}, None) for i in range(2000)]
+    rows += [(9000, "revisit", "a/x", 1230, 304, {}, None)] * 500 + [(9001, "revisit", "a/x", None, 304, {}, None)] * 500
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA).repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # would put this small table into one range
+    spark.conf.set(coalesce, "false")
+    try:
+        answers = resolve_revisits(df).select("record_id", "outcome", "response_id").collect()
+    finally:
+        spark.conf.unset(coalesce)
+    want = []
+    for n, kind, _, ts, *_ in rows:
+        if kind == "revisit":
+            earlier = [(r[3], r[0]) for r in rows[:2000] if ts is not None and r[3] < ts]
+            outcome = "no_time" if ts is None else "orphan" if not earlier else "unvalidated" if n == 9000 else "mismatch"
+            want.append((n, outcome, max(earlier)[1] if earlier else None))
+    order = lambda rows: sorted(rows, key=str)
+    assert order(map(tuple, answers)) == order(want)
+    pieces = spark.read.parquet(sorted(glob.glob(f"{work_root(spark)}/driftleaf-pieces-*"), key=os.path.getmtime)[-1])
+    sizes = [r["count"] for r in pieces.groupBy("place", "piece").count().collect()]
+    assert pieces.count() == 4500 and max(sizes) < 1500
