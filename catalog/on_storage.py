@@ -16,10 +16,12 @@ from catalog.sql_parts import (
     CALIBRATION,
     CHAIN,
     COMPACT,
+    INTERCEPT,
     MODEL,
     POOL,
     RECALL_CHAIN,
     SERIES,
+    SLOPE,
     TRAIN,
     bounds,
 )
@@ -405,8 +407,7 @@ def filters_deactivated(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "filters_retrained",
     f"""WITH {ALL_FACTS}
-    SELECT leaf_id, round(coalesce(regr_slope(lnn, lb), 0.0), 4) AS slope,
-           round(coalesce(regr_intercept(lnn, lb), avg(lnn)), 4) AS intercept, true AS active
+    SELECT leaf_id, round({SLOPE}, 4) AS slope, round({INTERCEPT}, 4) AS intercept, true AS active
     FROM facts WHERE role = 'train' OR (role = 'valid' AND leaf_id < 5) GROUP BY leaf_id""",
 )
 def filters_retrained(spark: SparkSession, sf: str) -> DataFrame:
@@ -453,8 +454,8 @@ def residence_save_load(spark: SparkSession, sf: str) -> DataFrame:
     both_ AS (
       SELECT leaf_id, lb, lnn, 0 AS local FROM facts WHERE role = 'train'
       UNION ALL SELECT leaf_id, lb, lnn, 1 FROM examples WHERE trains)
-    SELECT leaf_id, count(*) AS n, sum(local)::BIGINT AS n_local, round(coalesce(regr_slope(lnn, lb), 0.0), 4) AS slope,
-           round(coalesce(regr_intercept(lnn, lb), avg(lnn)), 4) AS intercept FROM both_ GROUP BY leaf_id""",
+    SELECT leaf_id, count(*) AS n, sum(local)::BIGINT AS n_local, round({SLOPE}, 4) AS slope,
+           round({INTERCEPT}, 4) AS intercept FROM both_ GROUP BY leaf_id""",
 )
 def filters_with_local_examples(spark: SparkSession, sf: str) -> DataFrame:
     """Filters trained on global facts and on local examples that were saved with the index in two

@@ -139,10 +139,13 @@ ALL_FACTS = ",".join(
     [SERIES, TRAIN, SEGMENT_ROWS, ENVELOPE, bounds("train"), distances("train"), FACTS]
 )
 
-MODEL = """
+# A line on bounds that do not vary has no slope; DuckDB gives NaN for it, not NULL.
+SLOPE = "CASE WHEN min(lb) < max(lb) THEN regr_slope(lnn, lb) ELSE 0.0 END"
+INTERCEPT = "CASE WHEN min(lb) < max(lb) THEN regr_intercept(lnn, lb) ELSE avg(lnn) END"
+
+MODEL = f"""
     model AS (
-      SELECT leaf_id, coalesce(regr_slope(lnn, lb), 0.0) AS slope,
-             coalesce(regr_intercept(lnn, lb), avg(lnn)) AS intercept
+      SELECT leaf_id, {SLOPE} AS slope, {INTERCEPT} AS intercept
       FROM facts WHERE role = 'train' GROUP BY leaf_id),
     predicted AS (
       SELECT f.*, intercept + slope * lb AS pred FROM facts f JOIN model USING (leaf_id))"""

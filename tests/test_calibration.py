@@ -234,3 +234,19 @@ def test_hash_place_numbers_every_row_once(spark):
     assert sorted(rows["place"]) == list(range(1000))
     again = B.hash_place(spark.range(1000).repartition(7), "s", "id").toPandas()
     assert rows.sort_values("id")["place"].tolist() == again.sort_values("id")["place"].tolist()
+
+
+def test_line_of_a_leaf_whose_bounds_do_not_vary(spark):
+    """The twins' line is the query's: a leaf with equal bounds, or one row, gets its mean."""
+    import duckdb
+
+    from catalog.sql_parts import MODEL
+    from driftleaf.models.fits import fit_linear
+
+    rows = [(1, 0.0, 2.0), (1, 0.0, 4.0), (2, 0.1, 1.0), (2, 0.1, 5.0), (2, 0.1, 9.0), (3, 7.0, 2.5), (4, 1.0, 1.0), (4, 3.0, 5.0)]
+    got = fit_linear(spark.createDataFrame(rows, "leaf_id long, lb double, lnn double")).collect()
+    values = ", ".join(f"({leaf}, {lb}::DOUBLE, {lnn}::DOUBLE, 'train')" for leaf, lb, lnn in rows)
+    facts = f"facts AS (SELECT * FROM (VALUES {values}) t(leaf_id, lb, lnn, role))"
+    want = duckdb.sql(f"WITH {facts}, {MODEL} SELECT leaf_id, slope, intercept FROM model ORDER BY 1").fetchall()
+    assert want == [(1, 0.0, 3.0), (2, 0.0, 5.0), (3, 0.0, 2.5), (4, 2.0, -1.0)]
+    assert sorted((r["leaf_id"], r["slope"], r["intercept"]) for r in got) == want
