@@ -45,6 +45,19 @@ class _Leaves:
         self.part = part
         self.starts = np.r_[0, np.cumsum(widths)[:-1]].astype(np.int64)
 
+    def only(self, leaf_ids: np.ndarray) -> _Leaves:
+        """The envelopes of the given leaves, in that order."""
+        order = np.argsort(self.leaf_ids)
+        at = order[np.searchsorted(self.leaf_ids, leaf_ids, sorter=order)]
+        widths = np.diff(np.r_[self.starts, len(self.slot)])[at]
+        out = object.__new__(_Leaves)
+        out.leaf_ids, out.starts = leaf_ids, np.r_[0, np.cumsum(widths)[:-1]].astype(np.int64)
+        rows = np.repeat(self.starts[at] - out.starts, widths) + np.arange(widths.sum())
+        used, out.slot = np.unique(self.slot[rows], return_inverse=True)
+        out.segments = [self.segments[i] for i in used]
+        out.part = {name: values[rows] for name, values in self.part.items()}
+        return out
+
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Matrix of bounds, one row per series of ``x`` and one column per leaf."""
         means, stds = summaries(x, self.segments)

@@ -34,7 +34,7 @@ from driftleaf.session import (
 from driftleaf.settings import BLOCK_ROWS, QUERY_BLOCK_ROWS
 
 SCAN_SCHEMA = "query_id long, leaf_id long, series_id long, dist2 double"
-_ARROW_SCHEMA = pa.schema(
+ARROW_SCHEMA = pa.schema(
     [
         ("query_id", pa.int64()),
         ("leaf_id", pa.int64()),
@@ -63,7 +63,7 @@ def to_matrix(column: pa.Array) -> np.ndarray:
     return data.reshape(len(column), -1)
 
 
-def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+def exact_squares(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows))
     for lo in range(0, len(rows), _PAIR_CHUNK):
         diff = q[rows[lo : lo + _PAIR_CHUNK]] - x[cols[lo : lo + _PAIR_CHUNK]]
@@ -71,7 +71,7 @@ def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) ->
     return out
 
 
-def _keep_k(group: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def keep_k(group: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest (distance, id) of each group."""
     order = np.lexsort((ids, dist, group))
     sorted_group = group[order]
@@ -97,8 +97,8 @@ def nearest(
         else:
             rows = np.repeat(np.arange(len(block)), len(x))
             cols = np.tile(np.arange(len(x)), len(block))
-        dist = _exact(block, x, rows, cols)
-        keep = _keep_k(rows, dist, ids[cols], k)
+        dist = exact_squares(block, x, rows, cols)
+        keep = keep_k(rows, dist, ids[cols], k)
         parts.append((rows[keep] + lo, cols[keep], dist[keep]))
     if not parts:
         empty = np.empty(0, dtype=np.int64)
@@ -129,7 +129,7 @@ class _Best:
             group = row * (leaf_no.max() + 1 if len(leaf_no) else 1) + leaf_no
         else:
             group = row
-        keep = _keep_k(group, dist, ids, self.k)
+        keep = keep_k(group, dist, ids, self.k)
         self.parts = [(row[keep], leaf[keep], ids[keep], dist[keep])]
         self.rows = len(keep)
 
@@ -141,7 +141,7 @@ class _Best:
         self.parts, self.rows = [], 0
         return pa.RecordBatch.from_arrays(
             [pa.array(query_ids[row]), pa.array(leaf), pa.array(ids), pa.array(dist)],
-            schema=_ARROW_SCHEMA,
+            schema=ARROW_SCHEMA,
         )
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from driftleaf.operators.bounds import SLACK, leaf_bounds
 from driftleaf.operators.descent import descend, descend_by_join
 from driftleaf.operators.scan import scan, top_k
+from driftleaf.operators.within import member_cells, scan_within
 from driftleaf.plans.index import Index
 from driftleaf.session import materialise, pin, series_bytes
+from driftleaf.settings import broadcast_budget
+
+# Fewer queries never make more pairs than a search can hold; how many of more are asked for their leaves.
+MANY_QUERIES, SAMPLED_QUERIES = 2000, 500
 
 ANSWER = ["query_id", "rank", "series_id", "leaf_id", "dist"]
 
@@ -74,6 +79,26 @@ def candidates(
     return bounds.join(resident.select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_anti")
 
 
+def _without_pairs(index: Index, limited: DataFrame, resident: DataFrame, k: int) -> DataFrame | None:
+    """The scan that takes bounds in the tasks, where a table of (query, leaf) pairs would be larger than what
+    that scan sends; None where it would not. A sample of the queries tells how many leaves one wants."""
+    spark = limited.sparkSession
+    n_queries = limited.count()
+    budget = broadcast_budget(spark)
+    if n_queries < MANY_QUERIES:
+        return None
+    wanted = limited.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n_queries // SAMPLED_QUERIES))) == 0)
+    n_wanted = wanted.count()
+    if not n_wanted or index.shipped_leaves is None:
+        return None
+    each = candidates(index, wanted, resident).count() / n_wanted
+    n_members = index.members.count()
+    small = n_queries * series_bytes(limited) <= budget
+    if each * n_queries * 16 <= budget if small else each <= 2 * member_cells(limited, n_members):
+        return None
+    return scan_within(index.members, limited, k, index.shipped_leaves, n_queries, n_members)
+
+
 def knn_pruned(
     index: Index,
     queries: DataFrame,
@@ -86,6 +111,10 @@ def knn_pruned(
     ``keep`` (query_id, leaf_id) drops further candidates; see ``knn_filtered``."""
     queries, resident = _pinned(index, queries, resident)
     first, limited = seed_limits(index, queries, k, resident)
+    if keep is None and index.exact_bounds:
+        rest = _without_pairs(index, limited, resident, k)
+        if rest is not None:
+            return top_k(rest, k).select(*ANSWER)
     left = candidates(index, limited, resident)
     if keep is not None:
         left = left.join(keep.select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_semi")
