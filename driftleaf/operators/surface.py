@@ -212,14 +212,79 @@ def nearest_to_grid(triples: DataFrame) -> DataFrame:
     )
 
 
+def _grid_errors(
+    r: np.ndarray, c: np.ndarray, e: np.ndarray, u: np.ndarray, v: np.ndarray
+) -> np.ndarray:
+    """The largest error of the five points nearest to each node; points come by recall and coverage, which
+    is how ties go."""
+    k, out = min(NEIGHBOURS, len(r)), np.empty(len(u))
+    step = max(1, (1 << 20) // len(r))
+    for lo in range(0, len(u), step):
+        part = slice(lo, lo + step)
+        du, dv = u[part, None] - r, v[part, None] - c
+        d = du * du + dv * dv
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        near = d <= kth[:, None]
+        for row in np.flatnonzero(near.sum(1) > k):
+            first = np.argsort(d[row], kind="stable")[:k]
+            near[row] = False
+            near[row, first] = True
+        out[part] = np.where(near, e, -np.inf).max(1)
+    return out
+
+
+_SURFACE = "filter_id long, recall double, coverage double, error double"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(filter_id, points): the rows of a filter by recall and coverage in one array."""
+    return rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("recall", "coverage", "error"))).alias("points"))
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, filter_id, recall, coverage, error) of every packed filter."""
+    points = batch.column("points")
+    ends, flat = points.offsets.to_numpy(), points.values
+    columns = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    for i, key in enumerate(batch.column("filter_id").to_pylist()):
+        yield i, key, *[column[ends[i] : ends[i + 1]] for column in columns]
+
+
 def fit_grid(triples: DataFrame) -> DataFrame:
     """(filter_id, recall, coverage, error): at each grid node the largest error of its five
-    nearest triples."""
-    return (
-        nearest_to_grid(triples)
-        .groupBy(*KEY, F.col("u").alias("recall"), F.col("v").alias("coverage"))
-        .agg(F.max("error").alias("error"))
-    )
+    nearest triples. A filter whose triples fit a task is met whole by one; others are spread."""
+    ship_package(triples.sparkSession)
+    bounds = materialise(surface_bounds(triples), "bounds")
+    small = bounds.where(F.col("n") <= ROWS_PER_TASK)
+    large = bounds.where(F.col("n") > ROWS_PER_TASK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ends = [some.column(c).to_numpy(zero_copy_only=False) for c in ("lo_r", "hi_r", "lo_c", "hi_c", "grid")]
+                parts = []
+                for i, key, r, c, e in _unpacked(some):
+                    low_r, high_r, low_c, high_c, size = (column[i] for column in ends)
+                    # Nodes of an axis without extent are one node.
+                    us, vs = np.unique(_axis(low_r, high_r, int(size))), np.unique(_axis(low_c, high_c, int(size)))
+                    u, v = np.repeat(us, len(vs)), np.tile(vs, len(us))
+                    parts.append((np.full(len(u), key, np.int64), u, v, _grid_errors(r, c, e, u, v)))
+                if parts:
+                    columns = [pa.array(np.concatenate(p)) for p in zip(*parts)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["filter_id", "recall", "coverage", "error"])
+
+    mine = triples.join(small.select(*KEY), KEY, "left_semi")
+    grid = _packed(mine).join(small, KEY).mapInArrow(run, _SURFACE)
+    if not large.isEmpty():
+        spread_out = nearest_to_grid(triples.join(large.select(*KEY), KEY, "left_semi"))
+        grid = grid.unionByName(
+            spread_out.groupBy(*KEY, F.col("u").alias("recall"), F.col("v").alias("coverage")).agg(
+                F.max("error").alias("error")
+            )
+        )
+    # At most ``MAX_GRID`` squared rows a filter; windows and groups of a filter need no other shuffle.
+    return grid.repartition(*KEY)
 
 
 def running_maximum(surface: DataFrame, value: str = "error") -> DataFrame:
@@ -276,44 +341,52 @@ def boost(recall: Column, coverage: Column) -> Column:
     ) + F.when(coverage >= BOOST_FROM, (coverage - BOOST_FROM) * COVERAGE_BOOST).otherwise(0.0)
 
 
+def _target_arrays(targets: Targets) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(targets, DenseGrid):
+        r, c = (a[0] + np.arange(targets.size) * ((a[1] - a[0]) / (targets.size - 1)) for a in (targets.recalls, targets.coverages))
+        return np.repeat(r, targets.size), np.tile(c, targets.size)
+    points = np.array(targets, float).reshape(-1, 2)
+    return points[:, 0], points[:, 1]
+
+
 def predict_surface(
     surface: DataFrame, bounds: DataFrame, targets: Targets
 ) -> DataFrame:
     """(filter_id, target_r, target_c, error) from a repaired grid, by inverse fourth power of
-    the distance; targets are pulled into the data bounds first."""
-    r, c = F.col("bound_r"), F.col("bound_c")
-    d = (F.col("recall") - r) * (F.col("recall") - r) + (F.col("coverage") - c) * (
-        F.col("coverage") - c
-    )
-    rows = (
-        with_targets(
-            surface.join(bounds.select(*KEY, "lo_r", "hi_r", "lo_c", "hi_c"), KEY), targets
-        )
-        .select(
-            *KEY, "recall", "coverage", "error", "target_r", "target_c",
-            F.greatest("lo_r", F.least("hi_r", "target_r")).alias("bound_r"),
-            F.greatest("lo_c", F.least("hi_c", "target_c")).alias("bound_c"),
-        )
-        .withColumn("d", d)
-    )
-    near = F.col("d") < HIT_DISTANCE2
-    weight = F.when(~near, 1.0 / (F.col("d") * F.col("d")))
-    summed = rows.groupBy(*KEY, "target_r", "target_c", "bound_r", "bound_c").agg(
-        F.max(F.when(near, F.col("error"))).alias("hit"),
-        (F.sum(weight * F.col("error")) / F.sum(weight)).alias("mean"),
-    )
-    lift = boost(F.col("bound_r"), F.col("bound_c"))
-    return summed.select(
-        *KEY,
-        "target_r",
-        "target_c",
-        F.greatest(
-            F.lit(FLOOR),
-            F.when(F.col("hit").isNotNull(), F.col("hit") + lift).otherwise(
-                BASE + FACTOR * F.col("mean") + lift
-            ),
-        ).alias("error"),
-    )
+    the distance; targets are pulled into the data bounds first. The nodes of a filter meet its targets as
+    matrices: a row for every pair of them would be several thousand a filter."""
+    ship_package(surface.sparkSession)
+    target_r, target_c = _target_arrays(targets)
+
+    def lift(at: np.ndarray, by: float) -> np.ndarray:
+        return np.where(at >= BOOST_FROM, (at - BOOST_FROM) * by, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ends = [some.column(c).to_numpy(zero_copy_only=False) for c in ("lo_r", "hi_r", "lo_c", "hi_c")]
+                keys, errors = [], []
+                for i, key, r, c, e in _unpacked(some):
+                    low_r, high_r, low_c, high_c = (column[i] for column in ends)
+                    bound_r = np.maximum(low_r, np.minimum(high_r, target_r))
+                    bound_c = np.maximum(low_c, np.minimum(high_c, target_c))
+                    d = (r - bound_r[:, None]) ** 2 + (c - bound_c[:, None]) ** 2
+                    near = d < HIT_DISTANCE2
+                    weight = np.where(near, 0.0, 1.0 / np.where(near, 1.0, d * d))
+                    with np.errstate(invalid="ignore"):
+                        mean = (weight @ e) / weight.sum(1)
+                    hit = np.where(near, e, -np.inf).max(1)
+                    up = lift(bound_r, RECALL_BOOST) + lift(bound_c, COVERAGE_BOOST)
+                    said = np.where(near.any(1), hit + up, BASE + FACTOR * mean + up)
+                    keys.append(np.full(len(said), key, np.int64))
+                    errors.append(np.maximum(FLOOR, said))
+                if keys:
+                    columns = [np.concatenate(keys), np.tile(target_r, len(keys)), np.tile(target_c, len(keys)), np.concatenate(errors)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["filter_id", "target_r", "target_c", "error"])
+
+    asked = _packed(surface).join(bounds.select(*KEY, "lo_r", "hi_r", "lo_c", "hi_c"), KEY)
+    return asked.mapInArrow(run, "filter_id long, target_r double, target_c double, error double")
 
 
 def surface_at(triples: DataFrame, targets: Targets) -> DataFrame:

@@ -250,3 +250,16 @@ def test_natural_cubic(spark):
         assert abs(got - np.sin(at)) < 0.02
     assert abs(S.natural_cubic_at(df, "leaf_id", "r", "v", 1.5).first()["value"] - np.sin(1.5)) < 1e-12
     assert abs(S.natural_cubic_at(df, "leaf_id", "r", "v", 9.0).first()["value"] - np.sin(3.0)) < 1e-12
+
+
+def test_grid_and_targets_make_no_row_a_pair(spark, monkeypatch):
+    """Nodes meet points and targets inside a task; filters that are spread give the same grid."""
+    rows = [(f, i / 8, j / 8, float((7 * i + 3 * j + f) % 11)) for f in range(3) for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(rows + [(9, 0.5, 0.5, 2.0)], "filter_id long, recall double, coverage double, error double")
+    grid = S.fit_grid(df)
+    out = S.predict_surface(S.running_maximum(grid), S.surface_bounds(df), [(0.5, 0.5), (0.9, 1.0)])
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    assert {r["filter_id"]: r["error"] for r in out.where("target_r = 0.5").collect()}[9] == 2.0
+    whole = {(r[0], r[1], r[2]): r[3] for r in grid.collect()}
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 20)
+    assert whole == {(r[0], r[1], r[2]): r[3] for r in S.fit_grid(df).collect()}
