@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftleaf.llm.tasks import tidy
+from driftleaf.llm.tasks import small_batches, tidy
 from driftleaf.session import materialise, ship_package
 
 CAPACITY, END_ID = 1024, 2
@@ -259,7 +259,8 @@ def cut(
     """The written pieces (doc_id, piece, start, length, ids, task, place)."""
     if vocabulary is None:
         vocabulary, pattern, specials, file = default_vocabulary()
-    return materialise(tokenize(documents, vocabulary, pattern, specials or {}, capacity, end_id, file), "pieces")
+    with small_batches(documents.sparkSession):
+        return materialise(tokenize(documents, vocabulary, pattern, specials or {}, capacity, end_id, file), "pieces")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -24,3 +26,19 @@ def tidy(work: Work) -> Work:
         trim()
 
     return run
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Jobs started inside send at most ``rows`` rows to a worker at once: 10,000 whole texts, the default,
+    are held by the executor and by the worker at the same time."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
