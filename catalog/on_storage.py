@@ -193,7 +193,7 @@ def ground_truth_check(spark: SparkSession, sf: str) -> DataFrame:
 def triples_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = new_work_path(spark, "triples")
     rows = feeds.compact_triples(spark, sf).withColumn("is_test", F.lit(0))
-    T.write_triples(rows.select("recall", "coverage", "error", "is_test", "filter_id"), path)
+    T.write_triples(rows, path)
     return T.read_triples(spark, path)
 
 

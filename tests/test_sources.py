@@ -66,6 +66,27 @@ def test_triple_files_take_the_id_from_the_name(spark, tmp_path):
     assert got == [(0.9, 0.8, 1.5, 0, 3), (0.9, 0.8, 1.5, 0, 14)]
 
 
+def test_triples_of_many_filters_in_few_files(spark):
+    """Files follow tasks, not filters; each filter is whole and in order in one file, in both layouts."""
+    rows = spark.range(900).selectExpr(
+        "id div 3 AS filter_id", "0.9 + (2 - id % 3) / 100 AS recall", "0.5D AS coverage", "id / 7 AS error", "0 AS is_test"
+    )
+    want = sorted((i // 3, round(0.9 + (2 - i % 3) / 100, 6), 0.5, round(i / 7, 6), 0) for i in range(900))
+    for by_filter in (False, True):
+        path = new_work_path(spark, "triples")
+        T.write_triples(rows.where("filter_id < 20") if by_filter else rows, path, by_filter)
+        back = T.read_triples(spark, path).withColumn("file", F.col("_metadata.file_path")).collect()
+        got = sorted((r["filter_id"], round(r["recall"], 6), r["coverage"], r["error"], r["is_test"]) for r in back)
+        assert got == (want[:60] if by_filter else want)
+        files = {r["file"] for r in back}
+        assert len(files) == 20 if by_filter else len(files) <= 4
+        places = {(r["filter_id"], r["file"]) for r in back}
+        assert len(places) == (20 if by_filter else 300)
+        for name in files:
+            mine = [(r["filter_id"], r["recall"]) for r in back if r["file"] == name]
+            assert mine == sorted(mine)
+
+
 def test_ground_truth_mismatch(spark, rng):
     x, q = rng.normal(size=(30, 8)), rng.normal(size=(4, 8))
     queries = frame(spark, q, "query_id")
