@@ -11,16 +11,19 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftleaf.operators.augment import FEATURES, rank_curves, surface_features
+from driftleaf.operators.augment import FEATURES, engineered, rank_curves, with_ranks
 from driftleaf.operators.lookup import with_targets
 from driftleaf.operators.metrics import regression_metrics
 from driftleaf.operators.quantile import exact_quantile
 from driftleaf.operators.surface import clean_triples, fit_grid, running_maximum
-from driftleaf.session import ship_package
+from driftleaf.session import materialise, ship_package, spread
 
 PLAIN = ["recall", "coverage"]
 LEVEL = ["level_mean", "level_max"]
 
+# Rows of a task while boosted trees are fitted: about 700 bytes each with all features and its place in the trees.
+FIT_ROWS = 200_000
+
 # Fixed values of the thin-plate variant.
 SPLINE_BASE, SPLINE_FACTOR, SPLINE_FALLBACK = 0.2, 2.5, 0.5
 
@@ -39,6 +42,9 @@ class BoostedSurface:
     def fit(
         train: DataFrame, enhanced: bool = False, rounds: int = 20, depth: int = 4
     ) -> BoostedSurface:
+        """The tasks of the fit follow the rows, so that none holds more as the table grows, and
+        rows have one order in every run."""
+        train = materialise(train.select("filter_id", *PLAIN, "error"), "training")
         levels = train.groupBy("filter_id").agg(
             F.avg("error").alias("level_mean"), F.max("error").alias("level_max")
         )
@@ -47,19 +53,23 @@ class BoostedSurface:
         learner = GBTRegressor(
             featuresCol="x", labelCol="error", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=42
         )
-        shell.model = learner.fit(shell._vectors(train))
+        dealt = spread(shell._narrow(train), "filter_id", *PLAIN, rows=train.count(), most=FIT_ROWS)
+        ordered = dealt.sortWithinPartitions("filter_id", *PLAIN, "error")
+        shell.model = learner.fit(shell._assembled(ordered).select("x", "error"))
         return shell
 
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        if self.curves is not None:
-            rows = surface_features(rows, self.curves)
-        return VectorAssembler(inputCols=self.columns, outputCol="x").transform(
-            rows.join(self.levels, "filter_id")
-        )
+    def _narrow(self, rows: DataFrame) -> DataFrame:
+        """The rows with what is joined to them, before the features widen them."""
+        ranked = rows if self.curves is None else with_ranks(rows, self.curves)
+        return ranked.join(self.levels, "filter_id")
+
+    def _assembled(self, narrow: DataFrame) -> DataFrame:
+        wide = narrow if self.curves is None else engineered(narrow)
+        return VectorAssembler(inputCols=self.columns, outputCol="x").transform(wide)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``pred`` to (filter_id, recall, coverage, ...) rows of known filters."""
-        return self.model.transform(self._vectors(rows)).withColumnRenamed(
+        return self.model.transform(self._assembled(self._narrow(rows))).withColumnRenamed(
             "prediction", "pred"
         ).drop("x", *LEVEL)
 

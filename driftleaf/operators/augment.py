@@ -190,10 +190,20 @@ TINY = 1e-10
 def surface_features(triples: DataFrame, curves: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add the engineered features of (recall, coverage). Ranks are those on ``curves``, which a model
     keeps from its training rows, or among the given rows."""
+    return engineered(with_ranks(triples, curves))
+
+
+def with_ranks(triples: DataFrame, curves: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Add the ranks on both axes."""
     df = triples = materialise(triples, "triples")
     for c in RANKED:
         curve = curves[c] if curves else rank_curve(triples, ["filter_id"], c)
         df = rank_on_curve(df, curve, ["filter_id"], c, f"{c}_rank")
+    return df
+
+
+def engineered(df: DataFrame) -> DataFrame:
+    """Add the features that follow from a row with its ranks."""
     r, c = F.col("recall"), F.col("coverage")
 
     def beta_score(b2: float) -> Column:

@@ -94,12 +94,13 @@ def broadcast_if_small(df: DataFrame, label: str, row_bytes: int = 64) -> DataFr
     return F.broadcast(out) if getattr(out, "_held", None) is not None else out
 
 
-def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int | None = None, most: int | None = None) -> DataFrame:
     """Hash rows over the shuffle partitions before work that is heavy per row; adaptive execution
-    would otherwise merge small inputs into few tasks. ``rows`` avoids tasks of few rows."""
+    would otherwise merge small inputs into few tasks. ``rows`` avoids tasks of few rows, and with
+    ``most`` there are as many tasks as it takes for about so many rows in each."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if rows is not None:
-        tasks = max(1, min(tasks, -(-rows // 2000)))
+        tasks = max(1, min(tasks, -(-rows // 2000)), -(-rows // most) if most else 1)
     return df.repartition(tasks, *keys)
 
 

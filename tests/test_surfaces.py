@@ -170,6 +170,25 @@ def test_prediction_of_a_point_is_the_same_in_any_batch(spark, triples):
     assert alone["pred"] == among[alone["filter_id"], alone["recall"], alone["coverage"]]
 
 
+@pytest.mark.parametrize("enhanced", [False, True])
+def test_tasks_of_a_fit_follow_the_rows(spark, monkeypatch, enhanced):
+    """A task of the fit holds a bounded number of rows, whatever the shuffle partitions are."""
+    seen = []
+
+    class Learner:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            seen.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+
+    monkeypatch.setattr(M, "GBTRegressor", Learner)
+    monkeypatch.setattr(M, "FIT_ROWS", 250)
+    rows = spark.range(5000).selectExpr("id % 7 AS filter_id", "0.5 + id / 1e5 AS recall", "0.9D AS coverage", "1.0D * id AS error")
+    M.BoostedSurface.fit(rows, enhanced)
+    assert sum(seen) == 5000 and len(seen) == 20 and max(seen) < 400
+
+
 def test_ranks_on_a_curve(spark):
     rows = spark.createDataFrame([(1, 0.2), (1, 0.4), (1, 0.4), (1, 0.8), (2, 0.5)], "filter_id long, recall double")
     asked = spark.createDataFrame([(1, 0.4), (1, 0.1), (1, 0.5), (1, 0.9), (2, 0.7), (3, 0.7)], rows.schema)
