@@ -30,7 +30,7 @@ from driftleaf.operators.facts import knn_residence, leaf_top_k, residence_share
 from driftleaf.operators.navigation import Navigator, TreeNavigator, combined_scores
 from driftleaf.plans import search as P
 from driftleaf.plans.learned import filtered_report, learn_filters
-from driftleaf.session import materialise
+from driftleaf.session import materialise, pin, series_bytes
 
 BASE = f"{SERIES}, {SEARCH}, {distances('search')}"
 EXACT = f"{BASE}, {top('exact', 'search_dist', K)}"
@@ -314,11 +314,14 @@ _BUDGETS = [1, 4, 16, 1_000_000]
 def navigated_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Searches in the order of the learned shares: recall does not fall as the budget grows, and without
     a limit the answers are exact."""
-    q, index, scores = feeds.search_queries(spark, sf), feeds.tree_index(spark, sf), _tree_scores(spark, sf)
+    index, scores = feeds.tree_index(spark, sf), _tree_scores(spark, sf)
+    asked = feeds.search_queries(spark, sf).select("query_id", "values")
+    q = pin(asked, "queries", series_bytes(asked))
+    resident = pin(index.resident(q), "resident")
     truth = materialise(P.knn_exact(feeds.series(spark, sf), q, K), "truth")
     rows, last = [], 0.0
     for budget in _BUDGETS:
-        found = R.recall_by_set(P.knn_budgeted(index, q, K, max_leaves=budget, scores=scores), truth, K)
+        found = R.recall_by_set(P.knn_budgeted(index, q, K, max_leaves=budget, resident=resident, scores=scores), truth, K)
         recall, n = found.agg(F.avg("recall"), F.count("*")).first()
         rows.append((budget, n, recall >= last, recall == 1.0 or None if budget == _BUDGETS[-1] else None))
         last = recall

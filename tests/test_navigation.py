@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from driftleaf.models.fits import query_features
 from driftleaf.operators.facts import knn_residence, residence_share
-from driftleaf.operators.navigation import TreeNavigator, fit_softmax, leaf_paths
+from driftleaf.operators.navigation import TreeNavigator, _share_paths, fit_softmax, leaf_paths
 from driftleaf.plans.index import build_index
 from driftleaf.plans.search import knn_exact
 from driftleaf.settings import IndexOptions
@@ -47,3 +47,29 @@ def test_tree_of_one_leaf(spark, rng):
     shares = q.select("query_id", F.lit(1).cast("long").alias("leaf_id"), F.lit(1.0).alias("share"))
     navigator = TreeNavigator.fit(shares, query_features(q, 16), index.nodes, 2)
     assert {tuple(r) for r in navigator.scores(query_features(q, 16)).collect()} == {(i, 1, 1.0) for i in range(3)}
+
+
+def test_shipped_tree_gives_the_rows_of_the_joins(spark, rng):
+    """Fits are dealt over the tasks, and a shipped tree gives the paths and scores of the joins."""
+    x = rng.normal(size=(300, 16)) + rng.integers(0, 6, (300, 1)) * 5.0
+    index = build_index(frame(spark, x), IndexOptions(leaf_size=20, n_children=3))
+    train, asked = frame(spark, x[:100], "query_id"), frame(spark, x[100:120] + 0.1, "query_id")
+    shares = residence_share(knn_residence(knn_exact(index.members, train, 3)), 3)
+    features = query_features(train, 16)
+    navigator = TreeNavigator.fit(shares, features, index.nodes, 3)
+    files = navigator.weights.select(F.input_file_name()).distinct().count()
+    assert files == 4, "nodes were fitted in one task"
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("shipped", "")
+    got = {(r[0], r[1]): r[2] for r in navigator.scores(query_features(asked, 16), 1e-6).collect()}
+    assert len(jobs.getJobIdsForGroup("shipped")) <= 8, "jobs grow with the depth of the tree"
+    spark.sparkContext.setJobGroup("joined", "")
+    paths = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in _share_paths(shares, index.nodes, 3).collect())
+    spark.conf.set("spark.driftleaf.broadcastBytes", "64")
+    try:
+        want = {(r[0], r[1]): r[2] for r in navigator.scores(query_features(asked, 16), 1e-6).collect()}
+        joined = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in _share_paths(shares, index.nodes, 3).collect())
+    finally:
+        spark.conf.unset("spark.driftleaf.broadcastBytes")
+    assert paths == joined and got.keys() == want.keys()
+    assert all(abs(got[key] - want[key]) < 1e-9 for key in got)
