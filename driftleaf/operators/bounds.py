@@ -22,6 +22,8 @@ _BOUND_ARROW = pa.schema(
 )
 # Bounds are compared with distances that are rounded differently in the last digits.
 SLACK = 1e-7
+# Pairs of a query and a leaf, and terms of their bounds, that a task holds at once, however many leaves there are.
+_PAIRS, _TERMS = 1 << 19, 1 << 18
 
 
 class _Leaves:
@@ -62,7 +64,7 @@ class _Leaves:
         """Matrix of bounds, one row per series of ``x`` and one column per leaf."""
         means, stds = summaries(x, self.segments)
         out = np.empty((len(x), len(self.leaf_ids)))
-        step = max(1, (1 << 21) // max(1, len(self.slot)))
+        step = max(1, _TERMS // max(1, len(self.slot)))
         p = self.part
         for lo in range(0, len(x), step):
             m, s = means[lo : lo + step, self.slot], stds[lo : lo + step, self.slot]
@@ -115,7 +117,7 @@ def leaf_bounds(
             if limit_column:
                 limit = batch.column(limit_column).to_numpy(zero_copy_only=False).astype(float)
                 limit = np.where(np.isnan(limit), np.inf, limit)
-            step = max(1, (1 << 22) // len(leaves.leaf_ids))
+            step = max(1, _PAIRS // len(leaves.leaf_ids))
             for lo in range(0, len(x), step):
                 lb = leaves.bounds(x[lo : lo + step])
                 if limit is None:

@@ -23,6 +23,8 @@ from driftleaf.operators.scan import to_matrix
 from driftleaf.session import broadcast_if_small, materialise
 
 MET_SCHEMA = "query_id long, met long"
+# Pairs of a query and a node that a task holds at most, unless one query has more.
+_HELD = 1 << 20
 
 
 def _capped(batch: pa.RecordBatch) -> np.ndarray:
@@ -35,9 +37,10 @@ def descend(queries: DataFrame, shared: Broadcast) -> DataFrame:
     ``kth`` of (query_id, values, kth); NULL means no limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(512, _HELD // len(shared.value.node_ids)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 ids = part.column("query_id").to_numpy(zero_copy_only=False)
                 row, node, lb, _ = shared.value.descend(to_matrix(part.column("values")), _capped(part))
                 yield pa.RecordBatch.from_arrays(
@@ -53,9 +56,11 @@ def nodes_met(queries: DataFrame, shared: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                met = shared.value.descend(to_matrix(batch.column("values")), _capped(batch))[-1]
-                ids = batch.column("query_id")
+            step = max(1, min(512, _HELD // len(shared.value.node_ids)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                met = shared.value.descend(to_matrix(part.column("values")), _capped(part))[-1]
+                ids = part.column("query_id")
                 yield pa.RecordBatch.from_arrays([ids, pa.array(met, pa.int64())], names=["query_id", "met"])
 
     return queries.select("query_id", "values", "kth").mapInArrow(run, MET_SCHEMA)

@@ -42,7 +42,8 @@ ARROW_SCHEMA = pa.schema(
         ("dist2", pa.float64()),
     ]
 )
-_STATE_ROWS = 1 << 20
+# Rows a task holds before it keeps the nearest alone.
+_STATE_ROWS = 1 << 18
 _PAIR_CHUNK = 1 << 16
 
 
@@ -112,12 +113,12 @@ class _Best:
     def __init__(self, k: int, per_leaf: bool) -> None:
         self.k, self.per_leaf = k, per_leaf
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.rows = 0
+        self.rows = self.kept = 0
 
     def add(self, row: np.ndarray, leaf: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
         self.parts.append((row, leaf, ids, dist))
         self.rows += len(row)
-        if self.rows > _STATE_ROWS:
+        if self.rows > max(_STATE_ROWS, 2 * self.kept):  # so that what stays is not sorted at every call
             self.shrink()
 
     def shrink(self) -> None:
@@ -131,14 +132,14 @@ class _Best:
             group = row
         keep = keep_k(group, dist, ids, self.k)
         self.parts = [(row[keep], leaf[keep], ids[keep], dist[keep])]
-        self.rows = len(keep)
+        self.rows = self.kept = len(keep)
 
     def drain(self, query_ids: np.ndarray) -> pa.RecordBatch | None:
         self.shrink()
         if not self.parts or not self.rows:
             return None
         row, leaf, ids, dist = self.parts[0]
-        self.parts, self.rows = [], 0
+        self.parts, self.rows, self.kept = [], 0, 0
         return pa.RecordBatch.from_arrays(
             [pa.array(query_ids[row]), pa.array(leaf), pa.array(ids), pa.array(dist)],
             schema=ARROW_SCHEMA,

@@ -28,6 +28,8 @@ Segment = tuple[int, int]
 ROOT = 1
 NODE_BITS = 24
 LEAST_SCORE = 1e-12
+# Pairs of a row and a node whose bounds a task takes at once; each has a term a segment.
+_MET = 1 << 15
 
 SEGMENT_SCHEMA = (
     "struct<off:int,len:int,min_mean:double,max_mean:double,min_std:double,max_std:double>"
@@ -260,15 +262,15 @@ class Nodes:
         """Lower bound of each (row, node)."""
         out = np.empty(len(node))
         p = self.part
-        for lo in range(0, len(node), 1 << 18):
-            at = node[lo : lo + (1 << 18)]
+        for lo in range(0, len(node), _MET):
+            at = node[lo : lo + _MET]
             pos, entry = self._entries(at)
-            of = row[lo : lo + (1 << 18)][pos]
+            of = row[lo : lo + _MET][pos]
             m, s = means[of, self.slot[entry]], stds[of, self.slot[entry]]
             dm = np.maximum(np.maximum(p["min_mean"][entry] - m, m - p["max_mean"][entry]), 0.0)
             ds = np.maximum(np.maximum(p["min_std"][entry] - s, s - p["max_std"][entry]), 0.0)
             total = np.bincount(pos, p["len"][entry] * (dm * dm + ds * ds), len(at))
-            out[lo : lo + (1 << 18)] = np.sqrt(total)
+            out[lo : lo + _MET] = np.sqrt(total)
         return out
 
     def descend(self, x: np.ndarray, cap: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -34,7 +34,7 @@ from driftleaf.session import materialise, new_work_path, share, ship_package
 from driftleaf.settings import BLOCK_ROWS, IndexOptions, broadcast_budget
 
 # A task grows a subtree of at most this many bytes of doubles; the top has about so many ends.
-SUBTREE_BYTES = 256 << 20
+SUBTREE_BYTES = 64 << 20
 LEAST_SUBTREE_ROWS = 20_000
 TOP_ENDS = 1 << 18
 NODE_BYTES = 256
