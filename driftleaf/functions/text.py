@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +33,23 @@ def parse_model_setting(setting: Column) -> Column:
 
 
 def array_to_text(values: Column) -> Column:
-    """Elements with six decimals, joined by a blank."""
-    return F.array_join(F.transform(values, lambda x: F.format_string("%.6f", x)), " ")
+    """Elements with six decimals, joined by a blank. As C's ``%.6f`` does, the exact value is rounded, a
+    tie to the even digit, and a NaN keeps its sign; Java rounds its shortest decimal, halves up. Null
+    elements are left out; an array of nulls alone is null, an empty one an empty text."""
+
+    def fixed(x: float) -> str:
+        return ("-" if x != x and math.copysign(1.0, x) < 0 else "") + "%.6f" % x
+
+    @F.arrow_udf("string")
+    def text(arrays: pa.Array) -> pa.Array:
+        out = []
+        for array in arrays:
+            given = array.values if array.is_valid else pa.nulls(1)
+            kept = given.drop_null().to_pylist()
+            out.append(" ".join(map(fixed, kept)) if kept or not len(given) else None)
+        return pa.array(out, pa.string())
+
+    return text(values)
 
 
 def filter_id_from_path(path: Column) -> Column:

@@ -1,9 +1,13 @@
 """Cases that once gave incomplete or wrong results."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from driftleaf.operators.lookup import actual_errors
 from driftleaf.operators.navigation import combined_scores
 from driftleaf.operators.sampling import leaf_queries
@@ -81,3 +85,20 @@ def test_work_folder_must_be_shared_on_a_cluster():
 
     with pytest.raises(ValueError):
         work_root(Session())
+
+
+def test_text_of_series_rounds_the_exact_value_as_its_sql(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    series = [
+        [-0.0703125, 0.0703125, 0.0234375, 2.5e-6, 5e-7, -1e-9, 1.0], [1e23, -3.4e38, nan, -nan, inf, -inf, -0.0],
+        [0.5, None, 2.0], [None, None], [], None,
+    ]
+    vectors = pa.array(series, pa.list_(pa.float32()), from_pandas=False)
+    file = tmp_path / "embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(series))), "embedding": vectors}), file)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{file}'")
+        want = dict(con.execute(entry.oracle_sql()["series_as_text"]).fetchall())
+    got = entry.queries()["series_as_text"](spark, str(tmp_path)).collect()
+    assert {r["vec_id"]: r["text"] for r in got} == want
+    assert want[0].startswith("-0.070312 0.070312 0.023438 ") and want[2] == "0.500000 2.000000"
